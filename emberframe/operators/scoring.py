@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.session import materialize
+from emberframe.operators.ordering import running_total
 
 RATIOS = ["precision", "recall", "f1", "iou", "brier"]
 
@@ -79,28 +79,13 @@ def best_threshold(swept: DataFrame, keys: list[str]) -> DataFrame:
     return swept.groupBy(*keys).agg(best).select(*keys, (-F.col("b.t")).alias("threshold"), F.col("b.f1").alias("f1"))
 
 
-def running_total(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """df with run_<column>: the sum over all rows with a smaller or equal `order`, without one task seeing all rows.
-
-    Rows are range-partitioned and summed within their range; the ranges' totals, one row each, give what to add.
-    Equal values of order must have been merged before.
-    """
-    ranged = materialize(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
-    w = Window.partitionBy("__part").orderBy(order)
-    total = ranged.groupBy("__part").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = total.select("__part", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns])
-    run = ranged.join(F.broadcast(ahead), "__part")
-    return run.select(*df.columns, *[(F.sum(c).over(w) + F.col(f"__{c}")).alias(f"run_{c}") for c in columns])
-
-
 def roc_auc(pixels: DataFrame) -> DataFrame:
     """(n_pos, n_neg, auc) over valid pixels by rank sums, ties counting half; 0 if a class is missing."""
     valid = pixels.filter("mask = 1 and pred is not null")
     by = valid.groupBy("pred").agg(
         F.sum((F.col("target") == 1).cast("bigint")).alias("p"), F.sum((F.col("target") != 1).cast("bigint")).alias("q")
     )
-    won = running_total(by, "pred", ["q"]).agg(
+    won = running_total(by, ["pred"], ["q"]).agg(
         F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("q"), F.lit(0)).alias("n_neg"),
         F.sum(F.col("p") * (F.col("run_q") - F.col("q") / 2.0)).alias("u"),
     )
