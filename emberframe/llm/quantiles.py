@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from emberframe.session import materialize
 
 #: Candidates that one (group, percentile) may keep for the last step, done in one sorted pass.
-ENOUGH = 4096
+ENOUGH = 64
 
 
 def value_states(df: DataFrame, group: str, value: str, part: str) -> DataFrame:
