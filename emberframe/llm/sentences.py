@@ -68,7 +68,7 @@ RULES: dict[str, list[tuple[bool, str, str]]] = {
 }
 RULES["de"] += [
     # An ordinal: after an article or preposition, or before the name of a month.
-    (STAY, r"(?i)(?:^|\s)(?:der|die|das|dem|den|des|am|vom|zum|zur|im|ab|bis|seit|jede[rns]?|ein(?:e[mnr]?)?)\s+\d{1,3}\.$", r"\s+\w"),
+    (STAY, r"(?:^|\s)(?i:der|die|das|dem|den|des|am|vom|zum|zur|im|ab|bis|seit|jede[rns]?|ein(?:e[mnr]?)?)\s+\d{1,3}\.$", r"\s+\w"),
     (STAY, r"\b\d{1,2}\.$", r"\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert)\b"),
 ]
 RULES["latin"] = [
@@ -110,17 +110,26 @@ def _table(lang: str) -> list:
             names = [lang, "any"]
         early = [RULES["any"][0]] if names[-1] == "any" else []
         rules = early + [r for n in names for r in RULES.get(n, [])]
-        _TABLES[lang] = [(d, re.compile(b) if b else None, re.compile(a) if a else None) for d, b, a in rules]
+        # Rules in a row that decide alike may be tried in any order, so those with the same right side become one.
+        merged: list[tuple[bool, list[str], str]] = []
+        for d, b, a in rules:
+            at = next((i for i in range(len(merged) - 1, -1, -1) if merged[i][0] != d), -1)
+            same = next((m for m in merged[at + 1 :] if m[2] == a and b and m[1][0]), None)
+            if same:
+                same[1].append(b)
+            else:
+                merged.append((d, [b], a))
+        _TABLES[lang] = [(d, re.compile("|".join(b)) if b[0] else None, re.compile(a) if a else None) for d, b, a in merged]
     return _TABLES[lang]
 
 
 _SCRIPTS = (
-    ("th", re.compile("[฀-๿]")),
-    ("hi", re.compile("[ऀ-ॿ]")),
-    ("ar", re.compile("[؀-ۿ]")),
-    ("ja", re.compile("[぀-ヿ]")),
-    ("zh", re.compile("[㐀-鿿]")),
-    ("ru", re.compile("[Ѐ-ӿ]")),
+    ("th", re.compile("[฀-๿]+")),
+    ("hi", re.compile("[ऀ-ॿ]+")),
+    ("ar", re.compile("[؀-ۿ]+")),
+    ("ja", re.compile("[぀-ヿ]+")),
+    ("zh", re.compile("[㐀-鿿]+")),
+    ("ru", re.compile("[Ѐ-ӿ]+")),
 )
 
 # Frequent function words by which Latin-script paragraphs are told apart.
@@ -130,6 +139,7 @@ _WORDS = {
     "de": set("der die das und den dem des ein eine ist nicht mit von vom zu auf am im bei wer es nach".split()),
     "fr": set("le la les de des du et un une est dans pour sur qui que à au il selon près a".split()),
 }
+_LANGUAGES_OF = {w: [k for k, v in _WORDS.items() if w in v] for v in _WORDS.values() for w in v}
 
 
 def language(paragraph: str, lang: str | None) -> str:
@@ -140,7 +150,7 @@ def language(paragraph: str, lang: str | None) -> str:
     stated = (lang or "").strip().lower()[:2]
     if not paragraph.isascii():
         letters = sum(map(str.isalpha, paragraph)) or 1
-        counts = {name: len(r.findall(paragraph)) for name, r in _SCRIPTS}
+        counts = {name: len("".join(r.findall(paragraph))) for name, r in _SCRIPTS}
         if counts["ja"] and counts["ja"] + counts["zh"] > 0.3 * letters:
             return "ja"
         if counts["zh"] > 0.3 * letters:
@@ -149,7 +159,10 @@ def language(paragraph: str, lang: str | None) -> str:
         if counts[best] > 0.3 * letters:
             return best
     seen = re.findall(r"[^\W\d_]+", unicodedata.normalize("NFC", paragraph).lower())
-    score = {k: sum(w in v for w in seen) for k, v in _WORDS.items()}
+    score = dict.fromkeys(_WORDS, 0)
+    for w in seen:
+        for k in _LANGUAGES_OF.get(w, ()):
+            score[k] += 1
     top = max(score, key=lambda k: (score[k], k == stated, k == "en"))
     return top if score[top] else (stated if stated in _LATIN else "en")
 
@@ -213,8 +226,8 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
     name = language(text[lo:hi], lang)
     rules = _table(name)
     quotes, brackets = _pairs(text, lo, hi)
-    closing = {b: a for a, b in quotes + brackets}
-    quoted = {a for a, _ in quotes}
+    closing = {b: a for a, b in [*quotes, *brackets]}
+    quoted, spans = {a for a, _ in quotes}, quotes + brackets
     start = lo
     ends = [(m.start(), m.end(), False) for m in _TERMINATORS.finditer(text, lo, hi)]
     if name == "th":
@@ -235,18 +248,20 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
                     first = closing[k] if first is None else min(first, closing[k])
                 continue
             break
-        if any(o < a and end <= c for o, c in quotes) or any(o < a and end <= c for o, c in brackets):
+        if spans and any(o < a and end <= c for o, c in spans):
             continue
         if end >= hi:
             break
         if first is not None and _opens(text, start, first) and _names_speaker(text, end, hi, name):
             continue
-        before = unicodedata.normalize("NFC", text[max(start, end - 40) : end])
-        after = text[end : min(hi, end + 40)]
+        before = text[max(start, end - 28) : end]
+        if not before.isascii():
+            before = unicodedata.normalize("NFC", before)
+        after = text[end : min(hi, end + 28)]
         if blank:
             decision = not after.lstrip(" \u00a0\u202f").startswith("ๆ")
         else:
-            decision = next((d for d, b, f in rules if (b is None or b.search(before)) and (f is None or f.match(after))), STAY)
+            decision = _decide(rules, before, after)
         if decision:
             out.append((start, end))
             start = end
@@ -256,6 +271,13 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
         out.append((start, hi))
 
 
+def _decide(rules: list, before: str, after: str) -> bool:
+    for decision, left, right in rules:
+        if (right is None or right.match(after)) and (left is None or left.search(before)):
+            return decision
+    return STAY
+
+
 def _opens(text: str, start: int, quote: int) -> bool:
     """Whether only opening marks stand between the sentence's start and its quotation."""
     return all(c in "¿¡([（—–- \"'«“„‘「『" for c in text[start:quote])
