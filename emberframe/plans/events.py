@@ -129,7 +129,7 @@ def g1_covered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 b as (select u, v from e union select v, u from e union select u, u from e union select v, v from e),
 l as (select u, min(v) as m, 0 as i from b group by 1 union all
 select b.u, min(l.m), max(l.i) + 1 from b join l on l.u = b.v where l.i < 12 group by b.u)
-select u as node, min(m) as component from l group by 1""",
+select cast(u as bigint) as node, cast(min(m) as bigint) as component from l group by 1""",
 )
 def g0_graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fires and tile positions linked by samples, as a plain graph."""

@@ -63,7 +63,7 @@ from m join img using (image_id) where rn = 1 and region_id > 0) select region_i
 )
 def qa_top_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = C.top_images(links(spark, sf_dir), fire_regions(spark, sf_dir), images(spark, sf_dir), 100)
-    return top.select("region_id", "image_id", "num_fire_pixels", "day", "rank")
+    return top.select("region_id", "image_id", "num_fire_pixels", "day", F.col("rank").cast("bigint").alias("rank"))
 
 
 @CORE.query(
