@@ -187,7 +187,7 @@ max(num_fire) as num_fire from picked group by 1, 2)"""
 
 @LLM.query(
     "p4_percentiles",
-    f"""select region_id, f as fraction, cast(v as double) as value, n_rows, 0 as rank_error from (
+    f"""select region_id, cast(f as double) as fraction, cast(v as double) as value, n_rows, 0 as rank_error from (
 select region_id, count(num_fire) as n_rows, unnest({FRACTIONS}) as f,
 unnest(quantile_disc(num_fire, {FRACTIONS})) as v from {_PICKED_SQL} where num_fire is not null group by 1)""",
 )
