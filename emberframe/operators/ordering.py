@@ -29,6 +29,24 @@ def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFr
     return run.withColumn(name, F.col("run___one") - 1).drop("__one", "run___one")
 
 
+def group_positions(df: DataFrame, group: str, order: list[str], name: str = "position") -> DataFrame:
+    """df with its place in its group's order, from 0, though one group may hold most rows.
+
+    Rows are placed in the order of all groups; the first place of each group, an algebraic minimum, is taken off.
+    """
+    at = materialize(positions(df, [group, *order], "__at"))
+    first = at.groupBy(F.col(group).alias("__g")).agg(F.min("__at").alias("__first"))
+    hit = at[group].eqNullSafe(first["__g"])
+    return at.join(first, hit).withColumn(name, F.col("__at") - F.col("__first")).drop("__at", "__g", "__first")
+
+
+def ranked_values(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """df with the rank of its value, the largest first and equal values sharing a rank: one count per value is ordered, not the rows."""
+    n = df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__neg", -F.col("__v"))
+    run = running_total(n, ["__neg"], ["__n"]).select("__v", (F.col("run___n") - F.col("__n") + 1).alias(name))
+    return df.join(run, df[value].eqNullSafe(run["__v"])).drop("__v")
+
+
 def even_positions(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """k rows at evenly spaced places of the order, first and last included, places truncated; all rows if no more than k."""
     n = df.count()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberframe.functions.scalars import CELL_DEG
 from emberframe.operators import coverage as C
 from emberframe.operators import sampling as P
-from emberframe.operators.ordering import chunked, even_positions, sliced, strided
+from emberframe.operators.ordering import chunked, even_positions, group_positions, positions, ranked_values, sliced, strided
 from emberframe.registry import CORE
 from emberframe.session import materialize
 from emberframe.tables import COUNTING_SQL, counting, table
@@ -269,3 +269,47 @@ def w13_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CORE.query("w14_date_slice", f"with {_FIRES_SQL} select fire_id, start_date from f where i >= n * 2 // 7 and i < n * 3 // 7")
 def w14_date_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliced(_starts(spark, sf_dir), ["start_date", "fire_id"], 2, 7)
+
+
+# ---- orders over all rows, or over groups of which one may hold most rows
+
+@CORE.query("t2_ordered_picks", "select fire_id, day_t, region_id, row_number() over (order by region_id, day_t, fire_id) as place from (select distinct fire_id, day_t, region_id from picked where region_id > 0) q")
+def t2_ordered_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "picked").filter("region_id > 0").select("fire_id", "day_t", "region_id").distinct()
+    return positions(p, ["region_id", "day_t", "fire_id"], "place").withColumn("place", F.col("place") + 1)
+
+
+@CORE.query("t11_sorted_table", f"select sample_id, coalesce(num_fire, -1) as v, rank() over (order by coalesce(num_fire, -1) desc) as place from {COUNTING_SQL} s")
+def t11_sorted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples ranked by a column, missing values last as -1."""
+    s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "num_fire"))
+    return ranked_values(s.select("sample_id", F.coalesce("num_fire", F.lit(-1)).alias("v")), "v", "place")
+
+
+@CORE.query("t15_ratio_order", """with f as (select distinct fire_id, t_ratio from fires where t_ratio > 0) select fire_id, round(greatest(-2e0, least(2e0, log10(t_ratio))), 6) as log_ratio,
+row_number() over (order by t_ratio, fire_id) as place from f""")
+def t15_ratio_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive ratios in ascending order, on a log scale clipped to [0.01, 100]."""
+    f = table(spark, sf_dir, "fires").filter("t_ratio > 0").select("fire_id", "t_ratio").distinct()
+    log = F.round(F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.log10("t_ratio"))), 6)
+    return positions(f, ["t_ratio", "fire_id"], "place").select("fire_id", log.alias("log_ratio"), (F.col("place") + 1).alias("place"))
+
+
+@CORE.query("t8_allocation", """with c as (select region_id, count(*) as n from picked where region_id > 0 group by region_id), k as (select distinct fire_id, day_t, region_id from picked where region_id > 0),
+r as (select k.*, row_number() over (partition by k.region_id order by fire_id, day_t) as place from k)
+select r.fire_id, r.day_t, r.region_id from r join c on r.region_id = c.region_id cross join (select sum(n) as total from c) t where place <= floor(1e3 * n / total)""")
+def t8_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand rows given to regions in proportion to their size."""
+    p = table(spark, sf_dir, "picked").filter("region_id > 0")
+    c = p.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"))
+    share = c.select("region_id", F.floor(1000.0 * F.col("n") / c.agg(F.sum("n")).scalar()).alias("most"))
+    k = group_positions(p.select("fire_id", "day_t", "region_id").distinct(), "region_id", ["fire_id", "day_t"], "place")
+    return k.join(share, "region_id").filter(F.col("place") < F.col("most")).select("fire_id", "day_t", "region_id")
+
+
+@CORE.query("j33_event_samples", f"""select fire_id, sample_id, row_number() over (partition by fire_id order by dt, load_order) as place from {COUNTING_SQL} s where fire_id is not null""")
+def j33_event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered samples of each event, as rows: an event may have too many for one list."""
+    s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "fire_id", "dt")).filter("fire_id is not null")
+    g = group_positions(s.drop("loaded_at"), "fire_id", ["dt", "load_order"], "place")
+    return g.select("fire_id", "sample_id", (F.col("place") + 1).alias("place"))

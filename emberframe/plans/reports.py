@@ -73,8 +73,6 @@ select region_id, grouping(region_id) as total, {", ".join(f"count(*) filter (wh
 select region_id, least(14, cast(floor(3 * log10(num_fire)) as integer)) as bin, count(*) as n from f where num_fire <= 50000 group by region_id, least(14, cast(floor(3 * log10(num_fire)) as integer))""",
     "t1_largest_fires": """select region_id, fire_id, num_fire, place from (select country % 10 as region_id, fire_id, num_fire, row_number() over (partition by country % 10 order by num_fire desc, fire_id) as place
 from (select distinct fire_id, country, num_fire from fires where num_fire is not null and country is not null) f) q where place <= 5""",
-    "t15_ratio_order": """with f as (select distinct fire_id, t_ratio from fires where t_ratio > 0) select fire_id, round(greatest(-2e0, least(2e0, log10(t_ratio))), 6) as log_ratio,
-row_number() over (order by t_ratio, fire_id) as place from f""",
     "p36_scenarios": """with f as (select distinct fire_id, num_fire, avg_xy_neighbors as xy, ignition_ratio as ign from fires where num_fire is not null)
 select 'all' as scenario, count(*) as n, cast(sum(num_fire) as bigint) as detections from f union all select 'min100', count(*), cast(sum(num_fire) as bigint) from f where num_fire >= 100
 union all select 'compact', count(*), cast(sum(num_fire) as bigint) from f where num_fire >= 100 and xy >= 2 union all select 'coherent', count(*), cast(sum(num_fire) as bigint) from f where num_fire >= 100 and xy >= 2 and ign < 0.3""",
@@ -119,7 +117,6 @@ from i join orders on o_orderkey = image_id""",
     "j15_semi_join": "select l_orderkey, l_linenumber from lineitem where exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'P')",
     "j25_default_lookup": f"select sample_id, coalesce(r.region_id, 0) as region from {_C} s left join regions r on s.region_id = r.region_id",
     "j30_density_lookup": f"""with f as (select fire_id, max((min_x + max_x) / 2) as cx from fires where min_x <= max_x group by fire_id) select count(*) as n, count(cx) as found, count(*) - count(cx) as unknown from {_C} s left join f on s.fire_id = f.fire_id""",
-    "j33_event_samples": f"""select fire_id, sample_id, row_number() over (partition by fire_id order by dt, load_order) as place from {_C} s where fire_id is not null""",
     "j11_enriched_pairs": """with f as (select fire_id, max(num_fire) as detections, max(end_date) as ended from fires group by fire_id), p as (select distinct fire_id, day_t, region_id, fire_type from picked)
 select p.fire_id, p.day_t, detections, ended, name from p join f on p.fire_id = f.fire_id left join regions r on r.region_id = p.region_id""",
     # Sets and texts of rows
@@ -131,12 +128,7 @@ union all (select o_orderkey, 'missing' from orders where o_orderstatus = 'F' ex
     "where29_selected_fields": "select event_id, value from events",
     "where30_new_cells": """select event_id, event_type = 'click' and value < 100 as new_fire, event_type in ('click', 'error') as cur from events""",
     "where32_known_regions": """select case when n_regionkey = 0 then concat('unknown_', cast(n_regionkey as varchar(9))) else cast(n_regionkey as varchar(9)) end as region, count(*) as n from nation where n_regionkey <> 0 group by 1""",
-    "t2_ordered_picks": "select fire_id, day_t, region_id, row_number() over (order by region_id, day_t, fire_id) as place from (select distinct fire_id, day_t, region_id from picked where region_id > 0) q",
-    "t11_sorted_table": f"select sample_id, coalesce(num_fire, -1) as v, rank() over (order by coalesce(num_fire, -1) desc) as place from {_C} s",
     "t12_richest_sample": f"""select fire_id, sample_id, num_fire from (select *, row_number() over (partition by fire_id order by coalesce(num_fire, -1) desc, load_order) as place from {_C} s where fire_id is not null) q where place = 1""",
-    "t8_allocation": """with c as (select region_id, count(*) as n from picked where region_id > 0 group by region_id), k as (select distinct fire_id, day_t, region_id from picked where region_id > 0),
-r as (select k.*, row_number() over (partition by k.region_id order by fire_id, day_t) as place from k)
-select r.fire_id, r.day_t, r.region_id from r join c on r.region_id = c.region_id cross join (select sum(n) as total from c) t where place <= floor(1e3 * n / total)""",
     "t9_best_patches": """with p as (select user_id as fire, event_id, value as footprint, event_id % 97 as active, max(value) over (partition by user_id) as top from events)
 select fire, event_id from (select *, row_number() over (partition by fire order by active desc, event_id) as place from p where footprint >= 0.5 * top) q where place = 1""",
 }
