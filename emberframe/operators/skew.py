@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def combine_by_key(df: DataFrame, keys: list[str], states: dict[str, Column]) -> DataFrame:
-    """One row per key, from algebraic states only (count, sum, min, max and the like).
-
-    Every map task folds its rows into a hash table of key states that is bounded by the
-    task's memory (Tungsten spills it, sorted, and merges), and only those states are
-    shuffled: a key with a third of all rows sends one state per map task. Null keys form
-    one group; an empty input gives an empty result. Distinct counts aren't algebraic in
-    this sense and are refused: count keys that were made distinct before.
+#: Functions whose state per key is of fixed size and merges.
+ALGEBRAIC = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "bool_or": F.bool_or, "bool_and": F.bool_and}
+
+
+def combine_by_key(df: DataFrame, keys: list[str], states: dict[str, tuple[str, Column | str]]) -> DataFrame:
+    """One row per key with states name -> (function, column), the function one of ALGEBRAIC.
+
+    Every map task folds its rows into a hash table of key states that is bounded by the task's memory (it
+    spills, sorted, and merges), and only those states are shuffled: a key with a third of all rows sends
+    one state per map task. Null keys form one group; an empty input gives an empty result. Functions
+    without such a state, as distinct counts and lists, are refused: make their keys distinct before.
     """
-    for name, c in states.items():
-        if "distinct" in str(c).lower() or "collect" in str(c).lower():
-            raise ValueError(f"{name} has no state of bounded size")
-    return df.groupBy(*keys).agg(*[c.alias(name) for name, c in states.items()])
+    if bad := {f for f, _ in states.values()} - set(ALGEBRAIC):
+        raise ValueError(f"no state of fixed size: {sorted(bad)}")
+    return df.groupBy(*keys).agg(*[ALGEBRAIC[f](c).alias(name) for name, (f, c) in states.items()])
 
 
 def fire_totals(counting_rows: DataFrame, fires: DataFrame) -> DataFrame:
@@ -29,9 +31,9 @@ def fire_totals(counting_rows: DataFrame, fires: DataFrame) -> DataFrame:
     or 0. Both sides of the join have one row per key, so no key can be hot in it.
     """
     mine = combine_by_key(
-        counting_rows, ["fire_id"], {"n_samples": F.count(F.lit(1)), "first_dt": F.min("dt"), "last_dt": F.max("dt")}
+        counting_rows, ["fire_id"], {"n_samples": ("count", F.lit(1)), "first_dt": ("min", "dt"), "last_dt": ("max", "dt")}
     )
-    known = combine_by_key(fires.filter("fire_id is not null"), ["fire_id"], {"num_fire": F.max("num_fire")})
+    known = combine_by_key(fires.filter("fire_id is not null"), ["fire_id"], {"num_fire": ("max", "num_fire")})
     return mine.join(known, "fire_id", "left").select(
         "fire_id",
         "n_samples",
