@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -170,31 +172,38 @@ def language(paragraph: str, lang: str | None) -> str:
 def _pairs(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Quotations and brackets as (opening, closing) positions; marks without a partner in the paragraph are ignored."""
     quotes, brackets, stack = [], [], []
+    # Where in the stack each closing mark is waited for; so a text of marks without partners costs no more than others.
+    waits: dict[str, list[int]] = {}
+
+    def push(i: int, closes: str) -> None:
+        for c in closes:
+            waits.setdefault(c, []).append(len(stack))
+        stack.append((i, closes))
+
     for m in _MARKS.finditer(text, lo, hi):
         c, i = m[0], m.start()
         before = text[i - 1] if i > lo else " "
         after = text[i + 1] if i + 1 < hi else " "
-        depth = next((d for d in range(len(stack) - 1, -1, -1) if c in stack[d][1]), None)
+        depth = waits[c][-1] if waits.get(c) else None
         if c in "'’" and before.isalnum() and after.isalnum():
             continue
-        if c in "'\"":
-            if depth is not None and not before.isspace():
-                pass
-            elif not after.isspace() and (before.isspace() or not before.isalnum()):
-                depth = None if depth is None else depth
-                if depth is None:
-                    stack.append((i, c))
-                    continue
-            elif depth is None:
+        if c in "'\"" and (depth is None or before.isspace()):
+            # A straight mark opens where a word begins and none of its kind is open.
+            opens = not after.isspace() and (before.isspace() or not before.isalnum())
+            if depth is None:
+                if opens:
+                    push(i, c)
                 continue
         if depth is not None:
             o, closes = stack[depth]
-            del stack[depth:]
+            while len(stack) > depth:
+                for x in stack.pop()[1]:
+                    waits[x].pop()
             (brackets if closes in _BRACKETS.values() else quotes).append((o, i))
         elif c in _OPENERS and not (c == "»" and before.isalnum()):
-            stack.append((i, _OPENERS[c]))
+            push(i, _OPENERS[c])
         elif c in _BRACKETS:
-            stack.append((i, _BRACKETS[c]))
+            push(i, _BRACKETS[c])
     return quotes, brackets
 
 
@@ -227,7 +236,10 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
     rules = _table(name)
     quotes, brackets = _pairs(text, lo, hi)
     closing = {b: a for a, b in [*quotes, *brackets]}
-    quoted, spans = {a for a, _ in quotes}, quotes + brackets
+    quoted = {a for a, _ in quotes}
+    # Openings in order, and how far the spans that opened up to each of them reach.
+    spans = sorted(quotes + brackets)
+    openings, reach = [o for o, _ in spans], list(accumulate((c for _, c in spans), max))
     start = lo
     ends = [(m.start(), m.end(), False) for m in _TERMINATORS.finditer(text, lo, hi)]
     if name == "th":
@@ -248,7 +260,8 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
                     first = closing[k] if first is None else min(first, closing[k])
                 continue
             break
-        if spans and any(o < a and end <= c for o, c in spans):
+        within = bisect_left(openings, a)
+        if within and reach[within - 1] >= end:
             continue
         if end >= hi:
             break
@@ -280,7 +293,7 @@ def _decide(rules: list, before: str, after: str) -> bool:
 
 def _opens(text: str, start: int, quote: int) -> bool:
     """Whether only opening marks stand between the sentence's start and its quotation."""
-    return all(c in "¿¡([（—–- \"'«“„‘「『" for c in text[start:quote])
+    return all(text[i] in "¿¡([（—–- \"'«“„‘「『" for i in range(start, quote))
 
 
 def _names_speaker(text: str, end: int, hi: int, name: str) -> bool:

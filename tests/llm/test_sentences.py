@@ -45,6 +45,8 @@ def test_marks_without_partners_and_odd_input():
     assert split("Heading\n\nText one.\nstill one. Two.") == ["Heading", "Text one.\nstill one.", "Two."]
     text = "Word. " * 20000
     assert len(segment(text)) == 20000
+    assert len(segment('He wrote: "It held. So." ' * 20000)) == 20000
+    assert len(segment("(« " * 30000 + "End] " * 30000 + "x. Y.")) == 2
 
 
 def test_frame(spark):
