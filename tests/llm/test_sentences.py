@@ -46,7 +46,7 @@ def test_marks_without_partners_and_odd_input():
     text = "Word. " * 20000
     assert len(segment(text)) == 20000
     assert len(segment('He wrote: "It held. So." ' * 20000)) == 20000
-    assert len(segment("(« " * 30000 + "End] " * 30000 + "x. Y.")) == 2
+    assert len(segment("(« " * 30000 + "End] " * 30000 + "word. Yes.")) == 2
 
 
 def test_frame(spark):
