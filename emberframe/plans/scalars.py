@@ -325,13 +325,13 @@ def where3_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLASSES = ("Cropland", "Grass", "Shrub", "Forest", "urban", "water", "bare")
 
 
-@CORE.query(
-    "where20_fire_types",
-    """with f as (select distinct fire_id, num_fire, t_ratio from fires where fire_id is not null), g as (select fire_id, max(region_id) as region_id from samples where fire_id is not null group by 1),
+FIRE_TYPES_SQL = """with f as (select distinct fire_id, num_fire, t_ratio from fires where fire_id is not null), g as (select fire_id, max(region_id) as region_id from samples where fire_id is not null group by 1),
 c as (select f.fire_id, t_ratio, g.region_id, ['Cropland', 'Grass', 'Shrub', 'Forest', 'urban', 'water', 'bare'][f.fire_id % 7 + 1] as lc from f left join g using (fire_id))
 select c.fire_id, lc, case when t_ratio > 10 and not isnan(t_ratio) then 1 when list_contains(coalesce(exclude_lc, ['urban', 'water', 'bare']), lc) then 1
-when lc = 'Cropland' and coalesce(crop_is_veg, false) then 0 when lc = 'Cropland' then 2 else 0 end as fire_type from c left join regions r on r.region_id = c.region_id""",
-)
+when lc = 'Cropland' and coalesce(crop_is_veg, false) then 0 when lc = 'Cropland' then 2 else 0 end as fire_type from c left join regions r on r.region_id = c.region_id"""
+
+
+@CORE.query("where20_fire_types", FIRE_TYPES_SQL)
 def where20_fire_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fire type by land cover, the rules of its region, and persistence; unknown regions get the common rules."""
     f = table(spark, sf_dir, "fires").filter("fire_id is not null").select("fire_id", "num_fire", "t_ratio").distinct()
