@@ -134,6 +134,8 @@ _SCRIPTS = (
     ("ru", re.compile("[Ѐ-ӿ]+")),
 )
 
+_OTHER_SCRIPTS = re.compile("|".join(r.pattern[:-1] for _, r in _SCRIPTS))
+
 # Frequent function words by which Latin-script paragraphs are told apart.
 _WORDS = {
     "en": set("the of and to a in is was at by for on with that this from were near not did who we then".split()),
@@ -141,6 +143,7 @@ _WORDS = {
     "de": set("der die das und den dem des ein eine ist nicht mit von vom zu auf am im bei wer es nach".split()),
     "fr": set("le la les de des du et un une est dans pour sur qui que à au il selon près a".split()),
 }
+_LETTERS = re.compile(r"[^\W\d_]+")
 _LANGUAGES_OF = {w: [k for k, v in _WORDS.items() if w in v] for v in _WORDS.values() for w in v}
 
 
@@ -150,7 +153,7 @@ def language(paragraph: str, lang: str | None) -> str:
     The stated language decides only between languages of the paragraph's own script.
     """
     stated = (lang or "").strip().lower()[:2]
-    if not paragraph.isascii():
+    if _OTHER_SCRIPTS.search(paragraph):
         letters = sum(map(str.isalpha, paragraph)) or 1
         counts = {name: len("".join(r.findall(paragraph))) for name, r in _SCRIPTS}
         if counts["ja"] and counts["ja"] + counts["zh"] > 0.3 * letters:
@@ -160,7 +163,7 @@ def language(paragraph: str, lang: str | None) -> str:
         best = max(counts, key=counts.get)
         if counts[best] > 0.3 * letters:
             return best
-    seen = re.findall(r"[^\W\d_]+", unicodedata.normalize("NFC", paragraph).lower())
+    seen = _LETTERS.findall((paragraph if paragraph.isascii() else unicodedata.normalize("NFC", paragraph)).lower())
     score = dict.fromkeys(_WORDS, 0)
     for w in seen:
         for k in _LANGUAGES_OF.get(w, ()):
@@ -250,7 +253,7 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
             continue
         # Closing marks that belong to the sentence, behind a space as well where the script sets one.
         end, first = e, None
-        while end < hi and not blank:
+        while end < hi and not blank and closing:
             k = end
             while k < hi and text[k] in " \u00a0\u202f" and k - end < 1:
                 k += 1
@@ -267,7 +270,7 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
             break
         if first is not None and _opens(text, start, first) and _names_speaker(text, end, hi, name):
             continue
-        before = text[max(start, end - 28) : end]
+        before = text[max(start, end - 20) : end]
         if not before.isascii():
             before = unicodedata.normalize("NFC", before)
         after = text[end : min(hi, end + 28)]
