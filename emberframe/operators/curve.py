@@ -166,7 +166,11 @@ def region_ranges(cells: DataFrame) -> DataFrame:
 
 
 def containing_region(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """points (lat, lon) with `region`: the region of the half-degree cell that holds them, null if none does."""
+    """points (lat, lon) with `region`, in place of such a column: that of the half-degree cell that holds them, null if none does.
+
+    Points without coordinates are kept with a null region.
+    """
+    points = points.drop("region")
     c = morton(grid_row(F.col("lat"), 0), grid_col(F.col("lon"), 0))
     coded = points.withColumn("__c", c).withColumn("__bucket", F.shiftright("__c", 2 * REGION_LEVEL))
     ranges = region_ranges(cells).withColumnRenamed("bucket", "__bucket")

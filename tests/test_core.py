@@ -82,7 +82,7 @@ def test_containing_region(spark):
     look[(10, 3)] = 8
     rnd = random.Random(2)
     pts = [(rnd.uniform(55, 90), rnd.uniform(165, 180)) for _ in range(200)] + [(84.9, -178.3), (84.4, -177.9), (-90.0, -180.0), (None, 1.0), (90.0, 179.9)]
-    df = spark.createDataFrame(pts, "lat double, lon double").withColumn("region_id", F.lit(1))
+    df = spark.createDataFrame(pts, "lat double, lon double").withColumns({"region_id": F.lit(1), "region": F.lit("clash"), "lo": F.lit(0)})
     got = containing_region(df, spark.createDataFrame(cells, "grid_row int, grid_col int, region int"))
     rows = got.collect()
     assert len(rows) == len(pts)
