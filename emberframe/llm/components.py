@@ -73,7 +73,11 @@ def link_nodes(df: DataFrame, links: dict[str, Column]) -> tuple[DataFrame, dict
 
 
 def with_component(df: DataFrame, links: dict[str, Column], alone: Column) -> DataFrame:
-    """df with `component`. A record without any link value is a component of its own, named by `alone`."""
+    """df with `component`, which takes the place of a column of that name; row count and other columns stay.
+
+    A record without any link value is a component of its own, named by `alone`; repeated rows share theirs.
+    """
+    df = df.drop("component")
     edges, nodes = link_nodes(df, links)
     found = hash_to_min(edges)
     named = df.withColumn("__node", F.coalesce(*nodes.values()))

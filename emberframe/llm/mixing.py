@@ -32,7 +32,8 @@ def _encoder(path: str):
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str = TOKENIZER) -> DataFrame:
-    """docs (without text) with `tokens`: the tokens of the whole text, 0 for an empty or null one."""
+    """docs (without text) with `tokens`, in place of any such column: the tokens of the whole text, 0 for an empty or null one."""
+    docs = docs.drop("tokens")
     keep = [c for c in docs.columns if c != text]
     schema = docs.select(*keep, F.lit(0).cast("long").alias("tokens")).schema
 

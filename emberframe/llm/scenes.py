@@ -101,7 +101,8 @@ def overlaps(classes: DataFrame, km: float, days: int) -> DataFrame:
 
 
 def members(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """rows with `scene`, the class that each belongs to."""
+    """rows with `scene`, the class that each belongs to, in place of a column of that name; nulls match nulls."""
+    rows = rows.drop("scene")
     keys = ["side", *SCENE]
     c = classes.select(*[F.col(k).alias(f"__{k}") for k in keys], "scene")
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]

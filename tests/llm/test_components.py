@@ -38,7 +38,7 @@ def test_hash_to_min_hub_nulls_and_empty(spark):
 
 def test_linked_records_share_a_component(spark):
     rows = [(1, 5, 5), (2, None, 5), (3, 5, None), (4, 6, 7), (5, 7, None), (6, None, None), (6, None, None)]
-    df = spark.createDataFrame(rows, "id int, a int, b int").withColumn("component_x", F.lit("clash"))
+    df = spark.createDataFrame(rows, "id int, a int, b int").withColumns({"component": F.lit("clash"), "node": F.lit(1), "u": F.lit("clash")})
     got = with_component(df, {"fire.a": F.col("a"), "fire.b": F.col("b")}, F.col("id"))
     by = {}
     for x in got.collect():

@@ -46,7 +46,7 @@ def test_empty_and_zero_tokens(spark):
 
 def test_tokens_and_spellings(spark):
     d = spark.createDataFrame([(1, "Fire at dawn."), (2, ""), (3, None), (4, "烟雾"), (5, "a " * 50000)], "id long, text string")
-    n = {x["id"]: x["tokens"] for x in token_counts(d).collect()}
+    n = {x["id"]: x["tokens"] for x in token_counts(d.selectExpr("*", "'clash' as tokens", "1 as h")).collect()}
     assert n[1] == 4 and n[2] == n[3] == 0 and n[4] >= 2 and n[5] >= 50000
     s = spark.createDataFrame([(" Dispatch-Log ",), ("DISPATCH_LOG",), ("dispatch log",)], "source string")
     assert {x[0] for x in s.select(proper_source()).collect()} == {"dispatch_log"}
