@@ -111,8 +111,9 @@ def cube_sample(
 
     units: unit (STRING, unique), category (STRING) and the numeric columns of balance; targets: category, share,
     min_rows. Units whose category isn't in targets can't be drawn. A category is to have
-    wanted = max(min_rows, share * size) rows; with fewer units all are taken and the gap is reported. Wanted numbers are
-    rounded by largest remainder, so that the sample has sum(wanted) rows where the units suffice.
+    wanted = max(min_rows, share * size) rows. With fewer units all are taken and the gap is reported; it isn't
+    given to other categories, so each of them keeps its share of `size` and the sample is smaller by the gaps. Wanted
+    numbers are rounded by largest remainder, so that the sample has sum(wanted) rows where the units suffice.
 
     The inclusion probability of a unit is its category's number over its units. Flight phases run per partition,
     units being spread by a hash and not by category, so a hot category is no hot task; of each category
