@@ -105,15 +105,18 @@ def _walk(seed: int):
 
 
 def cube_sample(
-    units: DataFrame, targets: DataFrame, size: int, balance: list[str] | None = None, seed: int = 7, per_task: int = 250_000, fan: int = 16
+    units: DataFrame, targets: DataFrame, size: float, balance: list[str] | None = None, seed: int = 7, per_task: int = 250_000, fan: int = 16,
+    fill: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(sample, report): units drawn so that their categories match targets.
 
     units: unit (STRING, unique), category (STRING) and the numeric columns of balance; targets: category, share,
     min_rows. Units whose category isn't in targets can't be drawn. A category is to have
-    wanted = max(min_rows, share * size) rows. With fewer units all are taken and the gap is reported; it isn't
-    given to other categories, so each of them keeps its share of `size` and the sample is smaller by the gaps. Wanted
-    numbers are rounded by largest remainder, so that the sample has sum(wanted) rows where the units suffice.
+    wanted = max(min_rows, share * size) rows. With fewer units all are taken and the gap is reported. Without fill
+    it isn't given to other categories, so each of them keeps its share of `size` and the sample is smaller by the
+    gaps, and larger by what min_rows adds. With fill the sample has `size` rows, rounded: gaps go to the
+    categories with units left, and the excess comes off those above min_rows, both in proportion to share (`_filled`).
+    Numbers are rounded by largest remainder, so that their sum is kept.
 
     The inclusion probability of a unit is its category's number over its units. Flight phases run per partition,
     units being spread by a hash and not by category, so a hot category is no hot task; of each category
@@ -122,8 +125,8 @@ def cube_sample(
     the category's sum as near as it goes. A null category counts as no category; no units or no targets
     give an empty sample.
 
-    sample: the units drawn. report: category, share, min_rows, available, wanted, drawn, shortfall (wanted - drawn
-    where units are missing, else 0), residual (drawn - wanted).
+    sample: the units drawn. report: category, share, min_rows, available, wanted, drawn, shortfall (wanted - available
+    where units are missing, else 0), residual (drawn - wanted); wanted is the target before filling.
     """
     balance = balance or []
     u = units.filter("unit is not null and category is not null").select("unit", "category", *balance)
@@ -135,7 +138,7 @@ def cube_sample(
         "category", "share", "min_rows", F.coalesce("available", F.lit(0)).alias("available"),
         F.greatest(F.col("min_rows").cast("double"), F.col("share") * F.lit(float(size))).alias("wanted"),
     )
-    plan = materialize(_round_to_rows(plan))
+    plan = materialize(_round_to_rows(_filled(materialize(plan), size) if fill else plan.withColumn("aim", F.col("wanted"))))
     h = F.xxhash64(F.lit(seed), "unit")
     counts = plan.select("category", "available", "rows")
     pi = F.when(F.col("rows") >= F.col("available"), 1.0).otherwise(F.col("rows") / F.col("available"))
@@ -174,7 +177,7 @@ def cube_sample(
     got = sample.groupBy("category").agg(F.count(F.lit(1)).alias("drawn"))
     report = plan.join(got, "category", "left").select(
         "category", "share", "min_rows", "available", "wanted", F.coalesce("drawn", F.lit(0)).alias("drawn"),
-        F.when(F.col("available") < F.col("wanted"), F.col("wanted") - F.coalesce("drawn", F.lit(0))).otherwise(F.lit(0.0)).alias("shortfall"),
+        F.when(F.col("available") < F.col("wanted"), F.col("wanted") - F.col("available")).otherwise(F.lit(0.0)).alias("shortfall"),
         (F.coalesce("drawn", F.lit(0)) - F.col("wanted")).alias("residual"),
     )
     return sample, report
@@ -185,15 +188,49 @@ def _small(plan: DataFrame, bound: int = 100_000) -> bool:
     return plan.limit(bound + 1).count() <= bound
 
 
+def _filled(plan: DataFrame, size: float) -> DataFrame:
+    """Adds aim: min(available, max(min_rows, share * scale)), the scale being such that aims add up to size, rounded.
+
+    As the scale grows, a category's aim stays at min_rows, rises with its share and ends at its units. The sum is
+    piecewise linear, so the scale is found exactly between two of these turns. Where the units of all categories with
+    a share don't suffice, the rest comes from those without a share, in proportion to their units left. Where the
+    minima alone exceed size, they hold and the sample is larger.
+    """
+    from pyspark.sql import Window
+
+    n = float(int(size + 0.5))
+    low = F.least("min_rows", "available").cast("double")
+    plan = plan.withColumn("low", low)
+    least = plan.agg(F.sum("low").alias("n")).first()["n"] or 0.0
+    live = plan.filter("share > 0 and available > low")
+    turns = live.select(F.explode(F.array(
+        F.struct((F.col("low") / F.col("share")).alias("at"), F.col("share").alias("slope")),
+        F.struct((F.col("available") / F.col("share")).alias("at"), (-F.col("share")).alias("slope")),
+    )).alias("t")).select("t.*").groupBy("at").agg(F.sum("slope").alias("slope"))
+    upto = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns = turns.select("at", F.sum("slope").over(upto).alias("s"), F.sum(F.col("slope") * F.col("at")).over(upto).alias("c"))
+    last = turns.filter(F.col("at") * F.col("s") - F.col("c") + F.lit(least) <= F.lit(n)).agg(F.max_by(F.struct("at", "s", "c"), "at").alias("t")).first()["t"]
+    scale = 0.0
+    if last is not None:
+        scale = (n - least + last["c"]) / last["s"] if last["s"] > EPS else last["at"]
+    aim = F.when(F.col("share") > 0, F.least(F.col("available").cast("double"), F.greatest("low", F.col("share") * F.lit(scale)))).otherwise(F.col("low"))
+    plan = plan.withColumn("aim", aim).withColumn("spare", F.when(F.col("share") > 0, 0.0).otherwise(F.col("available") - F.col("low")))
+    got = plan.agg(F.sum("aim").alias("n"), F.sum("spare").alias("spare")).first()
+    short, spare = n - (got["n"] or 0.0), got["spare"] or 0.0
+    if short > 1e-6 and spare > 0:
+        plan = plan.withColumn("aim", F.col("aim") + F.col("spare") * F.lit(min(1.0, short / spare)))
+    return plan.drop("low", "spare")
+
+
 def _round_to_rows(plan: DataFrame) -> DataFrame:
-    """Adds rows: wanted rounded so that the total is kept, the largest remainders going up; min_rows is kept."""
+    """Adds rows in place of aim: aims rounded so that the total is kept, the largest remainders going up; min_rows is kept."""
     from pyspark.sql import Window
 
-    base = F.floor(F.col("wanted") + EPS)
-    rest = F.col("wanted") - base
+    base = F.floor(F.col("aim") + EPS)
+    rest = F.col("aim") - base
     by = Window.orderBy(rest.desc(), "category")
     extra = F.round(F.sum(rest).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return plan.withColumn("rows", (base + (F.row_number().over(by) <= extra).cast("int")).cast("long"))
+    return plan.withColumn("rows", (base + (F.row_number().over(by) <= extra).cast("int")).cast("long")).drop("aim")
 
 
 def _land(pdf: pd.DataFrame) -> pd.DataFrame:

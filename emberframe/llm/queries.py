@@ -119,7 +119,7 @@ def _cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     mix = table(spark, sf_dir, "target_mix")
     targets = mix.select(name("region_id", "fire_type").alias("category"), F.col("target_share").alias("share"), "min_rows")
     size = units.count() / 10.0
-    sample, report = cube_sample(units, targets, size)
+    sample, report = cube_sample(units, targets, size, fill=True)
     return units, sample, report
 
 
@@ -147,6 +147,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @LLM.query("p3_sample")
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many rows as a tenth of the valid keys; what some categories lack comes from the others."""
     units, sample, _ = _cube(spark, sf_dir)
     return units.join(sample.select("unit"), "unit", "left_semi").select("fire_id", "day_t", "region_id", "fire_type")
 

@@ -56,3 +56,29 @@ def test_empty_and_null(spark):
     assert [x["unit"] for x in sample.collect()] == ["y"]
     sample, _ = cube_sample(u, t.limit(0), 1)
     assert sample.count() == 0
+
+
+def test_fill_reaches_the_size(spark):
+    u = units(spark, {"a": 500, "b": 40, "c": 4, "d": 50, "z": 30})
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1), ("e", 0.0, 3), ("z", 0.0, 5)], "category string, share double, min_rows int")
+
+    def drawn(size):
+        sample, report = cube_sample(u, t, size, per_task=50, fill=True)
+        r = {x["category"]: x for x in report.collect()}
+        assert sample.count() == sample.select("unit").distinct().count() == sum(x["drawn"] for x in r.values())
+        return {k: x["drawn"] for k, x in r.items()}, r
+
+    got, r = drawn(100)
+    # c and e leave 19 rows after the minimum of z; a and b share them 5 : 3 until b is exhausted.
+    assert got == {"a": 100 - 5 - 4 - 34, "b": 34, "c": 4, "e": 0, "z": 5}
+    assert r["c"]["wanted"] == 20 and r["c"]["shortfall"] == 16 and r["e"]["shortfall"] == 3 and r["b"]["shortfall"] == 0
+    assert drawn(560)[0] == {"a": 500, "b": 40, "c": 4, "e": 0, "z": 16}
+    assert sum(drawn(9_000)[0].values()) == 574
+
+
+def test_fill_takes_the_excess_of_minima_off(spark):
+    u = units(spark, {"a": 400, "b": 40, "c": 100})
+    t = spark.createDataFrame([("a", 0.75, 1), ("b", 0.0, 5), ("c", 0.25, 1)], "category string, share double, min_rows int")
+    sample, report = cube_sample(u, t, 45, fill=True)
+    assert {x["category"]: x["drawn"] for x in report.collect()} == {"a": 30, "b": 5, "c": 10}
+    assert cube_sample(u, t, 2, fill=True)[0].count() == 7
