@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.operators import raster as R
@@ -10,7 +10,7 @@ from emberframe.operators.coverage import modal_group
 from emberframe.operators.curve import containing_region
 from emberframe.registry import CORE
 from emberframe.session import materialize
-from emberframe.tables import COUNTING_SQL, LON_SQL, counting, latitude, longitude, table
+from emberframe.tables import COUNTING_SQL, EAST_SQL, LON_SQL, counting, latitude, longitude, table, unwrapped_east
 
 _CELLS_SQL = """c as (select user_id as p, floor(value / 16)::integer as r, (event_id * 7 % 32)::integer as k, min(event_id) as id, max(value) as v from events group by 1, 2, 3)"""
 
@@ -183,22 +183,57 @@ p as (select sample_id, ln, lat, dt from (select sample_id, lat, {LON_SQL} as ln
 select b.fire_id, count(*) as n from b join p on ln between x0 and x1 and lat between y0 and y1 and dt between start_date and end_date group by 1""",
 )
 def j16_points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples in the padded box of each fire while it burned, by bins of one degree."""
-    b = table(spark, sf_dir, "fires").filter("min_x <= max_x").select(
-        "fire_id", (F.col("min_x") - 0.5).alias("x0"), (F.col("min_y") - 0.5).alias("y0"), (F.col("max_x") + 0.5).alias("x1"), (F.col("max_y") + 0.5).alias("y1"), "start_date", "end_date"
+    """Samples in the padded box of each fire while it burned, by bins of one degree; boxes across the date line are left out, as in the SQL."""
+    b = padded_fires(table(spark, sf_dir, "fires").filter("min_x <= max_x"), F.col("max_x"))
+    return points_in_boxes(_dated_points(spark, sf_dir), b).groupBy("fire_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@CORE.query(
+    "j16_points_in_boxes_date_line",
+    f"""with b as (select distinct fire_id, min_x - 0.5 as x0, min_y - 0.5 as y0, {EAST_SQL} + 0.5 as x1, max_y + 0.5 as y1, start_date, end_date from fires),
+p as (select sample_id, ln, lat, dt from (select sample_id, lat, {LON_SQL} as ln, dt from {COUNTING_SQL}) where lat is not null and ln is not null)
+select b.fire_id, count(*) as n from b join p on (ln between x0 and x1 or ln + 360 between x0 and x1 or ln - 360 between x0 and x1) and lat between y0 and y1 and dt between start_date and end_date group by 1""",
+)
+def j16_points_in_boxes_date_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples in the padded box of every fire while it burned; boxes and padding run on across the date line."""
+    b = padded_fires(table(spark, sf_dir, "fires"), unwrapped_east())
+    return points_in_boxes(_dated_points(spark, sf_dir), b, wrap=True).groupBy("fire_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def padded_fires(fires: DataFrame, east: Column) -> DataFrame:
+    """(fire_id, x0, y0, x1, y1, start_date, end_date): boxes grown by half a degree."""
+    return fires.select(
+        "fire_id", (F.col("min_x") - 0.5).alias("x0"), (F.col("min_y") - 0.5).alias("y0"), (east + 0.5).alias("x1"), (F.col("max_y") + 0.5).alias("y1"), "start_date", "end_date"
     ).distinct()
+
+
+def _dated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "lon", "lat", "dt"))
-    p = s.select(longitude().alias("x"), latitude().alias("y"), "dt").filter("x is not null and y is not null")
-    return points_in_boxes(p, b).groupBy("fire_id").agg(F.count(F.lit(1)).alias("n"))
+    return s.select(longitude().alias("x"), latitude().alias("y"), "dt").filter("x is not null and y is not null")
+
 
+def round_bins(a: Column, b: Column, size: float) -> Column:
+    """Numbers of the bins of longitude between a and b, b unwrapped, each once; bins of `size` degrees are counted around the globe."""
+    n = int(360 / size)
+    first = F.floor(a / size).cast("int")
+    every = F.sequence(first, F.least(F.floor(b / size).cast("int"), first + (n - 1)))
+    return F.explode(F.transform(every, lambda i: F.pmod(i, F.lit(n))))
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, bin_deg: float = 1.0) -> DataFrame:
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, bin_deg: float = 1.0, wrap: bool = False) -> DataFrame:
     """points(x, y, dt) in boxes(x0, y0, x1, y1, start_date, end_date): an equi-join on bins and months, then the exact test.
 
-    The month keeps a place that burns again and again from becoming one hot bin.
+    The month keeps a place that burns again and again from becoming one hot bin. With wrap, x0 <= x1 may lie beyond
+    the date line on either side, and bins and test go around the globe (bin_deg must divide 360).
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_deg).cast("int"), F.floor(F.col(b) / bin_deg).cast("int")))
     month = lambda d: F.year(d) * 12 + F.month(d)
+    if wrap:
+        q = boxes.withColumn("bx", round_bins(F.col("x0"), F.col("x1"), bin_deg)).withColumn("by", bins("y0", "y1")).withColumn("bm", F.explode(F.sequence(month("start_date"), month("end_date"))))
+        bx = F.pmod(F.floor(F.col("x") / bin_deg).cast("int"), F.lit(int(360 / bin_deg)))
+        p = points.withColumns({"bx": bx, "by": F.floor(F.col("y") / bin_deg).cast("int"), "bm": month("dt")})
+        inside = "(x between x0 and x1 or x + 360 between x0 and x1 or x - 360 between x0 and x1) and y between y0 and y1 and dt between start_date and end_date"
+        return p.join(q, ["bx", "by", "bm"]).filter(inside).drop("bx", "by", "bm")
     q = boxes.withColumn("bx", bins("x0", "x1")).withColumn("by", bins("y0", "y1")).withColumn("bm", F.explode(F.sequence(month("start_date"), month("end_date"))))
     p = points.withColumns({"bx": F.floor(F.col("x") / bin_deg).cast("int"), "by": F.floor(F.col("y") / bin_deg).cast("int"), "bm": month("dt")})
     return p.join(q, ["bx", "by", "bm"]).filter("x between x0 and x1 and y between y0 and y1 and dt between start_date and end_date").drop("bx", "by", "bm")
@@ -210,7 +245,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, bin_deg: float = 1.0) -
 select a.fire_id as a, b.fire_id as b from b a join b b on a.d = b.d and a.fire_id < b.fire_id and a.x0 <= b.x1 + 1 and b.x0 <= a.x1 + 1 and a.y0 <= b.y1 + 1 and b.y0 <= a.y1 + 1""",
 )
 def j18_box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fires that start on one day and whose boxes come within a degree: an equi-join on day and bins of two degrees."""
+    """Fires that start on one day and whose boxes come within a degree: an equi-join on day and bins of two degrees; boxes across the date line are left out, as in the SQL."""
     f = table(spark, sf_dir, "fires").filter("min_x <= max_x").select("fire_id", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), F.col("max_x").alias("x1"), F.col("max_y").alias("y1"), F.col("start_date").alias("d")).distinct()
     bins = lambda a, b, pad: F.explode(F.sequence(F.floor((F.col(a) - pad) / 2).cast("int"), F.floor((F.col(b) + pad) / 2).cast("int")))
     a = f.withColumn("bx", bins("x0", "x1", 1)).withColumn("by", bins("y0", "y1", 1))
@@ -220,6 +255,23 @@ def j18_box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("a.fire_id").alias("a"), F.col("b.fire_id").alias("b")).distinct()
 
 
+@CORE.query(
+    "j18_box_overlaps_date_line",
+    f"""with b as (select distinct fire_id, min_x as x0, min_y as y0, {EAST_SQL} as x1, max_y as y1, start_date as d from fires)
+select distinct a.fire_id as a, b.fire_id as b from b a join b b on a.d = b.d and a.fire_id < b.fire_id and a.y0 <= b.y1 + 1 and b.y0 <= a.y1 + 1
+join (select unnest([-360, 0, 360]) as k) on a.x0 + k <= b.x1 + 1 and b.x0 <= a.x1 + k + 1""",
+)
+def j18_box_overlaps_date_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all fires: boxes and the degree between them run on across the date line, bins are counted around the globe."""
+    f = table(spark, sf_dir, "fires").select("fire_id", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), unwrapped_east().alias("x1"), F.col("max_y").alias("y1"), F.col("start_date").alias("d")).distinct()
+    rows = lambda pad: F.explode(F.sequence(F.floor((F.col("y0") - pad) / 2).cast("int"), F.floor((F.col("y1") + pad) / 2).cast("int")))
+    a = f.withColumn("bx", round_bins(F.col("x0") - 1, F.col("x1") + 1, 2)).withColumn("by", rows(1))
+    b = f.withColumn("bx", round_bins(F.col("x0"), F.col("x1"), 2)).withColumn("by", rows(0))
+    meet = " or ".join(f"a.x0 + {k} <= b.x1 + 1 and b.x0 <= a.x1 + {k} + 1" for k in (-360, 0, 360))
+    j = a.alias("a").join(b.alias("b"), ["d", "bx", "by"]).filter(f"a.fire_id < b.fire_id and a.y0 <= b.y1 + 1 and b.y0 <= a.y1 + 1 and ({meet})")
+    return j.select(F.col("a.fire_id").alias("a"), F.col("b.fire_id").alias("b")).distinct()
+
+
 @CORE.query(
     "s10_raster_window",
     "select grid_row, grid_col, cell_value from raster where layer = 'region' and grid_row between floor((90 - 60) * 2) and ceil((90 - 20) * 2) and grid_col between floor((-130 + 180) * 2) and ceil((-60 + 180) * 2)",

@@ -7,7 +7,7 @@ training region, supplier's region the region scored, and the discount the score
 from __future__ import annotations
 
 from emberframe.registry import CORE
-from emberframe.tables import COUNTING_SQL
+from emberframe.tables import COUNTING_SQL, EAST_SQL
 
 _C = COUNTING_SQL.replace("try_cast", "try_cast")
 
@@ -103,6 +103,8 @@ p as (select yr, cast(floor((dense_rank() over (order by yr) - 1) / 2) as intege
     "a49_display_range": """select event_type, percentile_cont(0.02) within group (order by value) as lo, percentile_cont(0.98) within group (order by value) as hi from events group by event_type""",
     "a53_patch_grid": """select percentile_cont(0.5) within group (order by m) as median, percentile_cont(0.25) within group (order by m) as q1 from
 (select distinct fire_id, (max_x - min_x) * 111195e-3 * cos(radians(min_y)) / 256e-3 as m from fires where min_x <= max_x) q""",
+    "a53_patch_grid_date_line": f"""select percentile_cont(0.5) within group (order by m) as median, percentile_cont(0.25) within group (order by m) as q1 from
+(select distinct fire_id, ({EAST_SQL} - min_x) * 111195e-3 * cos(radians(min_y)) / 256e-3 as m from fires) q""",
     "a54_histogram": """with l as (select min(value) as lo, max(value) as hi from events) select least(9, cast(floor((value - lo) / (hi - lo) * 10) as integer)) as bin, count(*) as n from events cross join l group by 1""",
     "a33_channel_stats": """select event_type as channel, round(avg(value), 6) as mean, round(greatest(stddev_pop(value), 1e-6), 6) as std, count(*) as n from events group by event_type""",
     "a44_detection_counts": f"""select cast(floor(lon * 10) as integer) as x, cast(floor(lat * 10) as integer) as y, count(distinct dt) as n from {_C} s where lon is not null and lat is not null group by 1, 2""",
@@ -117,6 +119,7 @@ from i join orders on o_orderkey = image_id""",
     "j15_semi_join": "select l_orderkey, l_linenumber from lineitem where exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'P')",
     "j25_default_lookup": f"select sample_id, coalesce(r.region_id, 0) as region from {_C} s left join regions r on s.region_id = r.region_id",
     "j30_density_lookup": f"""with f as (select fire_id, max((min_x + max_x) / 2) as cx from fires where min_x <= max_x group by fire_id) select count(*) as n, count(cx) as found, count(*) - count(cx) as unknown from {_C} s left join f on s.fire_id = f.fire_id""",
+    "j30_density_lookup_date_line": f"""with f as (select fire_id, max((min_x + {EAST_SQL}) / 2) as cx from fires group by fire_id) select count(*) as n, count(cx) as found, count(*) - count(cx) as unknown from {_C} s left join f on s.fire_id = f.fire_id""",
     "j11_enriched_pairs": """with f as (select fire_id, max(num_fire) as detections, max(end_date) as ended from fires group by fire_id), p as (select distinct fire_id, day_t, region_id, fire_type from picked)
 select p.fire_id, p.day_t, detections, ended, name from p join f on p.fire_id = f.fire_id left join regions r on r.region_id = p.region_id""",
     # Sets and texts of rows

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.functions import scalars as S
 from emberframe.registry import CORE
-from emberframe.tables import COUNTING_SQL, LON_SQL, counting, latitude, longitude, table
+from emberframe.tables import COUNTING_SQL, EAST_SQL, LON_SQL, counting, latitude, longitude, table, unwrapped_east
 
 CELL_SQL = "(375 / 111320::double)"
 
@@ -109,8 +109,22 @@ round_even((max_x + 180) / {CELL_SQL}, 0)::integer as x1, round_even((max_y + 90
 select fire_id, (x0 - (px // 2 + 16))::bigint as x0, (y0 - (py // 2 + 16))::bigint as y0, (x1 + 1 + px - px // 2 + 16)::bigint as x1, (y1 + 1 + py - py // 2 + 16)::bigint as y1 from p""",
 )
 def f7_padded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "fires").filter("min_x <= max_x")
-    box = S.bbox_cells(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"))
+    return _padded(table(spark, sf_dir, "fires").filter("min_x <= max_x"), F.col("max_x"))
+
+
+@CORE.query(
+    "f7_padded_boxes_date_line",
+    f"""with b as (select distinct fire_id, round_even((min_x + 180) / {CELL_SQL}, 0)::integer as x0, round_even((min_y + 90) / {CELL_SQL}, 0)::integer as y0,
+round_even(({EAST_SQL} + 180) / {CELL_SQL}, 0)::integer as x1, round_even((max_y + 90) / {CELL_SQL}, 0)::integer as y1 from fires), p as (select *, (256 - ((x1 + 1 - x0) % 256)) % 256 as px, (256 - ((y1 + 1 - y0) % 256)) % 256 as py from b)
+select fire_id, (x0 - (px // 2 + 16))::bigint as x0, (y0 - (py // 2 + 16))::bigint as y0, (x1 + 1 + px - px // 2 + 16)::bigint as x1, (y1 + 1 + py - py // 2 + 16)::bigint as y1 from p""",
+)
+def f7_padded_boxes_date_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all fires; the cells of a box across the date line are counted on beyond it."""
+    return _padded(table(spark, sf_dir, "fires"), unwrapped_east())
+
+
+def _padded(f: DataFrame, east: Column) -> DataFrame:
+    box = S.bbox_cells(F.col("min_x"), F.col("min_y"), east, F.col("max_y"))
     f = f.select("fire_id", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))]).distinct()
     out = S.padded_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     return f.select("fire_id", *[c.cast("bigint").alias(n) for c, n in zip(out, ("x0", "y0", "x1", "y1"))])
@@ -184,8 +198,20 @@ def f23_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select distinct fire_id, round(sqrt(pow((max_x - min_x) * 2 * pi() * 6371000 / 360 * cos(radians((min_y + max_y) / 2)), 2) + pow((max_y - min_y) * 2 * pi() * 6371000 / 360, 2)) / 256, 6) as mpp from fires where min_x <= max_x",
 )
 def f29_metres_per_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "fires").filter("min_x <= max_x")
-    mpp = S.metres_per_pixel(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), (F.col("min_y") + F.col("max_y")) / 2, F.lit(256))
+    return _metres(table(spark, sf_dir, "fires").filter("min_x <= max_x"), F.col("max_x"))
+
+
+@CORE.query(
+    "f29_metres_per_pixel_date_line",
+    f"select distinct fire_id, round(sqrt(pow(({EAST_SQL} - min_x) * 2 * pi() * 6371000 / 360 * cos(radians((min_y + max_y) / 2)), 2) + pow((max_y - min_y) * 2 * pi() * 6371000 / 360, 2)) / 256, 6) as mpp from fires",
+)
+def f29_metres_per_pixel_date_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all fires, boxes across the date line being unwrapped."""
+    return _metres(table(spark, sf_dir, "fires"), unwrapped_east())
+
+
+def _metres(f: DataFrame, east: Column) -> DataFrame:
+    mpp = S.metres_per_pixel(east - F.col("min_x"), F.col("max_y") - F.col("min_y"), (F.col("min_y") + F.col("max_y")) / 2, F.lit(256))
     return f.select("fire_id", F.round(mpp, 6).alias("mpp")).distinct()
 
 

@@ -79,6 +79,11 @@ def latitude(name: str = "lat") -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) <= 90), x)
 
 
+def unwrapped_east(west: str = "min_x", east: str = "max_x") -> Column:
+    """The eastern edge of a box, beyond 180 where the box crosses the date line."""
+    return F.when(F.col(east) < F.col(west), F.col(east) + 360).otherwise(F.col(east))
+
+
 #: SQL of the same rules, for the checking engine.
 COUNTING_SQL = (
     "(select * from (select *, row_number() over (partition by sample_id order by loaded_at desc nulls last, "
@@ -90,3 +95,4 @@ SPLIT_SQL = (
     "when lower(trim(split)) like 'test%' then 'test' end"
 )
 LON_SQL = "case when lon >= -180 and lon < 180 then lon else lon - 360.0 * floor((lon + 180.0) / 360.0) end"
+EAST_SQL = "case when max_x < min_x then max_x + 360 else max_x end"
