@@ -9,10 +9,11 @@ from emberframe.functions import scalars as S
 from emberframe.operators import coverage as C
 from emberframe.operators import sampling as P
 from emberframe.operators.graph import label_cells
+from emberframe.operators.rings import boxes_in_rings
 from emberframe.plans.picking import PICKED_SQL, fire_images, picked
 from emberframe.registry import CORE
 from emberframe.session import materialize
-from emberframe.tables import COUNTING_SQL, LON_SQL, counting, latitude, longitude, table
+from emberframe.tables import COUNTING_SQL, EAST_SQL, LON_SQL, counting, latitude, longitude, table
 
 # ---- Q-C: vegetation first, then static, then crop; each tier sees the images that the ones before ask for
 
@@ -155,7 +156,7 @@ g as (select day, w from (select distinct dt as day from samples) d, (select unn
 select f.day, count(*) as n_pairs, count(distinct fire_id) as n_fires from f join g on f.day = g.day and f.max_x >= w and f.min_x <= w + 20 and f.max_y >= -60 and f.min_y <= 70 group by 1""",
 )
 def j19_ring_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fires and swaths of a day whose boxes meet: a fire names the strips it touches, and day and strip are the key."""
+    """Fires and upright strips of a day that meet, as in the SQL; j19_ring_polygons tests polygons."""
     f = table(spark, sf_dir, "fires").filter("min_x <= max_x").select("fire_id", "min_x", "min_y", "max_x", "max_y", "start_date", "end_date").distinct()
     f = f.withColumn("day", F.explode(F.sequence("start_date", "end_date")))
     f = f.withColumns({"a": F.ceil((F.col("min_x") - 20) / 30).cast("int"), "b": F.floor(F.col("max_x") / 30).cast("int")})
@@ -164,6 +165,26 @@ def j19_ring_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(g, "day", "left_semi").groupBy("day").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("fire_id").alias("n_fires"))
 
 
+@CORE.query(
+    "j19_ring_polygons",
+    f"""with f as (select distinct fire_id, min_x as x0, min_y as y0, {EAST_SQL} as x1, max_y as y1, unnest(generate_series(start_date, end_date, interval 1 day))::date as day from fires),
+g as (select day, w from (select distinct dt as day from {COUNTING_SQL} where dt is not null) d, (select unnest(generate_series(-180, 150, 30)) as w)),
+h as (select distinct f.day, fire_id, w from f join g on f.day = g.day and y1 >= -60 and y0 <= 70 join (select unnest([-720, -360, 0, 360]) as k) on x1 + k >= w and x0 + k <= w + 35
+and x1 + k - (y0 + 60) * 15 / 130 >= w and x0 + k - (y1 + 60) * 15 / 130 <= w + 20)
+select day, count(*) as n_pairs, count(distinct fire_id) as n_fires from h group by 1""",
+)
+def j19_ring_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fires and swaths of a day that meet: twelve slanted rings a day stand in for a table of swaths, two of them across the date line."""
+    f = table(spark, sf_dir, "fires").select("fire_id", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), F.col("max_x").alias("x1"), F.col("max_y").alias("y1"), "start_date", "end_date").distinct()
+    f = f.withColumn("day", F.explode(F.sequence("start_date", "end_date"))).drop("start_date", "end_date")
+    days = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "dt")).filter("dt is not null").select(F.col("dt").alias("day")).distinct()
+    fold = lambda x: x - 360.0 * F.floor((x + 180.0) / 360.0)
+    w = F.col("ring_id")
+    ring = F.array(*[F.struct(fold(w + dx).alias("x"), F.lit(y).alias("y")) for dx, y in ((0, -60.0), (20, -60.0), (35, 70.0), (15, 70.0))])
+    rings = days.withColumn("ring_id", F.explode(F.sequence(F.lit(-180), F.lit(150), F.lit(30)))).withColumn("ring", ring)
+    return boxes_in_rings(f, rings).groupBy("day").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("fire_id").alias("n_fires"))
+
+
 # ---- W2, T6, T7: caps and subsets by hash
 
 @CORE.query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberframe.operators import raster as R
 from emberframe.operators.coverage import modal_group
 from emberframe.operators.curve import containing_region
+from emberframe.operators.rings import round_bins
 from emberframe.registry import CORE
 from emberframe.session import materialize
 from emberframe.tables import COUNTING_SQL, EAST_SQL, LON_SQL, counting, latitude, longitude, table, unwrapped_east
@@ -212,14 +213,6 @@ def _dated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(longitude().alias("x"), latitude().alias("y"), "dt").filter("x is not null and y is not null")
 
 
-def round_bins(a: Column, b: Column, size: float) -> Column:
-    """Numbers of the bins of longitude between a and b, b unwrapped, each once; bins of `size` degrees are counted around the globe."""
-    n = int(360 / size)
-    first = F.floor(a / size).cast("int")
-    every = F.sequence(first, F.least(F.floor(b / size).cast("int"), first + (n - 1)))
-    return F.explode(F.transform(every, lambda i: F.pmod(i, F.lit(n))))
-
-
 def points_in_boxes(points: DataFrame, boxes: DataFrame, bin_deg: float = 1.0, wrap: bool = False) -> DataFrame:
     """points(x, y, dt) in boxes(x0, y0, x1, y1, start_date, end_date): an equi-join on bins and months, then the exact test.
 
