@@ -10,7 +10,7 @@ from emberframe.operators import raster as R
 from emberframe.operators import scoring
 from emberframe.plans.scalars import FIRE_TYPES_SQL
 from emberframe.registry import CORE
-from emberframe.tables import COUNTING_SQL, counting, table
+from emberframe.tables import COUNTING_SQL, LON_SQL, counting, latitude, longitude, table
 
 
 def field_pipeline(cells: DataFrame, stats: DataFrame, factor: int, height: int, width: int, missing: float = 0.0) -> DataFrame:
@@ -63,12 +63,29 @@ s as (select sample_id, floor((90 - lat) * 2)::integer as r, floor((lon + 180) *
 select sample_id, height, coalesce(years < y, false) as predates from s left join h on h.r = s.r and h.k = s.k""",
 )
 def s18_canopy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Height under each sample, null without data, and whether its image is older than the sample."""
+    """Height under each sample, null without data, and whether its image is older than the sample; samples with lon of 180 or more are left out, as in the SQL."""
+    s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "lon", "lat", "dt")).filter("lon < 180 and lat is not null")
+    return _canopy(spark, sf_dir, s)
+
+
+@CORE.query(
+    "s18_canopy_dates_folded",
+    f"""with h as (select grid_row as r, grid_col as k, case when cell_value is null or isnan(cell_value) then null else cell_value * 3 end as height, 15 + (grid_row + grid_col) % 8 as years from raster),
+s as (select sample_id, floor((90 - lat) * 2)::integer as r, floor((ln + 180) * 2)::integer as k, year(dt) - 2000 + (dayofyear(dt) - 1) / 365.25 as y from (select *, {LON_SQL} as ln from {COUNTING_SQL}) where ln is not null and abs(lat) <= 90)
+select sample_id, height, coalesce(years < y, false) as predates from s left join h on h.r = s.r and h.k = s.k""",
+)
+def s18_canopy_dates_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all located samples, in either convention of longitude."""
+    s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "lon", "lat", "dt"))
+    s = s.select("sample_id", longitude().alias("lon"), latitude().alias("lat"), "dt").filter("lon is not null and lat is not null")
+    return _canopy(spark, sf_dir, s)
+
+
+def _canopy(spark: SparkSession, sf_dir: str, s: DataFrame) -> DataFrame:
     v = F.col("cell_value")
     h = table(spark, sf_dir, "raster").select(
         F.col("grid_row").alias("r"), F.col("grid_col").alias("k"), F.when(v.isNotNull() & ~F.isnan(v), v * 3).alias("height"), (15 + (F.col("grid_row") + F.col("grid_col")) % 8).alias("years")
     )
-    s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "lon", "lat", "dt")).filter("lon < 180 and lat is not null")
     s = s.select("sample_id", F.floor((90 - F.col("lat")) * 2).cast("int").alias("r"), F.floor((F.col("lon") + 180) * 2).cast("int").alias("k"), S.years_since_2000("dt").alias("y"))
     return s.join(h, ["r", "k"], "left").select("sample_id", "height", F.coalesce(F.col("years") < F.col("y"), F.lit(False)).alias("predates"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberframe.functions import scalars as S
 from emberframe.operators import history as H
 from emberframe.registry import CORE
-from emberframe.tables import COUNTING_SQL, counting, fire_by_right, table
+from emberframe.tables import COUNTING_SQL, LON_SQL, counting, fire_by_right, latitude, longitude, table
 
 _SAMPLE = ("sample_id", "load_order", "loaded_at")
 
@@ -48,7 +48,21 @@ select x, y, fire_id from (select *, row_number() over (partition by x, y order
 )
 def w8_latest_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fire that burned last in each cell of a degree."""
-    s = samples(spark, sf_dir, "fire_id", "lon", "lat", "dt").filter("fire_id is not null and lon is not null and lat is not null")
+    return _latest_fire(samples(spark, sf_dir, "fire_id", "lon", "lat", "dt"))
+
+
+@CORE.query(
+    "w8_latest_fire_folded",
+    f"""with c as (select cast(floor({LON_SQL}) as integer) as x, cast(floor(lat) as integer) as y, fire_id, dt, load_order from {COUNTING_SQL} where fire_id is not null and lon is not null and abs(lat) <= 90)
+select x, y, fire_id from (select *, row_number() over (partition by x, y order by dt desc, load_order desc) as rn from c) where rn = 1""",
+)
+def w8_latest_fire_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with both conventions of longitude brought to one cell."""
+    return _latest_fire(samples(spark, sf_dir, "fire_id", "lon", "lat", "dt").withColumns({"lon": longitude(), "lat": latitude()}))
+
+
+def _latest_fire(s: DataFrame) -> DataFrame:
+    s = s.filter("fire_id is not null and lon is not null and lat is not null")
     c = s.groupBy(F.floor("lon").cast("int").alias("x"), F.floor("lat").cast("int").alias("y"))
     return c.agg(F.max(F.struct("dt", "load_order", "fire_id")).alias("t")).select("x", "y", F.col("t.fire_id").alias("fire_id"))
 

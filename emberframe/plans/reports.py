@@ -7,7 +7,7 @@ training region, supplier's region the region scored, and the discount the score
 from __future__ import annotations
 
 from emberframe.registry import CORE
-from emberframe.tables import COUNTING_SQL, EAST_SQL
+from emberframe.tables import COUNTING_SQL, EAST_SQL, LON_SQL
 
 _C = COUNTING_SQL.replace("try_cast", "try_cast")
 
@@ -98,6 +98,8 @@ c as (select sum(n * (n - 1) / 2e0) as s from k), ca as (select sum(n * (n - 1)
 select round(mi / ((ha.h + hb.h) / 2), 6) as nmi, round((c.s - ca.s * cb.s / (t * (t - 1) / 2e0)) / ((ca.s + cb.s) / 2 - ca.s * cb.s / (t * (t - 1) / 2e0)), 6) as ari, round(purity, 6) as purity
 from mi cross join ha cross join hb cross join pu cross join c cross join ca cross join cb cross join t""",
     "a42_sample_density": f"""with s as (select cast(floor(lon / 3) as integer) as x, cast(floor(lat / 3) as integer) as y, year(dt) as yr from {_C} s where lon is not null and lat is not null),
+p as (select yr, cast(floor((dense_rank() over (order by yr) - 1) / 2) as integer) as pair from (select distinct yr from s) q) select pair, x, y, count(*) as n from s join p on s.yr = p.yr group by pair, x, y""",
+    "a42_sample_density_folded": f"""with s as (select cast(floor(({LON_SQL}) / 3) as integer) as x, cast(floor(lat / 3) as integer) as y, year(dt) as yr from {_C} s where lon is not null and abs(lat) <= 90),
 p as (select yr, cast(floor((dense_rank() over (order by yr) - 1) / 2) as integer) as pair from (select distinct yr from s) q) select pair, x, y, count(*) as n from s join p on s.yr = p.yr group by pair, x, y""",
     "a48_class_balance": """select user_id % 5 as region_id, round(avg(case when event_type in ('error', 'purchase') then 1e0 else 0e0 end), 6) as positive, round(avg(case when event_type = 'view' then 1e0 else 0e0 end), 6) as nodata from events group by 1""",
     "a49_display_range": """select event_type, percentile_cont(0.02) within group (order by value) as lo, percentile_cont(0.98) within group (order by value) as hi from events group by event_type""",
@@ -108,6 +110,8 @@ p as (select yr, cast(floor((dense_rank() over (order by yr) - 1) / 2) as intege
     "a54_histogram": """with l as (select min(value) as lo, max(value) as hi from events) select least(9, cast(floor((value - lo) / (hi - lo) * 10) as integer)) as bin, count(*) as n from events cross join l group by 1""",
     "a33_channel_stats": """select event_type as channel, round(avg(value), 6) as mean, round(greatest(stddev_pop(value), 1e-6), 6) as std, count(*) as n from events group by event_type""",
     "a44_detection_counts": f"""select cast(floor(lon * 10) as integer) as x, cast(floor(lat * 10) as integer) as y, count(distinct dt) as n from {_C} s where lon is not null and lat is not null group by 1, 2""",
+    # Rounded, since folding leaves a place on the edge of a cell just below it.
+    "a44_detection_counts_folded": f"""select cast(floor(round(({LON_SQL}) * 10, 6)) as integer) as x, cast(floor(round(lat * 10, 6)) as integer) as y, count(distinct dt) as n from {_C} s where lon is not null and abs(lat) <= 90 group by 1, 2""",
     "a47_export_rows": """select user_id as sample_id, count(*) filter (where event_type in ('error', 'purchase')) as n_gt, round(count(*) filter (where event_type in ('error', 'purchase')) * 140625e-6, 6) as area_km2,
 round(avg(case when event_type <> 'signup' then value / 491 end), 6) as mean_prob from events group by user_id""",
     # Joins on keys

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.operators import coverage as C
@@ -14,7 +14,7 @@ from emberframe.registry import CORE
 from emberframe.session import materialize, shared_dir
 from emberframe.sources import store as S
 from emberframe.streaming import windows as W
-from emberframe.tables import COUNTING_SQL, counting, table
+from emberframe.tables import COUNTING_SQL, LON_SQL, counting, latitude, longitude, table
 
 
 def _folder(spark: SparkSession) -> str:
@@ -241,8 +241,30 @@ count(*) as n_samples, max(case when a = 1 then sample_id end) as first_sample f
 def a45_event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their span, centre and first sample; j33_event_samples has the ordered rest, as rows."""
     s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "fire_id", "dt", "lon", "lat")).filter("fire_id is not null")
+    return _rollup(s, F.avg("lon"))
+
+
+@CORE.query(
+    "a45_event_rollup_folded",
+    f"""with s as (select *, {LON_SQL} as ln, case when abs(lat) <= 90 then lat end as la, row_number() over (partition by fire_id order by dt, load_order) as a from {COUNTING_SQL} q where fire_id is not null),
+c as (select *, case when max(ln) over (partition by fire_id) - min(ln) over (partition by fire_id) > 180 and ln < 0 then ln + 360 else ln end as lu from s),
+m as (select fire_id as id, min(dt) as start, max(dt) as "end", (date_diff('day', min(dt), max(dt)) + 1)::integer as duration_days, avg(lu) as lon, round(avg(la), 6) as lat,
+count(*) as n_samples, max(case when a = 1 then sample_id end) as first_sample from c group by 1)
+select id, start, "end", duration_days, round(case when lon >= 180 then lon - 360 else lon end, 6) as lon, lat, n_samples, first_sample from m""",
+)
+def a45_event_rollup_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with both conventions of longitude brought to one; an event that spans more than 180 degrees lies across the
+    date line, and its western longitudes are averaged beyond 180."""
+    s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "fire_id", "dt", "lon", "lat")).filter("fire_id is not null")
+    s = s.withColumns({"lon": longitude(), "lat": latitude()})
+    east = F.avg(F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon")))
+    lon = F.when(F.max("lon") - F.min("lon") > 180, east).otherwise(F.avg("lon"))
+    return _rollup(s, F.when(lon >= 180, lon - 360).otherwise(lon))
+
+
+def _rollup(s: DataFrame, lon: Column) -> DataFrame:
     return s.groupBy(F.col("fire_id").alias("id")).agg(
         F.min("dt").alias("start"), F.max("dt").alias("end"), (F.datediff(F.max("dt"), F.min("dt")) + 1).alias("duration_days"),
-        F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"), F.count(F.lit(1)).alias("n_samples"),
+        F.round(lon, 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"), F.count(F.lit(1)).alias("n_samples"),
         F.min(F.struct("dt", "load_order", "sample_id"))["sample_id"].alias("first_sample"),
     )
