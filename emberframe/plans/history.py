@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from emberframe.functions import scalars as S
 from emberframe.operators import history as H
 from emberframe.registry import CORE
-from emberframe.tables import COUNTING_SQL, LON_SQL, counting, fire_by_right, latitude, longitude, table
+from emberframe.session import materialize
+from emberframe.tables import COUNTING_SQL, LON_SQL, counting, fire_by_right, latitude, longitude, table, unwrapped_east
 
 _SAMPLE = ("sample_id", "load_order", "loaded_at")
 
@@ -267,12 +268,35 @@ def s13_tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     "w16_spread_picks",
 )
 def w16_spread_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to six of the largest fires at least 30 degrees apart, filled up by size; over the top 500, which is the operator's bound."""
-    f = table(spark, sf_dir, "fires").filter("num_fire is not null and min_x <= max_x").groupBy("fire_id").agg(
-        F.max("num_fire").alias("num_fire"), F.avg((F.col("min_x") + F.col("max_x")) / 2).alias("x"), F.avg((F.col("min_y") + F.col("max_y")) / 2).alias("y")
+    """Six of the largest fires at least 30 degrees apart, filled up by size; boxes across the date line are unwrapped."""
+    f = table(spark, sf_dir, "fires").withColumn("east", unwrapped_east()).filter("fire_id is not null and num_fire is not null and min_x is not null and max_x is not null")
+    x = F.avg((F.col("min_x") + F.col("east")) / 2)
+    f = f.groupBy("fire_id").agg(
+        F.max("num_fire").alias("num_fire"), F.when(x >= 180, x - 360).otherwise(x).alias("x"), F.avg((F.col("min_y") + F.col("max_y")) / 2).alias("y")
     )
-    top = f.orderBy(F.col("num_fire").desc(), "fire_id").limit(500).collect()
-    return spark.createDataFrame(spread_pick([(r["fire_id"], r["x"], r["y"], r["num_fire"]) for r in top], 6, 30.0), "fire_id int, x double, y double, num_fire int")
+    return spark.createDataFrame(spread_largest(f, 6, 30.0), "fire_id int, x double, y double, num_fire int")
+
+
+def spread_largest(fires: DataFrame, n: int, apart: float) -> list[tuple]:
+    """Greedy choice of n rows of fires(fire_id, num_fire, x, y) over the whole table, as spread_pick makes it of a ranked list.
+
+    Each round takes the largest fire, ties to the smaller fire_id, that lies at least `apart` degrees from all chosen, as one
+    small aggregate; longitudes are compared the short way around. Where none is left, the largest of the rest fill up.
+    """
+    f = materialize(fires.select("fire_id", "num_fire", "x", "y"))
+    best = F.max(F.struct("num_fire", (-F.col("fire_id").cast("long")).alias("id"), "x", "y")).alias("t")
+    chosen: list[tuple] = []
+    far = F.lit(True)
+    while len(chosen) < n:
+        t = f.filter(far).agg(best).first()["t"]
+        if t is None:
+            break
+        chosen.append((-t["id"], t["x"], t["y"], t["num_fire"]))
+        dx = F.abs(F.col("x") - t["x"])
+        d2 = F.pow(F.least(dx, 360 - dx), 2) + F.pow(F.col("y") - t["y"], 2)
+        far = far & (d2 >= apart**2) & (F.col("fire_id") != -t["id"])
+    rest = f.filter(~F.col("fire_id").isin([c[0] for c in chosen])).orderBy(F.col("num_fire").desc(), "fire_id").limit(n - len(chosen))
+    return chosen + [(r["fire_id"], r["x"], r["y"], r["num_fire"]) for r in rest.collect()] if len(chosen) < n else chosen
 
 
 def spread_pick(ranked: list[tuple], n: int, apart: float) -> list[tuple]:

@@ -1,10 +1,12 @@
 """Boxes across the date line, against brute force."""
 
 import datetime as d
+import random
 
 import pytest
 
 from emberframe.plans import registry
+from emberframe.plans.history import spread_largest, spread_pick
 
 CORE = registry()
 DAY = d.date(2020, 1, 1)
@@ -46,3 +48,22 @@ def test_every_fire_has_a_box(spark, sf_dir):
     mpp = {r["fire_id"]: r["mpp"] for r in CORE.queries["f29_metres_per_pixel_date_line"](spark, sf_dir).collect()}
     assert len(mpp) == len(BOXES) and 1_700 < mpp[1] < 1_800
     assert CORE.queries["j30_density_lookup_date_line"](spark, sf_dir).first()["found"] == len(POINTS)
+
+
+def test_spread_picks_walk_the_whole_table(spark, tmp_path):
+    """600 large fires on one spot, smaller ones elsewhere, one of them across the line and one just beside it."""
+    near = [(i, 10_000 - i, 10.0, 10.0, 10.2, 10.2) for i in range(1, 601)]
+    rest = [(701, 90, 179.0, 0.0, -177.0, 1.0), (702, 80, -179.0, 0.0, -178.0, 1.0), (703, 70, 100.0, 0.0, 101.0, 1.0)]
+    schema = "fire_id int, num_fire int, min_x double, min_y double, max_x double, max_y double"
+    spark.createDataFrame(near + rest + rest[:1], schema).write.parquet(f"{tmp_path}/fires.parquet")
+    got = [tuple(r) for r in CORE.queries["w16_spread_picks"](spark, str(tmp_path)).collect()]
+    assert [r[0] for r in got] == [1, 701, 703, 2, 3, 4] and got[1][1] == -179.0
+
+
+def test_spread_largest_as_spread_pick(spark):
+    r = random.Random(5)
+    rows = [(i, r.randrange(50), r.uniform(-80, 80), r.uniform(-60, 60)) for i in range(300)]
+    ranked = [(i, x, y, n) for i, n, x, y in sorted(rows, key=lambda v: (-v[1], v[0]))]
+    f = spark.createDataFrame(rows, "fire_id int, num_fire int, x double, y double")
+    for n, apart in ((6, 30.0), (12, 70.0), (0, 30.0)):
+        assert spread_largest(f, n, apart) == spread_pick(ranked, n, apart)
