@@ -271,9 +271,13 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
         if first is not None and _opens(text, start, first) and _names_speaker(text, end, hi, name):
             continue
         before = text[max(start, end - 20) : end]
+        if _RUN.search(before):
+            before = _squeezed(text, end, start, -1, 20)
         if not before.isascii():
             before = unicodedata.normalize("NFC", before)
         after = text[end : min(hi, end + 28)]
+        if _RUN.search(after):
+            after = _squeezed(text, end, hi, 1, 28)
         if blank:
             decision = not after.lstrip(" \u00a0\u202f").startswith("ๆ")
         else:
@@ -287,6 +291,28 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
         out.append((start, hi))
 
 
+_RUN = re.compile(r"\s\s")
+
+
+def _squeezed(text: str, at: int, stop: int, step: int, size: int) -> str:
+    """Up to `size` characters before or after `at`, a run of white space being one: a line break if it holds one.
+
+    What the rules see so doesn't depend on how far words stand apart.
+    """
+    out: list[str] = []
+    i = at if step > 0 else at - 1
+    stop = stop if step > 0 else stop - 1
+    while i != stop and len(out) < size:
+        c = text[i]
+        i += step
+        if c.isspace():
+            while i != stop and text[i].isspace():
+                c = "\n" if "\n" in (c, text[i]) else c
+                i += step
+        out.append(c)
+    return "".join(out[::step])
+
+
 def _decide(rules: list, before: str, after: str) -> bool:
     for decision, left, right in rules:
         if (right is None or right.match(after)) and (left is None or left.search(before)):
@@ -301,7 +327,9 @@ def _opens(text: str, start: int, quote: int) -> bool:
 
 def _names_speaker(text: str, end: int, hi: int, name: str) -> bool:
     """Whether what follows a quotation goes on with it: not another opening mark and, where case tells, no new sentence."""
-    rest = text[end : min(hi, end + 80)].lstrip()
+    while end < hi and text[end].isspace():
+        end += 1
+    rest = text[end : min(hi, end + 80)]
     if not rest or rest[0] in "\"'«“„‘「『(（¿¡":
         return False
     if name in _LATIN or name == "ru":

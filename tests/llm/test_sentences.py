@@ -54,3 +54,11 @@ def test_frame(spark):
     got = sorted(tuple(x) for x in sentences(d).collect())
     assert got == [(1, 1, 1, 5), (1, 1, 1, 5), (1, 2, 6, 10), (1, 2, 6, 10)]
     assert sentences(d.limit(0)).count() == 0
+
+
+def test_layout_does_not_hide_what_rules_look_at():
+    for gap in (" ", "\n" + " " * 30, " " * 40, " " * 300):
+        assert split(f"Ask Dr.{gap}Smith. It rained.", "en") == [f"Ask Dr.{gap}Smith.", "It rained."]
+        assert split(f"Er kam am{gap}3.{gap}Mai an. Es regnete.", "de") == [f"Er kam am{gap}3.{gap}Mai an.", "Es regnete."]
+        assert split(f"\u201cRun!\u201d{gap}said the guard. It rained.", "en") == [f"\u201cRun!\u201d{gap}said the guard.", "It rained."]
+        assert split(f"It burned.{gap}Then it rained.", "en") == ["It burned.", "Then it rained."]
