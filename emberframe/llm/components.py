@@ -7,6 +7,8 @@ the graph of those values; every component is then sent to one split by weighted
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,7 +113,7 @@ def _unit_py(spark, keys: list[str], splits: list[str], seed: int) -> dict[tuple
     return {(r["k"], s): r[s] for r in rows for s in splits}
 
 
-def assign_splits(components: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
+def assign_splits(components: DataFrame, shares: dict[str, float], seed: int = 0, periods: DataFrame | None = None) -> DataFrame:
     """components(component, stratum, n) with `split`, one per component.
 
     stratum is the component's main stratum and n its records. The few heavy components (at most 1 / HEAVY, so
@@ -119,17 +121,31 @@ def assign_splits(components: DataFrame, shares: dict[str, float], seed: int = 0
     the splits still lack in total and in its stratum; a split that could not take it without passing its share
     has weight 0 unless none can. The rest is hashed in place, weighted by what remains to each split in
     the stratum, so shares hold overall and by stratum up to the spread of many small components.
+
+    periods(component, period STRING, n) are the component's records by period, few in number: heavy components are then
+    weighted also with what the splits lack in their periods, and the rest by stratum and main period.
     """
     if not shares or min(shares.values()) < 0 or sum(shares.values()) <= 0:
         raise ValueError("shares must be positive")
     spark, total_share = components.sparkSession, sum(shares.values())
     shares = {s: w / total_share for s, w in shares.items()}
+    if periods is not None:
+        periods = materialize(periods)
+        main = periods.groupBy("component").agg(F.max(F.struct("n", "period"))["period"].alias("period"))
+        components = components.join(main, "component", "left")
     rows = materialize(components)
     strata = rows.groupBy("stratum").agg(F.sum("n").alias("n")).collect()
     total = sum(r["n"] for r in strata)
     heavy = rows.filter(F.col("n") >= max(2.0, HEAVY * total)).collect() if total else []
     lack = {(r["stratum"], s): w * r["n"] for r in strata for s, w in shares.items()}
     whole = {s: w * total for s, w in shares.items()}
+    spans: dict = {}
+    lack_p: dict = {}
+    if periods is not None:
+        lack_p = {(r["period"], s): w * r["n"] for r in periods.groupBy("period").agg(F.sum("n").alias("n")).collect() for s, w in shares.items()}
+        chosen = spark.createDataFrame([(r["component"],) for r in heavy], "component string")
+        for r in periods.join(F.broadcast(chosen), "component", "left_semi").collect():
+            spans.setdefault(r["component"], []).append((r["period"], r["n"]))
     u = _unit_py(spark, [r["component"] for r in heavy], list(shares), seed)
     placed = []
     for r in sorted(heavy, key=lambda r: (-r["n"], r["component"])):
@@ -137,29 +153,67 @@ def assign_splits(components: DataFrame, shares: dict[str, float], seed: int = 0
         pool = fits or [max(shares, key=lambda s: whole[s])]
         near = [s for s in pool if lack[r["stratum"], s] >= r["n"]] or pool
         weight = {s: max(whole[s], 1e-9) * max(lack[r["stratum"], s], 1e-9) for s in near}
+        if periods is not None:
+            span = spans.get(r["component"], [])
+            # The share of its records that their periods can take.
+            takes = {s: sum(min(n, max(lack_p[p, s], 0.0)) for p, n in span) / r["n"] for s in near}
+            weight = {s: weight[s] * max(takes[s], 1e-9) ** 2 for s in near}
         split = max(near, key=lambda s: (-weight[s] / math.log(u[r["component"], s]), s))
         whole[split] -= r["n"]
         lack[r["stratum"], split] -= r["n"]
+        for p, n in spans.get(r["component"], []):
+            lack_p[p, split] -= n
         placed.append((r["component"], split))
     # What the heavy ones took too much in one stratum is given back by the others, in proportion to their size.
     rest = {r["stratum"]: r["n"] for r in strata}
     for r in heavy:
         rest[r["stratum"]] -= r["n"]
     left = {s: max(0.0, whole[s]) for s in shares}
+    if periods is not None:
+        cells = {(r["stratum"], r["period"]): float(r["n"]) for r in rows.groupBy("stratum", "period").agg(F.sum("n").alias("n")).collect()}
+        for r in heavy:
+            cells[r["stratum"], r["period"]] -= r["n"]
+        return _placed(rows, placed, ["stratum", "period"], cells, _fit_both(cells, left, lack, lack_p), shares, seed)
     weights = _fit({k: float(v) for k, v in rest.items()}, left, {k: max(0.0, v) for k, v in lack.items()})
+    return _placed(rows, placed, ["stratum"], {(k,): n for k, n in rest.items()}, {((k,), s): w for (k, s), w in weights.items()}, shares, seed)
+
+
+def _placed(rows: DataFrame, placed: list, keys: list[str], cells: dict, weights: dict, shares: dict, seed: int) -> DataFrame:
+    """rows with the splits of heavy components, and by rendezvous hashing with the weights of its cell for each of the rest."""
+    spark = rows.sparkSession
     table = spark.createDataFrame(
-        [(k, *[float(weights[k, s]) for s in shares]) for k in rest], "stratum string, " + ", ".join(f"`w_{s}` double" for s in shares)
+        [(*k, *[float(weights[k, s]) for s in shares]) for k in cells],
+        ", ".join([f"{k} string" for k in keys] + [f"`w_{s}` double" for s in shares]),
     )
     done = spark.createDataFrame(placed, "component string, placed string")
     split = rendezvous(F.col("component"), {s: F.col(f"w_{s}") for s in shares}, seed)
     least = F.lit(max(shares, key=shares.get))
     return (
         rows.join(F.broadcast(done), "component", "left")
-        .join(table, rows["stratum"].eqNullSafe(table["stratum"]), "left")
+        .join(table, reduce(and_, [rows[k].eqNullSafe(table[k]) for k in keys]), "left")
         .select(rows["component"], rows["stratum"], "n", F.coalesce("placed", split, least).alias("split"))
     )
 
 
+def _fit_both(cells: dict, left: dict, lack: dict, lack_p: dict, rounds: int = 200) -> dict:
+    """Weights by cell (stratum, period) and split, raked in turn to what splits lack in strata, in periods and in all."""
+    w = {(k, s): left[s] + 1e-6 for k in cells for s in left}
+    views = [(lambda k: k[0], lack), (lambda k: k[1], lack_p), (lambda k: None, {(None, s): v for s, v in left.items()})]
+    for _ in range(rounds):
+        for of, wanted in views:
+            have: dict = {}
+            for (k, s), v in w.items():
+                have[of(k), s] = have.get((of(k), s), 0.0) + v
+            for k, s in w:
+                got, want = have[of(k), s], max(0.0, wanted.get((of(k), s), 0.0))
+                w[k, s] *= want / got if got > 0 else 0.0
+            for k, n in cells.items():
+                got = sum(w[k, s] for s in left)
+                for s in left:
+                    w[k, s] = w[k, s] * n / got if got > 0 else left[s]
+    return w
+
+
 def _fit(rest: dict, left: dict, lack: dict, rounds: int = 200) -> dict:
     """Weights by stratum and split whose sums come near to `rest` by stratum and to `left` by split (raking)."""
     w = {(k, s): max(lack[k, s], 1e-6 * (1 + rest[k])) for k in rest for s in left}

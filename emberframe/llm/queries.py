@@ -75,7 +75,8 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("r").isNotNull(), F.struct("n", (-F.col("r")).alias("r")))).alias("top"),
     )
     comps = comps.select("component", "n", (-F.col("top.r")).cast("string").alias("stratum"))
-    return rows.join(assign_splits(comps, SHARES).select("component", F.col("split").alias("new_split")), "component")
+    years = rows.groupBy("component", F.coalesce(F.year("dt").cast("string"), F.lit("none")).alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(assign_splits(comps, SHARES, periods=years).select("component", F.col("split").alias("new_split")), "component")
 
 
 @LLM.query("p1_splits")

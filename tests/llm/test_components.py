@@ -67,3 +67,14 @@ def test_splits_of_nothing_and_of_one(spark):
     assert assign_splits(one, {"train": 0.6, "test": 0.4}).first()["split"] in ("train", "test")
     with pytest.raises(ValueError):
         assign_splits(one, {})
+
+
+def test_splits_follow_periods(spark):
+    """A heavy component of one year is made up for by the others of that year."""
+    rows = [("big", "1", 200, "2020")] + [(f"c{y}-{i}", "1", 1, str(y)) for y in range(2018, 2026) for i in range(300 if y == 2020 else 500)]
+    d = spark.createDataFrame(rows, "component string, stratum string, n long, period string")
+    got = assign_splits(d.drop("period"), {"train": 0.6, "val": 0.15, "test": 0.25}, periods=d.select("component", "period", "n"))
+    by = got.join(d.select("component", "period"), "component").groupBy("period", "split").agg({"n": "sum"}).collect()
+    share = {(r["period"], r["split"]): r[2] / 500 for r in by}
+    assert got.count() == len(rows) and got.filter("split is null").count() == 0
+    assert all(abs(share.get((str(y), s), 0) - w) < 0.06 for y in range(2018, 2026) for s, w in (("train", 0.6), ("val", 0.15), ("test", 0.25)))
