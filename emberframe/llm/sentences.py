@@ -2,8 +2,8 @@
 
 A paragraph (text between blank lines) is read for terminators. At each one, unless it stands inside a quotation or
 bracket, the tables of the paragraph's language are tried in order: its own, those of its script, those for all. A rule
-is (decision, before, after): two regular expressions, matched against what ends at the terminator and its
-closing quotes, and against what follows. The first rule that matches both decides the position.
+is (decision, before, after): two regular expressions, matched backwards from the end of the terminator and its
+closing quotes, and forwards from there. The first rule that matches both decides the position.
 """
 
 from __future__ import annotations
@@ -27,14 +27,30 @@ _MARKS = re.compile("[\"'«»“”„‘’‚「」『』‹›〈〉《》()\
 _CLOSING = set("\"'»”“«’‘」』›〉》)]）】］〕")
 
 
+# A rule's left side is matched backwards from the terminator, on the reversed paragraph, and its right side forwards,
+# so that both see as far as they need, back to the sentence's start and on to the paragraph's end, and cost no more
+# than what they match. Possessive quantifiers keep long runs of blanks linear.
+_EDGE = r"(?=[\s(\[\"'«“„‘¿¡/-]|\Z)"
+_MARK = "[̀-ͯ]*+"
+
+
+def _reversed(name: str) -> str:
+    """A name as it stands in reversed text, with accents composed or not; a blank in it may be missing or wide."""
+    forms = dict.fromkeys(unicodedata.normalize(f, name)[::-1] for f in ("NFC", "NFD"))
+    return "|".join(re.escape(x).replace(r"\ ", r"\s*+") for x in forms)
+
+
+def _names(*names: str) -> str:
+    """One of the names as a whole word."""
+    return f"(?:{'|'.join(map(_reversed, names))}){_EDGE}"
+
+
 def _abbreviations(*names: str) -> str:
-    """Matches one of the names with a dot at the end, as a whole word; a blank in a name may be missing or wide."""
-    alternatives = "|".join(re.escape(n).replace(r"\ ", r"\s?") for n in names)
-    return rf"(?:^|[\s(\[\"'«“„‘¿¡/-])(?:{alternatives})\.$"
+    return r"\." + _names(*names)
 
 
-_DIGIT = r"\s*[\dIVXivx]"
-_WORD_AFTER = r"\s+\S"
+_DIGIT = r"\s*+[\dIVXivx]"
+_WORD_AFTER = r"\s++\S"
 
 # Common abbreviations by language. Those of the first kind precede a name or word and never end a
 # sentence, those of the second stay with a number after them.
@@ -43,6 +59,10 @@ _TITLES = {
     "es": ["Sr", "Sra", "Srta", "Sres", "Dr", "Dra", "Dres", "Ing", "Lic", "Arq", "Prof", "Gral", "Cap", "Cnel", "Tte", "Sto", "Sta", "Ud", "Uds", "Vd", "D", "Dña", "aprox", "p. ej", "ej", "máx", "mín", "Av", "Avda", "dpto"],
     "de": ["Dr", "Prof", "Hr", "Hrn", "Fr", "Hptm", "Ltn", "Lt", "Ofw", "Gen", "St", "Dipl", "Ing", "ca", "bzw", "vgl", "bspw", "evtl", "ggf", "inkl", "exkl", "max", "min", "sog", "u. a", "z. B", "d. h", "z. T", "o. ä", "i. d. R", "s. o", "s. u", "v. a", "u. U"],
     "fr": ["M", "MM", "Mme", "Mlle", "Mmes", "Dr", "Pr", "Me", "Mgr", "St", "Ste", "env", "p. ex", "cf", "av", "bd", "c.-à-d", "Cdt", "Cne", "Col", "Gal", "Lt"],
+    "pt": ["Sr", "Sra", "Srta", "Exmo", "Exma", "Ilmo", "Ilma", "Dr", "Dra", "Prof", "Profa", "Eng", "Gen", "Cap", "Cel", "Ten", "Sgt", "D", "Av", "p. ex", "aprox", "máx", "mín"],
+    "it": ["sig", "Sig", "sigg", "Sigg", "dott", "ing", "avv", "Dott", "Prof", "Ing", "Avv", "Arch", "Gen", "Col", "Cap", "Ten", "On", "Mons", "ad es", "p. es", "ca", "cfr", "max", "min"],
+    "nl": ["Dhr", "dhr", "Mevr", "mevr", "Dr", "dr", "Prof", "prof", "Ir", "ir", "Mr", "mr", "Drs", "drs", "St", "bijv", "bv", "d.w.z", "o.a", "ca", "max", "min", "resp"],
+    "tr": ["Dr", "Prof", "Doç", "Sn", "Av", "Alb", "Yzb", "örn", "bkz"],
     "hi": ["डॉ", "श्री", "श्रीमती", "प्रो", "पं", "सु", "कु", "स्व"],
     "ar": ["د", "أ", "أ.د", "م", "ص", "ج", "ت"],
     "ru": ["г", "гг", "им", "ул", "д", "кв", "проф", "акад", "т. е", "т. д", "т. п", "тов", "гр"],
@@ -52,14 +72,33 @@ _NUMBERED = {
     "es": "pág págs p pp núm núms art arts fig figs cap vol n nº tel".split(),
     "de": "Nr Nrn Abb Abs Art Tab Kap Bd S Anm Anl Tel Str".split(),
     "fr": "p pp art fig n no nº vol chap ch réf tél al".split(),
+    "pt": "pág págs p pp núm n nº art fig cap vol tel".split(),
+    "it": "pag pagg p pp n nn art fig cap vol tel".split(),
+    "nl": "nr nrs blz p art fig hfdst tel".split(),
+    "tr": "No no s sf md".split(),
     "ru": "рис стр с гл п см табл".split(),
 }
+# Words that begin a sentence and are no names, so that a letter or title with an article before it, as in
+# "a D. Then", ended one; and articles, which a name of a person doesn't follow.
+_STARTERS = {
+    "en": "The Then They We This These Those That It He She But And If When There".split(),
+    "es": "El Ella Ellos Luego Después Pero Se Nadie Cuando Entonces Hay".split(),
+    "de": "Der Die Das Dann Wir Sie Er Es Aber Und Wenn Danach Niemand".split(),
+    "fr": "Il Elle Ils Elles On Puis Nous Mais Cette Ensuite Quand Personne".split(),
+}
+_ARTICLES = {"en": "the a an".split(), "es": "el la un una los las".split(), "de": "der die das den dem ein eine".split(), "fr": "le la un une les".split()}
+#: Abbreviations of the first kind that are no titles; a starter may follow them within the sentence.
+_LINKING = {*"e.g i.e cf vs viz ca approx ej aprox c.-à-d env bzw vgl bspw evtl ggf inkl exkl sog".split(), "p. ej", "p. ex", "u. a", "z. B", "d. h", "z. T", "o. ä", "i. d. R", "s. o", "s. u", "v. a", "u. U"}
 
-_START = r"\s*[\"'«“„‘‚「『‹(\[（¿¡—–-]*\s*"
-_UPPER = rf"{_START}(?:[A-ZÀ-ÖØ-ÞĀ-ŽͰ-ϿЀ-Я\d]|[¿¡])"
-_LOWER = r"\s*[\"'»”’)\]]*\s*[a-zß-öø-ÿ]"
+_START = r"\s*+[\"'«“„‘‚「『‹(\[（¿¡—–-]*+\s*+"
+_UPPER = rf"{_START}(?:[A-ZÀ-ÖØ-ÞĀ-ŽͰ-ϿЀ-Я\d]|(?<=[¿¡]))"
+_LOWER = r"\s*+[\"'»”’)\]]*+\s*+[a-zß-öø-ÿа-я]"
 
+#: Languages told apart by function words; _TABLED have a table besides and count where they are stated.
 _LATIN = ("en", "es", "de", "fr")
+_TABLED = ("pt", "it", "nl", "tr")
+#: Where neither words nor the stated language tell, all of these are tried.
+_NEUTRAL = "neutral"
 
 RULES: dict[str, list[tuple[bool, str, str]]] = {
     lang: [
@@ -68,42 +107,53 @@ RULES: dict[str, list[tuple[bool, str, str]]] = {
     ]
     for lang in {*_TITLES, *_NUMBERED}
 }
+for _lang, _words in _STARTERS.items():
+    _next = rf"\s++(?:{'|'.join(_words)})\b"
+    _article = rf"\s++{_names(*_ARTICLES[_lang])}"
+    _sure = "|".join(_reversed(t) for t in _TITLES[_lang] if t not in _LINKING)
+    RULES[_lang].insert(0, (BREAK, rf"\.(?:{_sure}|{_MARK}[A-ZÀ-ÖØ-Þ]){_article}", _next))
+_DE_BEFORE = "der die das dem den des am vom zum zur im ab bis seit jede jeder jeden jedes ein eine einem einen einer".split()
 RULES["de"] += [
     # An ordinal: after an article or preposition, or before the name of a month.
-    (STAY, r"(?:^|\s)(?i:der|die|das|dem|den|des|am|vom|zum|zur|im|ab|bis|seit|jede[rns]?|ein(?:e[mnr]?)?)\s+\d{1,3}\.$", r"\s+\w"),
-    (STAY, r"\b\d{1,2}\.$", r"\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert)\b"),
+    (STAY, rf"\.\d{{1,3}}\s++(?i:{'|'.join(map(_reversed, _DE_BEFORE))})(?=\s|\Z)", r"\s++\w"),
+    (STAY, r"\.\d{1,2}(?!\w)", r"\s++(?:Januar|Februar|M(?:ä|ä)rz|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert)\b"),
 ]
 RULES["latin"] = [
     # The first part of an abbreviation of several letters.
-    (STAY, r"(?:^|[\s(,])[a-zäöü]\.$", r"\s?[A-Za-z]{1,2}\.(?!\w)"),
+    (STAY, rf"\.{_MARK}[a-zäöü](?=[\s(,]|\Z)", r"\s*+[A-Za-z]{1,2}\.(?!\w)"),
     # Initials of a name, and letters with dots in a row, before a name.
-    (STAY, r"(?:^|[\s(\[\"'«“„‘.-])[A-ZÀ-ÖØ-Þ]\.$", r"\s+[A-ZÀ-ÖØ-Þ]"),
+    (STAY, rf"\.{_MARK}[A-ZÀ-ÖØ-Þ](?=[\s(\[\"'«“„‘.-]|\Z)", r"\s++[A-ZÀ-ÖØ-Þ]"),
     (STAY, r"", _LOWER),
     (BREAK, r"", _UPPER),
 ]
-RULES["ja"] = [(STAY, r"[」』”]$", r"\s*(?:と|って|との|という|など|の|を|は|が|に|で|も)")]
-RULES["zh"] = [(STAY, r"[”」』]$", r"\s*(?:的|地|，|、|；)")]
+RULES["ja"] = [(STAY, r"[」』”]", r"\s*+(?:と|って|との|という|など|の|を|は|が|に|で|も)")]
+RULES["zh"] = [(STAY, r"[”」』]", r"\s*+(?:的|地|，|、|；)")]
 RULES["unspaced"] = [
-    (STAY, r"…$", r"\s*[，、,；;：:]"),
-    (STAY, r"[.]$", r"\S"),
+    (STAY, r"…", r"\s*+[，、,；;：:]"),
+    (STAY, r"[.]", r"\S"),
     (BREAK, r"", r""),
 ]
-RULES["th"] = [(STAY, r"", r"[^\S\n]*ๆ")]
 RULES["any"] = [
     # A dot with something right behind it belongs to a number, a name or a file.
-    (STAY, r"[.]$", r"\S"),
-    (STAY, r"[!?…]$", r"[,;:]"),
+    (STAY, r"[.]", r"\S"),
+    (STAY, r"[!?…]", r"[,;:]"),
     (BREAK, r"", r""),
 ]
 
+#: In Thai a blank between words; the sign of repetition after a blank goes on with the word.
+_THAI_BLANK = re.compile(r"(?<![\d\s])[^\S\n]++(?![\d\s])")
+_REPEATED = re.compile("\\s*+ๆ")
+
 _TABLES: dict[str, list] = {}
 
 
 def _table(lang: str) -> list:
-    """The cascade of a language: its own table, that of its script (for Latin also the other languages'), and all's."""
+    """The cascade of a language: its own table, that of its script, and all's. Without a language all Latin tables are tried."""
     if lang not in _TABLES:
-        if lang in _LATIN:
-            names = [lang, *[x for x in _LATIN if x != lang], "latin", "any"]
+        if lang in _LATIN or lang in _TABLED:
+            names = [lang, "latin", "any"]
+        elif lang == _NEUTRAL:
+            names = [*_LATIN, *_TABLED, "latin", "any"]
         elif lang in ("ja", "zh"):
             names = [lang, "unspaced"]
         elif lang == "ru":
@@ -121,7 +171,7 @@ def _table(lang: str) -> list:
                 same[1].append(b)
             else:
                 merged.append((d, [b], a))
-        _TABLES[lang] = [(d, re.compile("|".join(b)) if b[0] else None, re.compile(a) if a else None) for d, b, a in merged]
+        _TABLES[lang] = [(d, re.compile("|".join(b)).match if b[0] else None, re.compile(a).match if a else None) for d, b, a in merged]
     return _TABLES[lang]
 
 
@@ -138,19 +188,22 @@ _OTHER_SCRIPTS = re.compile("|".join(r.pattern[:-1] for _, r in _SCRIPTS))
 
 # Frequent function words by which Latin-script paragraphs are told apart.
 _WORDS = {
-    "en": set("the of and to a in is was at by for on with that this from were near not did who we then".split()),
-    "es": set("el la los las de del que en y un una se con por para según su al hay como".split()),
-    "de": set("der die das und den dem des ein eine ist nicht mit von vom zu auf am im bei wer es nach".split()),
-    "fr": set("le la les de des du et un une est dans pour sur qui que à au il selon près a".split()),
+    "en": set("the of and to a in is was at by for on with that this from were near not did who we then it an or but had into".split()),
+    "es": set("el la los las de del que en y un una se con por para según su al hay como a desde hacia más pero fue sobre".split()),
+    "de": set("der die das und den dem des ein eine ist nicht mit von vom zu auf am im bei wer es nach für aus sich bis nur".split()),
+    "fr": set("le la les de des du et un une est dans pour sur qui que à au il selon près a en ce cette pas ne vers depuis par avec".split()),
 }
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Codes of languages in Latin script whose function words aren't listed, so that a text stated to be in one isn't taken for another.
+_KNOWN = set("pt it nl tr ca gl eu ro pl cs sk sl hr bs sq hu fi et lv lt sv da nb nn no is ga cy mt vi id ms tl sw af az uz eo la ko".split())
 _LANGUAGES_OF = {w: [k for k, v in _WORDS.items() if w in v] for v in _WORDS.values() for w in v}
 
 
 def language(paragraph: str, lang: str | None) -> str:
     """The language whose rules a paragraph gets: by its script and, in Latin script, its function words.
 
-    The stated language decides only between languages of the paragraph's own script.
+    The stated language decides only between languages of the paragraph's own script. One that function words don't tell, but
+    that has a table, or none ("neutral"), gets it unless the words clearly speak for another.
     """
     stated = (lang or "").strip().lower()[:2]
     if _OTHER_SCRIPTS.search(paragraph):
@@ -168,8 +221,12 @@ def language(paragraph: str, lang: str | None) -> str:
     for w in seen:
         for k in _LANGUAGES_OF.get(w, ()):
             score[k] += 1
+    if stated not in _LATIN and stated in _KNOWN and 4 * max(score.values()) < len(seen):
+        return stated if stated in _TABLED else _NEUTRAL
     top = max(score, key=lambda k: (score[k], k == stated, k == "en"))
-    return top if score[top] else (stated if stated in _LATIN else "en")
+    if score[top] > 1 or score[top] and top == stated:
+        return top
+    return stated if stated in _LATIN and not score[top] else _NEUTRAL
 
 
 def _pairs(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -212,7 +269,7 @@ def _pairs(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[tup
 
 # Verbs that name a speaker after a quotation, when the next word is written with a capital.
 _SPEECH = re.compile(
-    r"(?i)^\s*(?:\S+\s+){0,4}?(?:said|says|asked|shouted|replied|cried|wrote|told|answered|added|warned|called|sagte|fragte|rief|schrieb|meinte|antwortete"
+    r"(?i)(?:\S++\s++){0,4}?(?:said|says|asked|shouted|replied|cried|wrote|told|answered|added|warned|called|sagte|fragte|rief|schrieb|meinte|antwortete"
     r"|dijo|preguntó|gritó|respondió|anotó|añadió|demanda|dit|répondit|cria|lança|écrivit|ajouta)\b"
 )
 
@@ -243,10 +300,10 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
     # Openings in order, and how far the spans that opened up to each of them reach.
     spans = sorted(quotes + brackets)
     openings, reach = [o for o, _ in spans], list(accumulate((c for _, c in spans), max))
-    start = lo
+    start, back = lo, None
     ends = [(m.start(), m.end(), False) for m in _TERMINATORS.finditer(text, lo, hi)]
     if name == "th":
-        ends += [(m.start(), m.start(), True) for m in re.compile(r"(?<![\d\s])[^\S\n]+(?![\d\s])").finditer(text, lo, hi)]
+        ends += [(m.start(), m.start(), True) for m in _THAI_BLANK.finditer(text, lo, hi)]
         ends.sort()
     for a, e, blank in ends:
         if a < start:
@@ -270,18 +327,16 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
             break
         if first is not None and _opens(text, start, first) and _names_speaker(text, end, hi, name):
             continue
-        before = text[max(start, end - 20) : end]
-        if _RUN.search(before):
-            before = _squeezed(text, end, start, -1, 20)
-        if not before.isascii():
-            before = unicodedata.normalize("NFC", before)
-        after = text[end : min(hi, end + 28)]
-        if _RUN.search(after):
-            after = _squeezed(text, end, hi, 1, 28)
         if blank:
-            decision = not after.lstrip(" \u00a0\u202f").startswith("ๆ")
+            decision = not _REPEATED.match(text, end, hi)
         else:
-            decision = _decide(rules, before, after)
+            if back is None:
+                back = text[lo:hi][::-1]
+            decision = STAY
+            for verdict, left, right in rules:
+                if (right is None or right(text, end, hi)) and (left is None or left(back, hi - end, hi - start)):
+                    decision = verdict
+                    break
         if decision:
             out.append((start, end))
             start = end
@@ -291,35 +346,6 @@ def _paragraph(text: str, lo: int, hi: int, lang: str | None, out: list[tuple[in
         out.append((start, hi))
 
 
-_RUN = re.compile(r"\s\s")
-
-
-def _squeezed(text: str, at: int, stop: int, step: int, size: int) -> str:
-    """Up to `size` characters before or after `at`, a run of white space being one: a line break if it holds one.
-
-    What the rules see so doesn't depend on how far words stand apart.
-    """
-    out: list[str] = []
-    i = at if step > 0 else at - 1
-    stop = stop if step > 0 else stop - 1
-    while i != stop and len(out) < size:
-        c = text[i]
-        i += step
-        if c.isspace():
-            while i != stop and text[i].isspace():
-                c = "\n" if "\n" in (c, text[i]) else c
-                i += step
-        out.append(c)
-    return "".join(out[::step])
-
-
-def _decide(rules: list, before: str, after: str) -> bool:
-    for decision, left, right in rules:
-        if (right is None or right.match(after)) and (left is None or left.search(before)):
-            return decision
-    return STAY
-
-
 def _opens(text: str, start: int, quote: int) -> bool:
     """Whether only opening marks stand between the sentence's start and its quotation."""
     return all(text[i] in "¿¡([（—–- \"'«“„‘「『" for i in range(start, quote))
@@ -329,11 +355,10 @@ def _names_speaker(text: str, end: int, hi: int, name: str) -> bool:
     """Whether what follows a quotation goes on with it: not another opening mark and, where case tells, no new sentence."""
     while end < hi and text[end].isspace():
         end += 1
-    rest = text[end : min(hi, end + 80)]
-    if not rest or rest[0] in "\"'«“„‘「『(（¿¡":
+    if end >= hi or text[end] in "\"'«“„‘「『(（¿¡":
         return False
-    if name in _LATIN or name == "ru":
-        return rest[0].islower() or rest[0] in ",;:—–-" or _SPEECH.match(rest) is not None
+    if name in _LATIN or name in _TABLED or name in (_NEUTRAL, "ru"):
+        return text[end].islower() or text[end] in ",;:—–-" or _SPEECH.match(text, end, hi) is not None
     return True
 
 

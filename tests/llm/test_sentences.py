@@ -62,3 +62,51 @@ def test_layout_does_not_hide_what_rules_look_at():
         assert split(f"Er kam am{gap}3.{gap}Mai an. Es regnete.", "de") == [f"Er kam am{gap}3.{gap}Mai an.", "Es regnete."]
         assert split(f"\u201cRun!\u201d{gap}said the guard. It rained.", "en") == [f"\u201cRun!\u201d{gap}said the guard.", "It rained."]
         assert split(f"It burned.{gap}Then it rained.", "en") == ["It burned.", "Then it rained."]
+
+
+@pytest.mark.parametrize("gap", [" ", " " * 17, " " * 29, " " * 80, "\n" + " " * 4000, " " * 50_000])
+def test_no_length_of_blanks_hides_what_rules_look_at(gap):
+    assert split(f"Er kam am{gap}3. Tag. Es regnete.", "de") == [f"Er kam am{gap}3. Tag.", "Es regnete."]
+    assert split(f"It weighs al.{gap}lower case. Yes.", "en") == [f"It weighs al.{gap}lower case.", "Yes."]
+    assert split(f'"Run!"{gap}Captain Joe Smith{gap}said. It rained.', "en") == [f'"Run!"{gap}Captain Joe Smith{gap}said.', "It rained."]
+    assert split(f"Dies gilt z.{gap}B.{gap}heute, i.{gap}d.{gap}R.{gap}Nie so.", "de") == [f"Dies gilt z.{gap}B.{gap}heute, i.{gap}d.{gap}R.{gap}Nie so."]
+
+
+def test_long_words_and_sentences_are_seen_whole():
+    word = "x" * 100_000
+    assert split(f'"Run!" {word.title()} said. Ok {word} Dr. Lee. Yes.', "en") == [f'"Run!" {word.title()} said.', f"Ok {word} Dr. Lee.", "Yes."]
+    assert split(f"{word}Dr. Lee came.", "en") == [f"{word}Dr.", "Lee came."]
+
+
+@pytest.mark.parametrize("text", ["a.", "A. ", "1. ", '"a."B', "é.", "(a. ", "am        3. "])
+def test_many_marks_cost_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    segment(text * 60_000, "de")
+    assert time.perf_counter() - began < 20
+
+
+def test_abbreviations_belong_to_their_language():
+    assert split("He got a D. Then he left.", "en") == ["He got a D.", "Then he left."]
+    assert split("That was the max. Then we stopped.", "en") == ["That was the max.", "Then we stopped."]
+    assert split("It was in the Col. Then he left.", "en") == ["It was in the Col.", "Then he left."]
+    assert split("Dr. He came with J. The Fox.", "en") == ["Dr. He came with J. The Fox."]
+    assert split("Die Zahl ist max. Zehn von uns.", "de") == ["Die Zahl ist max. Zehn von uns."]
+
+
+def test_stated_languages_without_function_words():
+    assert split("O Exmo. Sr. Silva chegou. Depois saiu.", "pt") == ["O Exmo. Sr. Silva chegou.", "Depois saiu."]
+    assert split("Ecco il sig. Rossi. Poi piove.", "it") == ["Ecco il sig. Rossi.", "Poi piove."]
+    assert split("Pan Dr. Novak szedł. Potem padało.", "pl") == ["Pan Dr. Novak szedł.", "Potem padało."]
+    assert split("불이 났다. 비가 왔다.", "ko") == ["불이 났다.", "비가 왔다."]
+
+
+@pytest.mark.parametrize("form", ["NFC", "NFD"])
+def test_accents_composed_or_not(form):
+    import unicodedata
+
+    text = unicodedata.normalize(form, "Véase la pág. 3 de máx. Ríos y más. Él vino.")
+    assert len(split(text, "es")) == 2
+    text = unicodedata.normalize(form, "Er kam am 4. März. Es ging.")
+    assert len(split(text, "de")) == 2
