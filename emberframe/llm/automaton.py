@@ -1,19 +1,24 @@
-"""Held-out passages inside training text, by a generalised suffix automaton (problem 7)."""
+"""Held-out passages inside training text, by a generalised suffix automaton (problem 7).
+
+Items are cut into blocks whose automaton fits a Python worker, and documents are read once: a task takes them in chunks
+and streams each chunk past the automata of all blocks. What is reported does not depend on how items were cut.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Han, kana and their iteration and length marks: scripts written without spaces, compared by character.
 _UNSPACED = re.compile("[々-〇ぁ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
-_MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︀-゙゚︯]")
 _ASCII = re.compile("[0-9a-z]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -44,112 +49,174 @@ def characters(norm: str) -> str:
 class SuffixAutomaton:
     """Minimal automaton of all substrings of several sequences, with the sequences that hold each.
 
-    Built symbol by symbol; a clone splits a state when its longest substring gets a context of its own. Every state
-    then knows the items of the prefixes in it, and those of the states that link to it.
+    Built symbol by symbol; a clone splits a state when its longest substring gets a context of its own. Symbols are
+    numbered. Links, lengths and the first transition of every state are flat arrays; only the root and the states that
+    branch have a table besides. The items of a state are those of the prefixes in the subtree of links below it, and are
+    looked up when a text first reaches it.
     """
 
     def __init__(self) -> None:
-        self.next: list[dict] = [{}]
-        self.link: list[int] = [-1]
-        self.length: list[int] = [0]
-        self.items: list[set] = [set()]
-        self.shortest: list[int] | None = None
-
-    def _state(self, length: int, link: int, to: dict) -> int:
-        self.next.append(to)
-        self.link.append(link)
+        self.code: dict = {}
+        self.root = array("i")
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.symbol, self.to = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        # Prefix states with the item that ends there; a state may stand here for several.
+        self.ends, self.ended = array("i"), array("q")
+
+    def __len__(self) -> int:
+        return len(self.link) - 1
+
+    def _state(self, length: int, link: int, like: int = -1) -> int:
+        new = len(self.link)
         self.length.append(length)
-        self.items.append(set())
-        return len(self.next) - 1
-
-    def _clone(self, p: int, q: int, symbol) -> int:
-        """Splits q: the substrings that reach it from p by symbol, and shorter ones, get a state of their own."""
-        c = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        self.link.append(link)
+        self.symbol.append(self.symbol[like] if like >= 0 else -1)
+        self.to.append(self.to[like] if like >= 0 else 0)
+        if like in self.more:
+            self.more[new] = dict(self.more[like])
+        return new
+
+    def _step(self, p: int, s: int) -> int:
+        """The state behind p by s, 0 if there is none."""
+        if not p:
+            return self.root[s]
+        return self.to[p] if self.symbol[p] == s else self.more[p].get(s, 0) if p in self.more else 0
+
+    def _lead(self, p: int, s: int, q: int) -> None:
+        if not p:
+            self.root[s] = q
+        elif self.symbol[p] in (s, -1):
+            self.symbol[p], self.to[p] = s, q
+        else:
+            self.more.setdefault(p, {})[s] = q
+
+    def _clone(self, p: int, q: int, s: int) -> int:
+        """Splits q: the substrings that reach it from p by s, and shorter ones, get a state of their own."""
+        c = self._state(self.length[p] + 1, self.link[q], q)
         self.link[q] = c
-        while p >= 0 and self.next[p].get(symbol) == q:
-            self.next[p][symbol] = c
+        while p >= 0 and self._step(p, s) == q:
+            self._lead(p, s, c)
             p = self.link[p]
         return c
 
     def add(self, item: int, symbols: Iterable) -> None:
-        last = 0
-        for s in symbols:
-            q = self.next[last].get(s)
-            if q is not None:
-                last = q if self.length[q] == self.length[last] + 1 else self._clone(last, q, s)
+        last, code, root, length = 0, self.code, self.root, self.length
+        for x in symbols:
+            s = code.get(x)
+            if s is None:
+                s = code[x] = len(root)
+                root.append(0)
+            q = self._step(last, s)
+            if q:
+                last = q if length[q] == length[last] + 1 else self._clone(last, q, s)
             else:
-                new, p = self._state(self.length[last] + 1, 0, {}), last
-                while p >= 0 and s not in self.next[p]:
-                    self.next[p][s] = new
+                new, p = self._state(length[last] + 1, 0), last
+                while p >= 0 and not self._step(p, s):
+                    self._lead(p, s, new)
                     p = self.link[p]
                 if p >= 0:
-                    q = self.next[p][s]
-                    self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, s)
+                    q = self._step(p, s)
+                    self.link[new] = q if length[q] == length[p] + 1 else self._clone(p, q, s)
                 last = new
-            self.items[last].add(item)
+            self.ends.append(last)
+            self.ended.append(item)
 
     def finish(self, least: int) -> SuffixAutomaton:
-        """Hands items down the links, and finds for each state the ancestor that stands for its suffix of length `least`."""
-        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
-        for v in reversed(order):
-            if self.link[v] > 0 and self.length[self.link[v]] >= least:
-                self.items[self.link[v]] |= self.items[v]
-        self.shortest = list(range(len(self.next)))
-        for v in order:
-            p = self.link[v]
-            if p > 0 and self.length[p] >= least:
-                self.shortest[v] = self.shortest[p]
+        """Orders what the lookups need, and finds for each state the ancestor that stands for its suffix of `least` symbols."""
+        link, length = (np.array(x, dtype=np.int32) for x in (self.link, self.length))
+        # An ancestor is shorter than what links to it: pointers are doubled until they reach the last one that is long enough.
+        up = np.where((link > 0) & (length[link] >= least), link, np.arange(len(link), dtype=np.int32))
+        while not np.array_equal(up, further := up[up]):
+            up = further
+        self.shortest = array("i", up.tobytes())
+        self.below = np.argsort(link, kind="stable").astype(np.int32)
+        self.below_at = np.searchsorted(link[self.below], np.arange(len(link) + 1)).astype(np.int32)
+        ends = np.array(self.ends, dtype=np.int32)
+        order = np.argsort(ends, kind="stable")
+        self.ended = np.array(self.ended, dtype=np.int64)[order]
+        self.ended_at = np.searchsorted(ends[order], np.arange(len(link) + 1)).astype(np.int32)
+        self.ends = array("i")
+        self.known: dict[int, tuple] = {}
         return self
 
+    def items(self, state: int) -> tuple:
+        """The items that hold the substrings of a state."""
+        found = self.known.get(state)
+        if found is None:
+            seen, waiting = set(), [state]
+            while waiting:
+                v = waiting.pop()
+                seen.update(self.ended[self.ended_at[v] : self.ended_at[v + 1]].tolist())
+                waiting.extend(self.below[self.below_at[v] : self.below_at[v + 1]].tolist())
+            found = self.known[state] = tuple(sorted(seen))
+        return found
+
     def runs(self, symbols: Iterable, least: int) -> Iterator[tuple[int, int, int]]:
         """(position, length, state) wherever the longest suffix of the text so far that an item holds has `least` symbols."""
-        state, length = 0, 0
-        nxt, link, size = self.next, self.link, self.length
-        for at, s in enumerate(symbols):
-            to = nxt[state].get(s)
-            while to is None and state:
-                state = link[state]
-                length = size[state]
-                to = nxt[state].get(s)
-            if to is None:
+        p, n = 0, 0
+        root, link, length, symbol, to, more, none = self.root, self.link, self.length, self.symbol, self.to, self.more, {}
+        for at, s in enumerate(map(self.code.get, symbols)):
+            if s is None:
+                p = n = 0
                 continue
-            state = to
-            length += 1
-            if length >= least:
-                yield at, length, state
+            while p:
+                if symbol[p] == s:
+                    p = to[p]
+                    break
+                q = more.get(p, none).get(s)
+                if q:
+                    p = q
+                    break
+                p = link[p]
+                n = length[p]
+            else:
+                p = root[s]
+            n += 1
+            if n >= least:
+                yield at, n, p
 
-    def matches(self, symbols: Iterable, least: int) -> dict[int, list[int]]:
-        """item -> [longest match, positions covered, last position] over all matches of at least `least` symbols.
+    def matches(self, symbols: Iterable, least: int) -> dict[int, list]:
+        """item -> [longest match, [first, last] positions covered] over all matches of at least `least` symbols.
 
         Items are taken from the state of the last `least` symbols, as a longer match may be in fewer items.
         """
-        found: dict[int, list[int]] = {}
-        for at, length, state in self.runs(symbols, least):
-            for item in self.items[self.shortest[state]]:
+        found: dict[int, list] = {}
+        for at, n, state in self.runs(symbols, least):
+            items = self.items(self.shortest[state])
+            first = at - least + 1
+            for item in items:
                 hit = found.get(item)
                 if hit is None:
-                    found[item] = [least, least, at]
+                    found[item] = [least, [[first, at]]]
+                elif first <= hit[1][-1][1] + 1:
+                    hit[1][-1][1] = at
                 else:
-                    hit[1] += min(least, at - hit[2])
-                    hit[2] = at
-            v, full = state, length
-            while v > 0 and full >= least:
-                for item in self.items[v]:
-                    if found[item][0] < full:
-                        found[item][0] = full
-                v = self.link[v]
-                full = self.length[v]
+                    hit[1].append([first, at])
+            if len(items) == 1:
+                found[items[0]][0] = max(found[items[0]][0], n)
+                continue
+            while state > 0 and n >= least:
+                for item in self.items(state):
+                    if found[item][0] < n:
+                        found[item][0] = n
+                state = self.link[state]
+                n = self.length[state]
         return found
 
     def spans(self, symbols: Iterable, least: int) -> list[list[int]]:
         """Merged [first, last] positions of all matches of at least `least` symbols."""
-        out: list[list[int]] = []
-        for at, length, _ in self.runs(symbols, least):
-            first = at - length + 1
-            while out and out[-1][1] >= first - 1:
-                first = min(first, out.pop()[0])
-            out.append([first, at])
-        return out
+        return merged([at - n + 1, at] for at, n, _ in self.runs(symbols, least))
+
+
+def merged(spans: Iterable[list[int]]) -> list[list[int]]:
+    """Spans [first, last] in order of last, those that touch made one."""
+    out: list[list[int]] = []
+    for first, last in spans:
+        while out and out[-1][1] >= first - 1:
+            first = min(first, out.pop()[0])
+        out.append([first, last])
+    return out
 
 
 class Passages:
@@ -161,46 +228,55 @@ class Passages:
         self.sizes: dict[int, int] = {}
         for item, text in items:
             norm = normalized(text)
-            if is_unspaced(norm):
-                c = characters(norm)
-                self.sizes[item] = len(c)
-                self.by_char.add(item, c)
-            else:
-                w = words(norm)
-                self.sizes[item] = len(w)
-                self.by_word.add(item, w)
+            chars = is_unspaced(norm)
+            symbols = characters(norm) if chars else words(norm)
+            self.sizes[item] = max(len(symbols), self.sizes.get(item, 0))
+            (self.by_char if chars else self.by_word).add(item, symbols)
         self.by_word.finish(min_words)
         self.by_char.finish(min_chars)
 
-    def find(self, text: str) -> dict[int, list[int]]:
-        norm = normalized(text)
-        found = self.by_word.matches(words(norm), self.min_words) if len(self.by_word.next) > 1 else {}
+    def find(self, norm: str) -> Iterator[tuple[int, int, bool, list[list[int]]]]:
+        """(item, longest, whether by character, spans) for a normalized text."""
+        if self.by_word:
+            for item, (n, spans) in self.by_word.matches(words(norm), self.min_words).items():
+                yield item, n, False, spans
         if self._may_hold_characters(norm):
-            found |= self.by_char.matches(characters(norm), self.min_chars)
-        return found
+            for item, (n, spans) in self.by_char.matches(characters(norm), self.min_chars).items():
+                yield item, n, True, spans
 
     def _may_hold_characters(self, norm: str) -> bool:
-        return len(self.by_char.next) > 1 and not norm.isascii() and _UNSPACED.search(norm) is not None
-
-    def cut(self, text: str) -> tuple[str, int, int]:
-        """Text without its matched spans, the number of code points removed, and of letters and digits in all."""
-        pieces = [normalized(c) for c in text]
-        norm = "".join(pieces)
-        place = [i for i, x in enumerate(pieces) for _ in x]
-        gone = [False] * len(text)
-        found = [m.span() for m in _WORD.finditer(norm)]
-        for first, last in self.by_word.spans((norm[a:b] for a, b in found), self.min_words):
-            for i in range(place[found[first][0]], place[found[last][1] - 1] + 1):
-                gone[i] = True
+        return bool(self.by_char) and not norm.isascii() and _UNSPACED.search(norm) is not None
+
+    def spans(self, norm: str) -> list[list[int]]:
+        """[first, last] characters of a normalized text that stand in matches."""
+        at = [m.span() for m in _WORD.finditer(norm)]
+        out = [[at[a][0], at[b][1] - 1] for a, b in self.by_word.spans((norm[a:b] for a, b in at), self.min_words)]
         if self._may_hold_characters(norm):
-            at = [i for a, b in found for i in range(a, b)]
-            for first, last in self.by_char.spans((norm[i] for i in at), self.min_chars):
-                for i in range(place[at[first]], place[at[last]] + 1):
-                    gone[i] = True
+            place = [i for a, b in at for i in range(a, b)]
+            out += [[place[a], place[b]] for a, b in self.by_char.spans((norm[i] for i in place), self.min_chars)]
+        return out
+
+
+_folded: dict[str, str] = {}
+
+
+def cut(text: str, spans: list[list[int]]) -> tuple[str, int]:
+    """Text without the spans [first, last] of its normalized form, and the number of code points removed."""
+    place: list[int] = []
+    for i, c in enumerate(text):
+        x = _folded.get(c)
+        if x is None:
+            x = _folded[c] = normalized(c)
+        place.extend([i] * len(x))
+    kept, at = [], 0
+    for first, last in merged(sorted(([place[a], place[b]] for a, b in spans), key=lambda s: s[1])):
+        kept.append(text[at:first])
+        at = last + 1
         # Marks that stood on a removed letter go with it.
-        for i in range(1, len(text)):
-            gone[i] = gone[i] or (gone[i - 1] and unicodedata.category(text[i]).startswith("M"))
-        return "".join(c for c, g in zip(text, gone) if not g), sum(gone), len(text)
+        while at < len(text) and unicodedata.category(text[at]).startswith("M"):
+            at += 1
+    rest = "".join(kept) + text[at:]
+    return rest, len(text) - len(rest)
 
 
 def is_unspaced(norm: str) -> bool:
@@ -209,91 +285,125 @@ def is_unspaced(norm: str) -> bool:
     return letters > 0 and 2 * len(_UNSPACED.findall(norm)) > letters
 
 
+#: Characters of items in one block. An automaton was measured to take up to BYTES_PER_CHAR bytes a character while it is built
+#: (Han text drawn at random, the worst case; words take a fifth), so a block takes about 0.4 GB at most in a Python worker.
+BLOCK_CHARS = 1_500_000
+BYTES_PER_CHAR = 270
+#: Characters of documents that wait for their turn with the next block, where there are several.
+CHUNK_CHARS = 16_000_000
+
+
+class _Blocks:
+    """Broadcast blocks of items, and in each Python worker the automata of the block used last."""
+
+    held: tuple | None = None
+
+    def __init__(self, items: DataFrame, block_chars: int, min_words: int, min_chars: int) -> None:
+        sc = items.sparkSession.sparkContext
+        self.least = (min_words, min_chars)
+        self.blocks: list = []
+        block: list[tuple[int, str]] = []
+        size = 0
+        for r in items.select("item_id", "text").filter("item_id is not null and text is not null").toLocalIterator():
+            if block and size + len(r["text"]) > block_chars:
+                self.blocks.append(sc.broadcast((uuid.uuid4().hex, block)))
+                block, size = [], 0
+            block.append((r["item_id"], r["text"]))
+            size += len(r["text"])
+        self.blocks.append(sc.broadcast((uuid.uuid4().hex, block)))
+
+    def passages(self, i: int) -> Passages:
+        name, block = self.blocks[i].value
+        if _Blocks.held is None or _Blocks.held[0] != name:
+            _Blocks.held = None
+            _Blocks.held = (name, Passages(block, *self.least))
+        return _Blocks.held[1]
+
+    def past(self, rows: Iterator[tuple], chunk_chars: int) -> Iterator[tuple[list[tuple], list[Iterator]]]:
+        """Chunks of rows (.., text) with, for each block in turn, its automata; a block is built once per chunk, or kept if it is the only one."""
+        order = list(range(len(self.blocks)))
+        for chunk in _chunks(rows, chunk_chars if len(order) > 1 else 1):
+            yield chunk, (self.passages(i) for i in order)
+            # The block built last comes first for the next chunk.
+            order.reverse()
+
+
+def _chunks(rows: Iterator[tuple], chunk_chars: int) -> Iterator[list[tuple]]:
+    """Rows in lists of about chunk_chars characters of their last column, 1000 rows at a time."""
+    while chunk := list(islice(rows, 1000)):
+        size = sum(len(r[-1]) for r in chunk)
+        while size < chunk_chars and (more := list(islice(rows, 1000))):
+            chunk += more
+            size += sum(len(r[-1]) for r in more)
+        yield chunk
+
+
 def find_passages(
-    docs: DataFrame, items: DataFrame, min_words: int = 12, min_chars: int = 20, block_chars: int = 4_000_000
+    docs: DataFrame, items: DataFrame, min_words: int = 12, min_chars: int = 20, block_chars: int = BLOCK_CHARS, chunk_chars: int = CHUNK_CHARS
 ) -> DataFrame:
     """(doc_id, item_id, longest, covered, item_size): documents that hold part of an item.
 
     docs: doc_id, text; items: item_id, text, a stated set of held-out passages. Items are compared by word, those
     in Chinese or Japanese by character, without case, accents, width, punctuation and white space. longest is
     the longest run found, covered the number of symbols of the document inside matches, item_size the item's
-    symbols. Items go to the tasks in blocks of at most block_chars characters, so what is broadcast is
-    bounded however many there are; documents are streamed past each block once. Rows with a null text or id
-    are passed over, empty texts match nothing, and a document or item given twice under one id is
-    reported once per row of docs (items: their texts are tried one by one under one id).
+    symbols. Items go to the tasks in blocks of at most block_chars characters (an item longer than that is one by itself),
+    and a Python worker holds the automaton of one block. Documents are read once: where there are several
+    blocks, chunks of chunk_chars characters are streamed past each of them in turn. The rows are the same for any block_chars.
+
+    Rows with a null text or id are passed over, empty texts match nothing. A row of docs given twice is reported twice.
+    Several texts under one item_id count as one item: longest and item_size are the largest, covered counts symbols inside matches
+    of any of them (of the kind, word or character, that covers more).
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    schema = "doc_id long, item_id long, longest int, covered int, item_size int"
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in items.select("item_id", "text").filter("item_id is not null and text is not null").toLocalIterator():
-        if blocks[-1] and size + len(r["text"]) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
-        part = rows.mapInPandas(_scan(shared, min_words, min_chars), schema)
-        out = part if out is None else out.union(part)
-    return out if len(blocks) == 1 else out.groupBy("doc_id", "item_id").agg(
-        F.max("longest").alias("longest"), F.max("covered").alias("covered"), F.max("item_size").alias("item_size")
-    )
-
-
-_built: dict[str, Passages] = {}
-
-
-def _passages(shared, min_words: int, min_chars: int) -> Passages:
-    """The block's automata, built once in each Python worker."""
-    name, block = shared.value
-    if name not in _built:
-        _built.clear()
-        _built[name] = Passages(block, min_words, min_chars)
-    return _built[name]
-
-
-def _scan(shared, min_words: int, min_chars: int):
+    blocks = _Blocks(items, block_chars, min_words, min_chars)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passages = _passages(shared, min_words, min_chars)
-        for pdf in batches:
+        texts = ((doc, normalized(text)) for pdf in batches for doc, text in zip(pdf["doc_id"], pdf["text"]))
+        for chunk, passes in blocks.past(texts, chunk_chars):
+            found: dict[tuple[int, int], list] = {}
+            sizes: dict[int, int] = {}
+            for passages in passes:
+                sizes |= {item: max(n, sizes.get(item, 0)) for item, n in passages.sizes.items()}
+                for i, (_, norm) in enumerate(chunk):
+                    for item, n, chars, spans in passages.find(norm):
+                        hit = found.setdefault((i, item), [0, [], []])
+                        hit[0] = max(hit[0], n)
+                        hit[1 + chars] += spans
             out = [
-                (doc, item, hit[0], hit[1], passages.sizes[item])
-                for doc, text in zip(pdf["doc_id"], pdf["text"])
-                for item, hit in passages.find(text).items()
+                (chunk[i][0], item, n, max(sum(b - a + 1 for a, b in merged(sorted(x, key=lambda s: s[1]))) for x in spans), sizes[item])
+                for (i, item), (n, *spans) in found.items()
             ]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "longest", "covered", "item_size"])
 
-    return run
+    return rows.mapInPandas(run, "doc_id long, item_id long, longest int, covered int, item_size int")
 
 
 def remove_passages(
-    docs: DataFrame, items: DataFrame, max_share: float = 0.5, min_words: int = 12, min_chars: int = 20
-) -> DataFrame:
-    """(doc_id, text, removed_chars, action) for every row of docs, items being few enough for one block.
+    docs: DataFrame, items: DataFrame, max_share: float = 0.5, min_words: int = 12, min_chars: int = 20,
+    block_chars: int = BLOCK_CHARS, chunk_chars: int = CHUNK_CHARS,
+) -> DataFrame:
+    """(doc_id, text, removed_chars, action) for every row of docs.
 
     Spans that an item holds too, at least min_words words (min_chars characters) long, are cut out; action is
     then 'cut'. A document that would lose more than max_share of its code points is given up: 'drop', null text.
-    Documents without a match, empty and null texts are kept: 'keep'.
+    Documents without a match, empty and null texts are kept: 'keep'. Blocks of items are as in find_passages: spans are
+    found block by block and cut together, so the result doesn't depend on block_chars.
     """
-    block = [tuple(r) for r in items.select("item_id", "text").filter("item_id is not null and text is not null").toLocalIterator()]
-    if sum(len(t) for _, t in block) > 4_000_000:
-        raise ValueError("too many items for one block")
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+    blocks = _Blocks(items, block_chars, min_words, min_chars)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passages = _passages(shared, min_words, min_chars)
-        for pdf in batches:
+        texts = ((doc, text, normalized(text or "")) for pdf in batches for doc, text in zip(pdf["doc_id"], pdf["text"]))
+        for chunk, passes in blocks.past(texts, chunk_chars):
+            spans: list[list] = [[] for _ in chunk]
+            for passages in passes:
+                for i, (_, _, norm) in enumerate(chunk):
+                    if norm:
+                        spans[i] += passages.spans(norm)
             out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                if not text or not passages.find(text):
-                    out.append((doc, text, 0, "keep"))
-                    continue
-                rest, removed, total = passages.cut(text)
-                drop = removed > max_share * total
-                out.append((doc, None if drop else rest, removed, "drop" if drop else "cut"))
+            for (doc, text, _), gone in zip(chunk, spans):
+                rest, removed = cut(text, gone) if gone else (text, 0)
+                drop = removed > max_share * len(text or "")
+                out.append((doc, None if drop else rest, removed, "drop" if drop else "cut" if gone else "keep"))
             yield pd.DataFrame(out, columns=["doc_id", "text", "removed_chars", "action"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, removed_chars int, action string")
