@@ -247,35 +247,36 @@ class Passages:
     def _may_hold_characters(self, norm: str) -> bool:
         return bool(self.by_char) and not norm.isascii() and _UNSPACED.search(norm) is not None
 
-    def spans(self, norm: str) -> list[list[int]]:
-        """[first, last] characters of a normalized text that stand in matches."""
-        at = [m.span() for m in _WORD.finditer(norm)]
-        out = [[at[a][0], at[b][1] - 1] for a, b in self.by_word.spans((norm[a:b] for a, b in at), self.min_words)]
-        if self._may_hold_characters(norm):
-            place = [i for a, b in at for i in range(a, b)]
-            out += [[place[a], place[b]] for a, b in self.by_char.spans((norm[i] for i in place), self.min_chars)]
-        return out
+    def spans(self, norm: str) -> tuple[list[list[int]], list[list[int]]]:
+        """[first, last] words, and letters and digits, of a normalized text that stand in matches."""
+        by_char = self._may_hold_characters(norm)
+        return self.by_word.spans(words(norm), self.min_words), self.by_char.spans(characters(norm), self.min_chars) if by_char else []
 
 
 _folded: dict[str, str] = {}
 
 
-def cut(text: str, spans: list[list[int]]) -> tuple[str, int]:
-    """Text without the spans [first, last] of its normalized form, and the number of code points removed."""
+def cut(text: str, by_word: list[list[int]], by_char: list[list[int]]) -> tuple[str, int]:
+    """Text without the spans (as of Passages.spans, of any number of blocks), and the number of code points removed."""
     place: list[int] = []
     for i, c in enumerate(text):
         x = _folded.get(c)
         if x is None:
             x = _folded[c] = normalized(c)
         place.extend([i] * len(x))
-    kept, at = [], 0
-    for first, last in merged(sorted(([place[a], place[b]] for a, b in spans), key=lambda s: s[1])):
-        kept.append(text[at:first])
-        at = last + 1
+    at = [m.span() for m in _WORD.finditer("".join(_folded[c] for c in text))]
+    gone = [[place[at[a][0]], place[at[b][1] - 1]] for a, b in merged(sorted(by_word, key=lambda s: s[1]))]
+    if by_char:
+        single = [place[i] for a, b in at for i in range(a, b)]
+        gone += [[single[a], single[b]] for a, b in merged(sorted(by_char, key=lambda s: s[1]))]
+    kept, end = [], 0
+    for first, last in merged(sorted(gone, key=lambda s: s[1])):
+        kept.append(text[end:first])
+        end = last + 1
         # Marks that stood on a removed letter go with it.
-        while at < len(text) and unicodedata.category(text[at]).startswith("M"):
-            at += 1
-    rest = "".join(kept) + text[at:]
+        while end < len(text) and unicodedata.category(text[end]).startswith("M"):
+            end += 1
+    rest = "".join(kept) + text[end:]
     return rest, len(text) - len(rest)
 
 
@@ -394,16 +395,17 @@ def remove_passages(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = ((doc, text, normalized(text or "")) for pdf in batches for doc, text in zip(pdf["doc_id"], pdf["text"]))
         for chunk, passes in blocks.past(texts, chunk_chars):
-            spans: list[list] = [[] for _ in chunk]
+            spans: list[tuple[list, list]] = [([], []) for _ in chunk]
             for passages in passes:
                 for i, (_, _, norm) in enumerate(chunk):
                     if norm:
-                        spans[i] += passages.spans(norm)
+                        for held, more in zip(spans[i], passages.spans(norm)):
+                            held += more
             out = []
             for (doc, text, _), gone in zip(chunk, spans):
-                rest, removed = cut(text, gone) if gone else (text, 0)
+                rest, removed = cut(text, *gone) if any(gone) else (text, 0)
                 drop = removed > max_share * len(text or "")
-                out.append((doc, None if drop else rest, removed, "drop" if drop else "cut" if gone else "keep"))
+                out.append((doc, None if drop else rest, removed, "drop" if drop else "cut" if any(gone) else "keep"))
             yield pd.DataFrame(out, columns=["doc_id", "text", "removed_chars", "action"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, removed_chars int, action string")

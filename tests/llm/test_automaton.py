@@ -71,7 +71,7 @@ def test_documents(spark):
 def test_cut_removes_exactly_the_span():
     p = Passages([(1, ITEM)], 12, 20)
     text = "Café—before " + ITEM.replace("five", "fi\u0301ve") + ". After ½."
-    rest, removed = cut(text, p.spans(normalized(text)))
+    rest, removed = cut(text, *p.spans(normalized(text)))
     assert rest == "Café—before . After ½." and removed == len(ITEM) + 1
 
 
