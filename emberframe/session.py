@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Temporary folders of local masters without spark.checkpoint.dir.
+_local: list[str] = []
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -40,7 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     if at is None:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="emberframe-")
+        _local.append(tempfile.mkdtemp(prefix="emberframe-"))
+        at = "file://" + _local[-1]
     if held.isEmpty():
         sc.setCheckpointDir(at)
     return at
@@ -51,21 +57,37 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
 
     It cuts the lineage like checkpoint(), but keeps columns prunable, filters pushable and
     sizes known. A lost executor costs only the tasks it ran: the files stay. They are
-    removed when the driver ends.
+    removed when the driver ends, or before by `discard`.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"emberframe-{uuid.uuid4().hex}")
     w = df.write.mode("overwrite").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table from `materialize` that nothing will read again, such as a round's once the next is written."""
+    path = _path_of.pop(df, None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+        _made.remove((df.sparkSession, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _remove() -> None:
     for spark, path in _made:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the gateway may be gone already
-            return
+            break
+    for path in _local:
+        shutil.rmtree(path, ignore_errors=True)
