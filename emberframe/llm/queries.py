@@ -9,7 +9,7 @@ from emberframe.llm.automaton import find_passages, remove_passages
 from emberframe.llm.components import assign_splits, with_component
 from emberframe.llm.cube import cube_sample
 from emberframe.llm.mixing import mix_sources, proper_source, token_counts
-from emberframe.llm.quantiles import multi_select, value_states
+from emberframe.llm.quantiles import compact_states, multi_select, value_states
 from emberframe.llm.scenes import members, overlaps, scene_classes
 from emberframe.llm.sentences import sentences
 from emberframe.registry import Registry
@@ -211,6 +211,27 @@ def p4_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+POINTS = 32
+
+
+@LLM.query(
+    "p4_compact",
+    f"""with p as (select strftime(day_t, '%Y-%m') as m, region_id, num_fire from {_PICKED_SQL} where num_fire is not null),
+s as (select m, region_id, num_fire, count(*) as n, count(*) over (partition by m, region_id) as values_ from p group by 1, 2, 3),
+c as (select region_id, num_fire as v, cast(n as double) as n from s where values_ <= {POINTS} union all
+select region_id, unnest(quantile_disc(num_fire, {[(j + 0.5) / POINTS for j in range(POINTS)]})) as v, count(*) / {POINTS}.0 as n
+from p group by m, region_id having count(distinct num_fire) > {POINTS}),
+w as (select region_id, v, sum(n) as n from c group by 1, 2),
+r as (select region_id, v, sum(n) over (partition by region_id order by v) as c, sum(n) over (partition by region_id) as t from w)
+select region_id, cast(f as double) as fraction, cast(min(v) as double) as value, cast(max(t) as bigint) as n_rows, cast({0.5 / POINTS} as double) as rank_error
+from r cross join (select unnest({FRACTIONS}) as f) where c >= greatest(1, ceil(f * t - 1e-9)) group by 1, 2""",
+)
+def p4_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles from monthly states of at most POINTS values, with the rank error that this costs at most."""
+    small = compact_states(materialize(_monthly(spark, sf_dir)), POINTS)
+    return multi_select(materialize(small), FRACTIONS).withColumnRenamed("grp", "region_id")
+
+
 # ---- 6: same or near-same records across splits
 
 
