@@ -13,7 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.session import materialize
+from emberframe.session import discard, materialize
 
 #: Components with at least this share of all records are placed one by one; there are at most 1 / HEAVY of them.
 HEAVY = 0.001
@@ -28,7 +28,7 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node grows with its component, and as rows it is spread over all tasks. The least member is an algebraic
     aggregate (combined before the shuffle), and the join that sends it back is cut where a node is hot by the skew
     join of adaptive execution. A loop (u, u) makes a node of its own. Rows with a null end are ignored; no
-    edges give an empty result. Each round is written to the shared folder, so lineage stays short.
+    edges give an empty result. Each round is written to the shared folder, so lineage stays short, and the files of the round before are removed.
     """
     e = edges.filter("u is not null and v is not null").select("u", "v")
     clusters = materialize(
@@ -47,7 +47,9 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 )
             ).alias("x")
         )
-        clusters = materialize(sent.select("x.v", "x.u").distinct())
+        after = materialize(sent.select("x.v", "x.u").distinct())
+        discard(clusters)
+        clusters = after
         now = _fingerprint(clusters)
         if now == size:
             return clusters.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
@@ -89,6 +91,25 @@ def with_component(df: DataFrame, links: dict[str, Column], alone: Column) -> Da
     )
 
 
+def torn(df: DataFrame, links: dict[str, Column], mark: Column) -> DataFrame:
+    """(component, node, mark): the marks of every node whose component holds more than one mark.
+
+    Each value that stands in a record's links is a node, and so is (value, mark) of the record's first value that isn't
+    null; records link them all. Components therefore gather the marks of all records that belong together, and a
+    component with two different ones is torn. Records without a mark link their values only; those without any value
+    take no part.
+    """
+    edges, nodes = link_nodes(df, links)
+    first = F.coalesce(*nodes.values())
+    marked = df.filter(first.isNotNull() & mark.isNotNull()).select(first.alias("u"), F.concat(F.lit("mark:"), mark.cast("string"), F.lit("@"), first).alias("v"))
+    found = materialize(hash_to_min(edges.union(marked.distinct())))
+    marks = found.filter(F.col("node").startswith("mark:")).select(
+        "component", F.regexp_extract("node", "(?s)^mark:[^@]*@(.*)$", 1).alias("node"), F.regexp_extract("node", "^mark:([^@]*)@", 1).alias("mark")
+    )
+    several = marks.groupBy("component").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b")
+    return marks.join(several.select("component"), "component", "left_semi")
+
+
 def _unit(key: Column, split: str, seed: int) -> Column:
     """A number in (0, 1) from key, split and seed, the same on every machine."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(split), key), 11)

@@ -21,9 +21,9 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     """(left_id, right_id, cosine) of all pairs with cosine >= threshold > 0; left and right are unit_vectors.
 
     right is indexed by inverted lists. Before, each right vector loses the terms that cannot matter: in the order
-    of falling list length of left (absent terms first, then the most frequent), the longest prefix stays out of
-    the index whose dot product with any left vector is below the threshold, by the maximum left weight of its
-    terms or by its norm, whichever bound is less. A pair at the threshold therefore shares an indexed term.
+    of what a term can add to a dot product for each entry of its list in left (light terms with long lists first), the
+    longest prefix stays out of the index whose dot product with any left vector is below the threshold, by the maximum left
+    weight of its terms or by its norm, whichever bound is less. A pair at the threshold therefore shares an indexed term.
     Matches of one list are summed; a pair goes on only if that sum and the bound of the left-out prefix
     reach the threshold, and then the prefix is added exactly. Lists are joined term by term; a hot
     list is split by the skew join of adaptive execution. Empty sides give an empty result.
@@ -35,7 +35,7 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     lists = left.groupBy("term").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("df"))
     # Terms that no left vector has add nothing to any dot product: they are the start of every prefix.
     held = right.join(lists, "term")
-    order = Window.partitionBy("id").orderBy(F.col("df").desc(), "term")
+    order = Window.partitionBy("id").orderBy(F.col("weight") * F.col("top") / F.col("df"), "term")
     bounds = held.withColumns(
         {
             "__max": F.sum(F.col("weight") * F.col("top")).over(order),

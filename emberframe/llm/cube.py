@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ def flight(pi: np.ndarray, balance: np.ndarray | None, rng: np.random.Generator)
     balance (values divided by pi). With q columns, any q + 2 units that are neither 0 nor 1 have a
     direction in which no constraint changes; the step ends with one of them at 0 or 1, the two ends drawn with
     the odds that keep every unit's expectation. At most q + 1 units stay open. Without columns the direction is
-    (1, -1), and the walk needs no linear algebra.
+    (1, -1), with one column it is the cross product of the two rows of constraints, with more it comes from linear algebra.
     """
     pi = np.clip(pi.astype(float), 0.0, 1.0)
     if balance is None or balance.shape[1] == 0:
@@ -45,6 +46,8 @@ def flight(pi: np.ndarray, balance: np.ndarray | None, rng: np.random.Generator)
             else:
                 pi[i], open_ = round(q), -1
         return pi
+    if balance.shape[1] == 1:
+        return _flight_of_three(pi, balance[:, 0], rng)
     a = np.column_stack([np.ones(len(pi)), balance]).T
     need = a.shape[0] + 1
     waiting = list(np.flatnonzero((pi > EPS) & (pi < 1 - EPS)))[::-1]
@@ -65,6 +68,33 @@ def flight(pi: np.ndarray, balance: np.ndarray | None, rng: np.random.Generator)
         active = [i for i, v in zip(active, x) if 0.0 < v < 1.0]
 
 
+def _flight_of_three(pi: np.ndarray, balance: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The flight with one balance column: three open units at a time, along the kernel (b3 - b2, b1 - b3, b2 - b1)."""
+    open_: list[tuple[int, float, float]] = []
+    u = iter(rng.random(2 * len(pi) + 2).tolist())
+    for i in np.flatnonzero((pi > EPS) & (pi < 1 - EPS)).tolist():
+        open_.append((i, float(pi[i]), float(balance[i])))
+        while len(open_) == 3:
+            (i1, p1, b1), (i2, p2, b2), (i3, p3, b3) = open_
+            way = (b3 - b2, b1 - b3, b2 - b1)
+            scale = max(map(abs, way))
+            # Three equal values leave a plane of directions; any that keeps the sum will do.
+            way = tuple(d / scale for d in way) if scale > EPS else (1.0, -1.0, 0.0)
+            up = min((1 - p) / d if d > 0 else -p / d for p, d in zip((p1, p2, p3), way) if abs(d) > EPS)
+            down = min(p / d if d > 0 else (p - 1) / d for p, d in zip((p1, p2, p3), way) if abs(d) > EPS)
+            step = up if next(u) * (up + down) < down else -down
+            open_ = []
+            for i, p, d, b in zip((i1, i2, i3), (p1, p2, p3), way, (b1, b2, b3)):
+                p += step * d
+                if EPS < p < 1 - EPS:
+                    open_.append((i, p, b))
+                else:
+                    pi[i] = round(p)
+    for i, p, _ in open_:
+        pi[i] = p
+    return pi
+
+
 def _fly(seed: int, balance: list[str], last: bool = False):
     """The flight over all units of one group of partitions, and the landing in the last group."""
 
@@ -125,8 +155,9 @@ def cube_sample(
     the category's sum as near as it goes. A null category counts as no category; no units or no targets
     give an empty sample.
 
-    sample: the units drawn. report: category, share, min_rows, available, wanted, drawn, shortfall (wanted - available
-    where units are missing, else 0), residual (drawn - wanted); wanted is the target before filling.
+    sample: the units drawn. report: category, share, min_rows, available, wanted, drawn, left (units looked at and not drawn),
+    shortfall (wanted - available where units are missing, else 0), residual (drawn - wanted); wanted is the target before
+    filling.
     """
     balance = balance or []
     u = units.filter("unit is not null and category is not null").select("unit", "category", *balance)
@@ -160,6 +191,7 @@ def cube_sample(
     flown = materialize(flown)
     is_open = (F.col("pi") > EPS) & (F.col("pi") < 1 - EPS)
     drawn = [flown.filter(F.col("pi") >= 1 - EPS).select("unit", "category")]
+    passed = [flown.filter(F.col("pi") <= EPS).groupBy("category").agg(F.count(F.lit(1)).alias("left"))]
     rest, level = flown.filter(is_open), parts
     while level >= 1:
         level = 0 if level == 1 else -(-level // fan)
@@ -168,15 +200,15 @@ def cube_sample(
         rest = spread.groupBy("part").applyInPandas(_fly(seed + 1 + groups, balance, groups == 1), schema)
         rest = materialize(rest)
         drawn.append(rest.filter(F.col("pi") >= 1 - EPS).select("unit", "category"))
+        passed.append(rest.filter(F.col("pi") <= EPS).groupBy("category").agg(F.count(F.lit(1)).alias("left")))
         rest = rest.filter(is_open)
         if groups == 1:
             break
-    sample = drawn[0]
-    for d in drawn[1:]:
-        sample = sample.union(d)
+    sample, left = reduce(DataFrame.union, drawn), reduce(DataFrame.union, passed).groupBy("category").agg(F.sum("left").alias("left"))
     got = sample.groupBy("category").agg(F.count(F.lit(1)).alias("drawn"))
-    report = plan.join(got, "category", "left").select(
+    report = plan.join(got, "category", "left").join(left, "category", "left").select(
         "category", "share", "min_rows", "available", "wanted", F.coalesce("drawn", F.lit(0)).alias("drawn"),
+        F.coalesce("left", F.lit(0)).alias("left"),
         F.when(F.col("available") < F.col("wanted"), F.col("wanted") - F.col("available")).otherwise(F.lit(0.0)).alias("shortfall"),
         (F.coalesce("drawn", F.lit(0)) - F.col("wanted")).alias("residual"),
     )

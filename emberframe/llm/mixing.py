@@ -60,7 +60,8 @@ def mix_sources(records: DataFrame, weights: DataFrame, size: int | None = None,
     threshold. The threshold is found without sorting: tokens are summed by source and the hash's first BITS bits, the
     running sum tells the bucket where the budget ends, and only that bucket is summed again by its next bits. Thresholds are
     nested: a larger budget takes every record that a smaller one took. After LEVELS histograms the bucket is
-    cut through whole, so a share misses by less than the largest record, unless equal hashes meet.
+    cut through whole, so a share misses by less than the largest record, unless equal hashes meet; refining ends
+    earlier where no boundary bucket has more than one record, as that one doesn't fit anyway.
 
     Sources that weights don't name, and null sources, are not drawn and reported with target 0; a weight
     without records is reported short. mix: id, source, tokens, copies (>= 1). report: source, target_share, max_repeats,
@@ -71,7 +72,7 @@ def mix_sources(records: DataFrame, weights: DataFrame, size: int | None = None,
     )
     r = records.select("id", "source", "tokens", F.xxhash64(F.lit(seed), "id").alias("h"))
     r = r.withColumn("h", F.shiftrightunsigned("h", 64 - BITS * LEVELS))
-    sums = materialize(r.groupBy("source", F.shiftright("h", BITS * (LEVELS - 1)).alias("b")).agg(F.sum("tokens").alias("t")))
+    sums = materialize(r.groupBy("source", F.shiftright("h", BITS * (LEVELS - 1)).alias("b")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")))
     have = sums.groupBy("source").agg(F.sum("t").alias("available"))
     total = size if size is not None else (have.agg(F.sum("available")).first()[0] or 0)
     goal = w.join(have, "source", "left").withColumns(
@@ -88,21 +89,24 @@ def mix_sources(records: DataFrame, weights: DataFrame, size: int | None = None,
         if level:
             # Of each source only the boundary bucket of the level before, [low, low + 2**BITS * step), is read again.
             inside = r.join(state.select("source", "low"), "source").filter((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + (step << BITS)))
-            hist = inside.groupBy("source", F.expr(f"(h - low) div {step}").alias("at")).agg(F.sum("tokens").alias("t"))
+            hist = inside.groupBy("source", F.expr(f"(h - low) div {step}").alias("at")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
         by = Window.partitionBy("source").orderBy("at")
         run = hist.withColumn("cum", F.sum("t").over(by))
         fits = run.join(state.select("source", "budget", "used"), "source").filter(F.col("used") + F.col("cum") > F.col("budget"))
         # The first bucket that doesn't fit holds the boundary; where all fit, the boundary is at the end.
-        edge = fits.groupBy("source").agg(F.min("at").alias("at"), F.min(F.struct("at", "cum", "t")).alias("x"))
-        edge = edge.select("source", "at", (F.col("x.cum") - F.col("x.t")).alias("before"))
+        edge = fits.groupBy("source").agg(F.min("at").alias("at"), F.min(F.struct("at", "cum", "t", "n")).alias("x"))
+        edge = edge.select("source", "at", (F.col("x.cum") - F.col("x.t")).alias("before"), F.col("x.n").alias("many"))
         ends = hist.groupBy("source").agg(F.sum("t").alias("all"))
         state = materialize(
-            state.join(edge, "source", "left").join(ends, "source", "left").select(
+            state.drop("many").join(edge, "source", "left").join(ends, "source", "left").select(
                 "source", "budget",
                 F.when(F.col("at").isNotNull(), F.col("low") + F.col("at") * step).otherwise(F.col("low") + (step << BITS)).alias("low"),
                 (F.col("used") + F.coalesce(F.when(F.col("at").isNotNull(), F.col("before")).otherwise(F.col("all")), F.lit(0))).alias("used"),
+                "many",
             )
         )
+        if state.filter("many > 1").isEmpty():
+            break
     cut = goal.select("source", "whole").join(state.select("source", "low"), "source")
     mix = (
         r.join(cut, "source").withColumn("copies", F.col("whole") + (F.col("h") < F.col("low")).cast("int"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.llm.automaton import find_passages, remove_passages
-from emberframe.llm.components import assign_splits, with_component
+from emberframe.llm.components import assign_splits, torn, with_component
 from emberframe.llm.cube import cube_sample
 from emberframe.llm.mixing import mix_sources, proper_source, token_counts
 from emberframe.llm.quantiles import compact_states, multi_select, value_states
@@ -35,21 +35,27 @@ SCENE_KM, SCENE_DAYS = 0.2, 1
 # ---- 1: splits that keep related records together
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counting samples with the component of their fire: fire_id and the number in tile_key name one and the same."""
+def _links() -> dict[str, Column]:
+    return {"fire.recorded": F.col("fire_id"), "fire.tile": F.col("tile_fire")}
+
+
+def _linkable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counting samples with both names of their fire: fire_id and the number in tile_key name one and the same."""
     s = counting(
         table(spark, sf_dir, "samples").select(
             "sample_id", "load_order", "loaded_at", "fire_id", "tile_key", "region_id", "dt", "split"
         )
     )
-    s = materialize(
+    return materialize(
         s.select("sample_id", "load_order", "fire_id", "tile_key", "region_id", "dt", split_meaning().alias("split"))
         .withColumn("fire", fire_by_right())
         .withColumn("tile_fire", F.expr("try_cast(nullif(regexp_extract(tile_key, '([0-9]+)', 1), '') as int)"))
         .drop("tile_key")
     )
-    links = {"fire.recorded": F.col("fire_id"), "fire.tile": F.col("tile_fire")}
-    return with_component(s, links, F.coalesce("sample_id", "load_order"))
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_component(_linkable(spark, sf_dir), _links(), F.coalesce("sample_id", "load_order"))
 
 
 @LLM.query(
@@ -58,12 +64,13 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 where fire is not null group by 1 having count(distinct s) > 1""",
 )
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fires by right in more than one split: components that are torn, then their fires one by one."""
-    rows = materialize(_linked(spark, sf_dir).select("component", "fire", "split"))
-    torn = rows.groupBy("component").agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a <> b")
-    fires = rows.join(torn.select("component"), "component", "left_semi").filter("fire is not null")
-    exact = fires.groupBy("fire").agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a <> b")
-    return exact.select(F.col("fire").alias("fire_id"))
+    """Fires by right in more than one split: components that hold marks of several, then their fires one by one.
+
+    A component may join two fires by a record that names both; the exact step keeps those that carry several splits themselves.
+    """
+    marks = torn(_linkable(spark, sf_dir), _links(), F.col("split"))
+    exact = marks.groupBy("node").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b")
+    return exact.select(F.regexp_extract("node", "^fire:(.*)$", 1).cast("int").alias("fire_id"))
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,21 +113,22 @@ def p1_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = table(spark, sf_dir, "picked").select("fire_id", "day_t", "region_id", "fire_type")
+    p = table(spark, sf_dir, "picked").select("fire_id", "day_t", "region_id", "fire_type", "num_fire")
     keys = p.filter("fire_id is not null and day_t is not null and region_id > 0 and fire_type >= 0").groupBy("fire_id", "day_t").agg(
-        F.min(F.struct("region_id", "fire_type")).alias("c")
+        F.min(F.struct("region_id", "fire_type")).alias("c"), F.max("num_fire").alias("num_fire")
     )
     name = lambda a, b: F.concat_ws(":", a, b)
     units = materialize(
         keys.select(
             "fire_id", "day_t", F.col("c.region_id").alias("region_id"), F.col("c.fire_type").alias("fire_type"),
             F.concat_ws("@", "fire_id", "day_t").alias("unit"), name("c.region_id", "c.fire_type").alias("category"),
+            F.log1p("num_fire").alias("log_size"),
         )
     )
     mix = table(spark, sf_dir, "target_mix")
     targets = mix.select(name("region_id", "fire_type").alias("category"), F.col("target_share").alias("share"), "min_rows")
     size = units.count() / 10.0
-    sample, report = cube_sample(units, targets, size, fill=True)
+    sample, report = cube_sample(units, targets, size, balance=["log_size"], fill=True)
     return units, sample, report
 
 
@@ -141,9 +149,9 @@ left join h on h.region_id = t.region_id and h.fire_type = t.fire_type)"""
 
 @LLM.query("p3_found", _MIX_SQL + " select region_id, fire_type from m where available < wanted")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target categories that the sample cannot fill."""
+    """Target categories of which the sample took every unit and that are still short of their target."""
     _, _, report = _cube(spark, sf_dir)
-    return _categories(report.filter("shortfall > 0 and available < wanted").select("category"))
+    return _categories(report.filter("left = 0 and drawn < wanted").select("category"))
 
 
 @LLM.query("p3_sample")
@@ -167,9 +175,12 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @LLM.query("p3_balance")
 def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was drawn of each category and the residual imbalance."""
-    _, _, report = _cube(spark, sf_dir)
-    return _categories(report).select("region_id", "fire_type", "wanted", "drawn", "residual")
+    """What was drawn of each category, the residual imbalance, and the mean size (log of num_fire) in sample and pool."""
+    units, sample, report = _cube(spark, sf_dir)
+    pool = units.groupBy("category").agg(F.avg(F.coalesce("log_size", F.lit(0.0))).alias("pool_mean"))
+    mine = units.join(sample.select("unit"), "unit", "left_semi").groupBy("category").agg(F.avg(F.coalesce("log_size", F.lit(0.0))).alias("sample_mean"))
+    out = report.join(pool, "category", "left").join(mine, "category", "left")
+    return _categories(out).select("region_id", "fire_type", "wanted", "drawn", "residual", "pool_mean", "sample_mean")
 
 
 # ---- 4: percentiles of very large numeric columns
@@ -348,7 +359,8 @@ select w.source from source_weights w left join d on d.source = w.source
 where coalesce(t, 0) * max_repeats < target_share * (select sum(t) from d)""",
 )
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(spark, sf_dir)[1].filter("available * max_repeats < wanted").select("source")
+    """Sources of which the mix takes every record as often as it may, its threshold at the end, and that still fall short."""
+    return _mixed(spark, sf_dir)[1].filter("mixed = available * max_repeats and mixed < wanted").select("source")
 
 
 @LLM.query("p8_shares")

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from emberframe.llm.cosine import cosine_join, unit_vectors
 from emberframe.operators.curve import EARTH_KM, great_circle_km
 
-#: Most terms of a train vector (tile, place) and of an evaluation vector (3 days of the tile and of up to 4 cells).
+#: Strong terms, most of a train vector (tile, place) and of an evaluation vector (3 days of the tile and of up to 4 cells).
 TRAIN_TERMS, EVAL_TERMS = 2, 15
+#: Weight of a weak term beside the strong one that implies it: the fire of a tile, the wider cell of a place.
+WEAK = 0.3
+#: Cells of a wider cell's side.
+WIDE = 16
 SCENE = ["fire", "xi", "yi", "lat", "lon", "dt"]
 
 
@@ -26,8 +30,8 @@ def _cells(km: float) -> tuple[float, float]:
     return 4 * deg, deg
 
 
-def _cell(lat: Column, lon: Column, height: float, day: Column) -> Column:
-    """The term of the cell that holds a place on a day.
+def _cell(lat: Column, lon: Column, height: float) -> Column:
+    """Row and column of the cell that holds a place.
 
     Rows are `height` high. All cells of a row are at least as wide, in degrees of its band of five degrees, as
     a disc of a quarter of that height needs to touch two of them at most; the last takes up what is left at the date
@@ -37,31 +41,44 @@ def _cell(lat: Column, lon: Column, height: float, day: Column) -> Column:
     band = F.floor(F.abs(row * height + height / 2) / 5.0)
     width = F.lit(height) / F.cos(F.radians(F.least(F.lit(85.0), (band + 1) * 5.0) + height))
     col = F.when(band >= 17, 0).otherwise(F.least(F.floor((lon + 180.0) / width), F.floor(360.0 / width) - 1))
-    return _term("c", row, col, day)
+    return F.struct(row.alias("row"), col.alias("col"))
 
 
 def _term(kind: str, *c: Column) -> Column:
     return F.xxhash64(F.lit(kind), *c)
 
 
+def _terms(scenes: DataFrame, cells: Column, days: int) -> DataFrame:
+    """Vectors of scenes: on each day at most `days` away the tile and every cell, of weight 1, and their fire and wider cells, of weight WEAK.
+
+    A strong term that two scenes share stands with its weak term in both. Terms repeated in a scene count once.
+    """
+    s = scenes.filter("dt is not null").select(F.col("scene").alias("id"), "fire", "xi", "yi", F.datediff("dt", F.lit("1970-01-01")).alias("day"), cells.alias("cells"))
+    # Keys without the day first, so that places are encoded once however many days there are.
+    has_tile = F.expr("fire is not null and xi is not null and yi is not null")
+    strong = F.concat(F.array(F.when(has_tile, _term("t", F.col("fire"), F.col("xi"), F.col("yi")))), F.transform("cells", lambda c: _term("c", c["row"], c["col"])))
+    weak = F.concat(
+        F.array(F.when(has_tile, _term("f", F.col("fire")))),
+        F.transform("cells", lambda c: _term("w", F.floor(c["row"] / WIDE), F.floor(c["col"] / WIDE))),
+    )
+    keys = F.transform(F.array_distinct(strong), lambda k: F.struct(k.alias("key"), F.lit(1.0).alias("weight")))
+    light = F.transform(F.array_distinct(weak), lambda k: F.struct(k.alias("key"), F.lit(WEAK).alias("weight")))
+    k = s.select("id", "day", F.explode(F.concat(keys, light)).alias("k")).filter("k.key is not null")
+    near = F.explode(F.sequence(F.col("day") - days, F.col("day") + days)) if days else F.col("day")
+    return unit_vectors(k.select("id", "k.*", near.alias("on")).select("id", _term("d", F.col("key"), F.col("on")).alias("term"), "weight"))
+
+
 def train_vectors(scenes: DataFrame, km: float) -> DataFrame:
-    """A train scene's terms: its tile on its day and the cell of its place on its day, of equal weight."""
+    """A train scene's terms: its tile, the cell of its place, its fire and the wider cell, on its day."""
     height, _ = _cells(km)
-    day = F.datediff("dt", F.lit("1970-01-01"))
-    tile = F.when(F.expr("fire is not null and xi is not null and yi is not null"), _term("t", F.col("fire"), F.col("xi"), F.col("yi"), day))
-    cell = F.when(F.expr("lat is not null and lon is not null"), _cell(F.col("lat"), F.col("lon"), height, day))
-    scenes = scenes.filter("dt is not null")
-    t = scenes.select(F.col("scene").alias("id"), F.explode(F.array(tile, cell)).alias("term"))
-    return unit_vectors(t.withColumn("weight", F.lit(1.0)))
+    place = F.when(F.expr("lat is not null and lon is not null"), F.array(_cell(F.col("lat"), F.col("lon"), height)))
+    return _terms(scenes, F.coalesce(place, F.array().cast("array<struct<row:bigint,col:bigint>>")), 0)
 
 
 def eval_vectors(scenes: DataFrame, km: float, days: int) -> DataFrame:
-    """An evaluation scene's terms: its tile and every cell its disc touches, on each day at most `days` away."""
+    """An evaluation scene's terms: those of its tile and of every cell its disc touches, on each day at most `days` away."""
     height, deg = _cells(km)
     deg *= 1 + 1e-6
-    s = scenes.filter("dt is not null").withColumn("d", F.explode(F.sequence(F.lit(-days), F.lit(days))))
-    s = s.withColumn("day", F.datediff("dt", F.lit("1970-01-01")) + F.col("d"))
-    tile = F.when(F.expr("fire is not null and xi is not null and yi is not null"), _term("t", F.col("fire"), F.col("xi"), F.col("yi"), F.col("day")))
     half = F.lit(deg) / F.cos(F.radians(F.least(F.lit(89.9), F.abs("lat") + deg)))
     # The disc's box spans two rows and in each two columns at most, so its corners name all cells that it can touch.
     corners = []
@@ -70,19 +87,20 @@ def eval_vectors(scenes: DataFrame, km: float, days: int) -> DataFrame:
         for b in (-1, 0, 1):
             x = F.col("lon") + b * half
             x = F.when(x < -180, x + 360.0).when(x >= 180, x - 360.0).otherwise(x)
-            corners.append(_cell(la, x, height, F.col("day")))
-    cells = F.when(F.expr("lat is not null and lon is not null"), F.array_distinct(F.array(*corners))).otherwise(F.array().cast("array<bigint>"))
-    t = s.select(F.col("scene").alias("id"), F.explode(F.concat(F.array(tile), cells)).alias("term"))
-    return unit_vectors(t.filter("term is not null").dropDuplicates(["id", "term"]).withColumn("weight", F.lit(1.0)))
+            corners.append(_cell(la, x, height))
+    cells = F.when(F.expr("lat is not null and lon is not null"), F.array_distinct(F.array(*corners)))
+    return _terms(scenes, F.coalesce(cells, F.array().cast("array<struct<row:bigint,col:bigint>>")), days)
 
 
 def overlaps(classes: DataFrame, km: float, days: int) -> DataFrame:
     """(train_scene, eval_scene, cosine, km): scenes of train and of val or test that are the same or near.
 
     Scenes count as overlapping if their days are at most `days` apart and they show the same tile or lie at most
-    km apart. Any such pair shares a term, and a shared term weighs at least
-    1 / sqrt(TRAIN_TERMS * EVAL_TERMS) in the cosine, so that the join at this threshold loses none;
-    an exact test follows. Parts that are null match nothing.
+    km apart. Any such pair shares a strong term and the weak one that it implies. With s strong terms a vector has at most s weak
+    ones, so that pair's cosine is at least (1 + WEAK**2) / sqrt(TRAIN_TERMS * (1 + WEAK**2) * EVAL_TERMS * (1 + WEAK**2)), which
+    is 1 / sqrt(TRAIN_TERMS * EVAL_TERMS): the join at this threshold loses none. Weak terms alone
+    stay below it, so the long lists of a fire and of a wider cell on a day are pruned and only add to
+    the dot product of a candidate. An exact test follows. Parts that are null match nothing.
     """
     train = classes.filter("side = 'train'")
     others = classes.filter("side = 'eval'")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberframe.llm.components import assign_splits, hash_to_min, with_component
+from emberframe.llm.components import assign_splits, hash_to_min, torn, with_component
 
 
 def brute(edges):
@@ -78,3 +78,42 @@ def test_splits_follow_periods(spark):
     share = {(r["period"], r["split"]): r[2] / 500 for r in by}
     assert got.count() == len(rows) and got.filter("split is null").count() == 0
     assert all(abs(share.get((str(y), s), 0) - w) < 0.06 for y in range(2018, 2026) for s, w in (("train", 0.6), ("val", 0.15), ("test", 0.25)))
+
+
+def links():
+    return {"fire.recorded": F.col("a"), "fire.tile": F.col("b")}
+
+
+def test_torn_components_join_what_records_link(spark, monkeypatch):
+    rows = [
+        (1, 1, "train"), (1, None, "train"), (2, 2, "train"), (None, 2, "val"),
+        # 3 and 4 are joined by a record without a split, 5 to 7 by a chain.
+        (3, 4, None), (3, 3, "train"), (4, 4, "test"), (5, 6, "val"), (6, 7, "val"), (7, 7, "train"), (None, None, "val"), (8, None, None),
+    ]
+    df = spark.createDataFrame(rows, "a int, b int, s string").withColumn("node", F.lit("clash"))
+    got = {(x["node"], x["mark"]) for x in torn(df, links(), F.col("s")).collect()}
+    assert got == {
+        ("fire:2", "train"), ("fire:2", "val"), ("fire:3", "train"), ("fire:4", "test"), ("fire:5", "val"), ("fire:6", "val"), ("fire:7", "train"),
+    }
+    assert torn(df.limit(0), links(), F.col("s")).count() == 0
+    # The rows come from the components: without them nothing is torn.
+    from emberframe.llm import components
+
+    monkeypatch.setattr(components, "hash_to_min", lambda e: e.selectExpr("v as node", "v as component").union(e.selectExpr("u", "u")).distinct())
+    assert torn(df, links(), F.col("s")).count() == 0
+
+
+def test_found_and_splits_on_bridged_fires(spark, tmp_path):
+    from emberframe.llm.queries import LLM
+
+    schema = "load_order long, sample_id long, fire_id int, tile_key string, region_id int, dt date, split string, loaded_at timestamp"
+    rows = [
+        (1, 1, 5, "5_0_0", 1, "train"), (2, 2, 5, "6_0_0", 1, "train"), (3, 3, 6, "6_1_0", 2, "val"), (4, 4, None, "6_1_0", 2, "val"),
+        (5, 5, 9, "9_0_0", 1, "TEST"), (6, 6, None, "9/1/0", 1, "Train"), (7, 7, None, None, None, "val"), (8, 8, 10, None, 3, None),
+    ]
+    df = spark.createDataFrame([(*r[:5], None, r[5], None) for r in rows], schema)
+    df.write.parquet(f"{tmp_path}/samples.parquet")
+    assert [tuple(x) for x in LLM.queries["p1_found"](spark, str(tmp_path)).collect()] == [(9,)]
+    got = {x["sample_id"]: x for x in LLM.queries["p1_splits"](spark, str(tmp_path)).collect()}
+    assert len(got) == 8 and got[1]["component"] == got[2]["component"] == got[3]["component"] == got[4]["component"]
+    assert len({got[i]["split"] for i in (1, 2, 3, 4)}) == 1 and got[5]["split"] == got[6]["split"]

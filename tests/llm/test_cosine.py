@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from emberframe.llm import cosine
 from emberframe.llm.cosine import cosine_join, unit_vectors
 from emberframe.llm.scenes import members, overlaps, scene_classes
 
@@ -82,3 +83,23 @@ def test_scene_overlaps_lose_no_pair(spark):
                 if tile or near:
                     want.add((a[0], b[0]))
     assert got == want and len(want) > 50
+
+
+def test_scenes_are_pruned_by_weight(spark, monkeypatch):
+    seen = []
+
+    def watched(df, *a):
+        seen.append(kept(df, *a))
+        return seen[-1]
+
+    kept = cosine.materialize
+    monkeypatch.setattr(cosine, "materialize", watched)
+    # One fire on one day, tiles far apart: its list is long, and says nothing.
+    rows = [(i, "train" if i % 2 else "eval", 7, i // 2, 0, 10.0 + (i // 2) * 0.1, 20.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "sample_id long, side string, fire int, xi int, yi int, lat double, lon double").selectExpr("*", "date'2020-01-01' as dt")
+    found = {(x["train_scene"], x["eval_scene"]) for x in overlaps(scene_classes(df), 0.2, 1).collect()}
+    assert found == {(i + 1, i) for i in range(0, 400, 2)}
+    posted = next(d for d in seen if "indexed" in d.columns)
+    cand = next(d for d in seen if "dot" in d.columns)
+    assert posted.filter("not indexed").count() >= 200 and posted.filter("indexed").count() <= 3 * 200
+    assert cand.count() == cand.filter("rest > 0").count() == 200

@@ -26,6 +26,18 @@ def test_flight_with_balance_keeps_totals():
     assert ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 2
 
 
+def test_flight_of_three_equals_the_kernel(monkeypatch):
+    rng = np.random.default_rng(2)
+    pi, x = np.full(90, 0.3), rng.integers(0, 4, 90).astype(float)
+    hits = np.zeros(90)
+    for seed in range(400):
+        out = flight(pi, x[:, None] / 0.3, np.random.default_rng(seed))
+        assert abs(out.sum() - 27) < 1e-6 and abs((out * x).sum() - (pi * x).sum()) < 1e-6
+        assert ((out > 1e-9) & (out < 1 - 1e-9)).sum() <= 2
+        hits += out
+    assert abs(hits / 400 - 0.3).max() < 0.1
+
+
 def test_targets_are_met_and_gaps_reported(spark):
     u = units(spark, {"a": 500, "b": 300, "c": 4, "d": 50})
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1), ("e", 0.0, 3)], "category string, share double, min_rows int")
@@ -33,6 +45,7 @@ def test_targets_are_met_and_gaps_reported(spark):
         sample, report = cube_sample(u, t, 100, per_task=per_task)
         r = {x["category"]: x for x in report.collect()}
         assert {k: x["drawn"] for k, x in r.items()} == {"a": 50, "b": 30, "c": 4, "e": 0}
+        assert r["c"]["left"] == 0 and r["a"]["left"] == 450 and r["e"]["left"] == 0
         assert r["c"]["shortfall"] == 16 and r["e"]["shortfall"] == 3 and r["a"]["shortfall"] == 0
         assert sample.count() == sample.select("unit").distinct().count() == 84
 
