@@ -371,3 +371,23 @@ def focal(logit: Column, y: Column, alpha: float = 0.25, gamma: float = 2.0) ->
     p = sigmoid(logit)
     pt = p * y + (1 - p) * (1 - y)
     return (alpha * y + (1 - alpha) * (1 - y)) * F.pow(1 - pt, F.lit(gamma)) * bce(logit, y)
+
+
+#: Land cover that is static in every region, and how long lasting a fire is static whatever its land cover.
+STATIC_LC = ("urban", "ocean", "bare", "water")
+STATIC_T_RATIO = 10.0
+
+
+def fire_type(lc: Column, t_ratio: Column, exclude_lc: Column, crop_is_veg: Column) -> Column:
+    """0 vegetation, 1 static, 2 crop; names of land cover are compared without case.
+
+    Static are fires that last far longer than they spread, those on land cover that is static everywhere, and those on
+    what their region excludes besides. Cropland is vegetation where the region says so. A null list excludes
+    nothing besides, a null flag is false, a null or NaN ratio is no reason.
+    """
+    name = F.lower(lc)
+    listed = F.coalesce(F.exists(exclude_lc, lambda x: F.lower(x) == name), F.lit(False))
+    lasting = F.coalesce((t_ratio > STATIC_T_RATIO) & ~F.isnan(t_ratio), F.lit(False))
+    static = lasting | F.coalesce(name.isin(*STATIC_LC), F.lit(False)) | listed
+    crop = F.coalesce(name == "cropland", F.lit(False))
+    return F.when(static, 1).when(crop & ~F.coalesce(crop_is_veg, F.lit(False)), 2).otherwise(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.session import materialize
+from emberframe.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -26,7 +26,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
-        links = materialize(small.filter("u <> v").distinct())
+        after = materialize(small.filter("u <> v").distinct())
+        discard(links)
+        links = after
         now = _mark(links)
         if now == before:
             roots = links.select(F.col("v").alias("node")).union(loops).distinct()
@@ -72,12 +74,28 @@ def cell_links(cells: DataFrame, dx: int, dy: int, dt: int) -> DataFrame:
 
 def label_cells(cells: DataFrame, dx: int = 2, dy: int = 2, dt: int = 7, name: str = "component") -> DataFrame:
     """Distinct cells(x, y, t) with the key of the least cell of their component; null coordinates are passed over."""
+    return label_cells_by(cells, dx, dy, {name: dt})
+
+
+def label_cells_by(cells: DataFrame, dx: int, dy: int, windows: dict[str, int]) -> DataFrame:
+    """label_cells for up to two windows of time at once, name -> dt: one search for components over both graphs.
+
+    The nodes of the second graph are negative, so the graphs share no node and their rounds are the same jobs.
+    """
+    if len(windows) > 2:
+        raise ValueError("at most two windows")
     c = materialize(cells.select("x", "y", "t").filter("x is not null and y is not null and t is not null").distinct())
-    found = connected_components(cell_links(c, dx, dy, dt))
-    own = _blocks(c, (dx + 1, dy + 1, dt + 1)).withColumn("node", cell_key(F.col("bx"), F.col("by"), F.col("bt")))
-    by = materialize(own.join(found, "node").select("x", "y", "t", "component"))
-    least = by.groupBy(F.col("component").alias("root")).agg(F.min(cell_key(F.col("x"), F.col("y"), F.col("t"))).alias("least"))
-    return by.join(least, by["component"] == least["root"]).select("x", "y", "t", F.col("least").alias(name))
+    node = lambda i, k: -1 - k if i else k
+    sides = [cell_links(c, dx, dy, dt).select(node(i, F.col("u")).alias("u"), node(i, F.col("v")).alias("v")) for i, dt in enumerate(windows.values())]
+    found = materialize(connected_components(sides[0] if len(sides) == 1 else sides[0].union(sides[1])))
+    out = c
+    for i, (name, dt) in enumerate(windows.items()):
+        own = _blocks(c, (dx + 1, dy + 1, dt + 1)).withColumn("node", node(i, cell_key(F.col("bx"), F.col("by"), F.col("bt"))))
+        by = materialize(own.join(found, "node").select("x", "y", "t", "component"))
+        least = by.groupBy(F.col("component").alias("root")).agg(F.min(cell_key(F.col("x"), F.col("y"), F.col("t"))).alias("least"))
+        named = by.join(least, by["component"] == least["root"]).select("x", "y", "t", F.col("least").alias(name))
+        out = named if i == 0 else out.join(named, ["x", "y", "t"])
+    return out
 
 
 def event_cells(cells: DataFrame, dx: int = 2, dy: int = 2, dt: int = 7) -> DataFrame:
@@ -86,8 +104,7 @@ def event_cells(cells: DataFrame, dx: int = 2, dy: int = 2, dt: int = 7) -> Data
     predecessors counts earlier cells of the window, neighbours those of the same day. A same-day group
     is an ignition if none of its cells has a predecessor.
     """
-    c = materialize(label_cells(cells, dx, dy, dt, "event"))
-    day = label_cells(cells, dx, dy, 0, "same_day")
+    c = materialize(label_cells_by(cells, dx, dy, {"event": dt, "same_day": 0}))
     b = _blocks(c, (dx + 1, dy + 1, dt + 1))
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0)]))
     a = b.withColumn("n", near).select(
@@ -102,7 +119,8 @@ def event_cells(cells: DataFrame, dx: int = 2, dy: int = 2, dt: int = 7) -> Data
     counts = seen.groupBy(F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("t1").alias("t")).agg(
         F.count(F.when(gap > 0, 1)).alias("predecessors"), F.count(F.when(gap == 0, 1)).alias("neighbours")
     )
-    full = c.join(day, ["x", "y", "t"]).join(counts, ["x", "y", "t"], "left").fillna(0, ["predecessors", "neighbours"])
+    full = c.join(counts, ["x", "y", "t"], "left").fillna(0, ["predecessors", "neighbours"])
+    full = materialize(full)
     fresh = full.groupBy("same_day").agg((F.max("predecessors") == 0).alias("ignition"))
     return full.join(fresh, "same_day").select(
         "x", "y", "t", F.col("event").alias("component"), "same_day", "predecessors", "neighbours", "ignition"

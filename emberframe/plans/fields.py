@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberframe.functions import scalars as S
 from emberframe.operators import raster as R
 from emberframe.operators import scoring
-from emberframe.plans.scalars import FIRE_TYPES_SQL
+from emberframe.plans.scalars import FIRE_TYPES_SQL, covered_fires
 from emberframe.registry import CORE
 from emberframe.tables import COUNTING_SQL, LON_SQL, counting, latitude, longitude, table
 
@@ -59,22 +59,10 @@ def r14_cluster_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CORE.query(
     "s18_canopy_dates",
     f"""with h as (select grid_row as r, grid_col as k, case when cell_value is null or isnan(cell_value) then null else cell_value * 3 end as height, 15 + (grid_row + grid_col) % 8 as years from raster),
-s as (select sample_id, floor((90 - lat) * 2)::integer as r, floor((lon + 180) * 2)::integer as k, year(dt) - 2000 + (dayofyear(dt) - 1) / 365.25 as y from {COUNTING_SQL} where lon < 180 and lat is not null)
-select sample_id, height, coalesce(years < y, false) as predates from s left join h on h.r = s.r and h.k = s.k""",
-)
-def s18_canopy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Height under each sample, null without data, and whether its image is older than the sample; samples with lon of 180 or more are left out, as in the SQL."""
-    s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "lon", "lat", "dt")).filter("lon < 180 and lat is not null")
-    return _canopy(spark, sf_dir, s)
-
-
-@CORE.query(
-    "s18_canopy_dates_folded",
-    f"""with h as (select grid_row as r, grid_col as k, case when cell_value is null or isnan(cell_value) then null else cell_value * 3 end as height, 15 + (grid_row + grid_col) % 8 as years from raster),
 s as (select sample_id, floor((90 - lat) * 2)::integer as r, floor((ln + 180) * 2)::integer as k, year(dt) - 2000 + (dayofyear(dt) - 1) / 365.25 as y from (select *, {LON_SQL} as ln from {COUNTING_SQL}) where ln is not null and abs(lat) <= 90)
 select sample_id, height, coalesce(years < y, false) as predates from s left join h on h.r = s.r and h.k = s.k""",
 )
-def s18_canopy_dates_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def s18_canopy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for all located samples, in either convention of longitude."""
     s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "lon", "lat", "dt"))
     s = s.select("sample_id", longitude().alias("lon"), latitude().alias("lat"), "dt").filter("lon is not null and lat is not null")
@@ -187,21 +175,15 @@ def type_case(regions: DataFrame) -> str:
     rows = regions.select("region_id", "exclude_lc", "crop_is_veg").limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("too many rules for one expression")
-    quoted = lambda names: ", ".join("'" + n.replace("'", "''") + "'" for n in sorted(names))
-    whens = ["WHEN t_ratio > 10 AND NOT isnan(t_ratio) THEN 1"]
-    whens += [f"WHEN region_id = {r['region_id']} AND lc IN ({quoted(r['exclude_lc'])}) THEN 1" for r in rows if r["exclude_lc"]]
-    known = ", ".join(str(r["region_id"]) for r in rows) or "-1"
-    whens.append(f"WHEN coalesce(region_id, -1) NOT IN ({known}) AND lc IN ('bare', 'urban', 'water') THEN 1")
+    quoted = lambda names: ", ".join("'" + n.lower().replace("'", "''") + "'" for n in sorted(names))
+    whens = [f"WHEN t_ratio > {S.STATIC_T_RATIO} AND NOT isnan(t_ratio) THEN 1", f"WHEN lower(lc) IN ({quoted(S.STATIC_LC)}) THEN 1"]
+    whens += [f"WHEN region_id = {r['region_id']} AND lower(lc) IN ({quoted(r['exclude_lc'])}) THEN 1" for r in rows if r["exclude_lc"]]
     if crop := ", ".join(str(r["region_id"]) for r in rows if r["crop_is_veg"]):
-        whens.append(f"WHEN lc = 'Cropland' AND region_id IN ({crop}) THEN 0")
-    return "CASE " + " ".join([*whens, "WHEN lc = 'Cropland' THEN 2", "ELSE 0 END"])
+        whens.append(f"WHEN lower(lc) = 'cropland' AND region_id IN ({crop}) THEN 0")
+    return "CASE " + " ".join([*whens, "WHEN lower(lc) = 'cropland' THEN 2", "ELSE 0 END"])
 
 
 @CORE.query("where21_type_case", FIRE_TYPES_SQL)
 def where21_type_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fire types by the generated expression; the same result as the joined rules of where20_fire_types."""
-    f = table(spark, sf_dir, "fires").filter("fire_id is not null").select("fire_id", "num_fire", "t_ratio").distinct()
-    g = table(spark, sf_dir, "samples").filter("fire_id is not null").groupBy("fire_id").agg(F.max("region_id").alias("region_id"))
-    names = F.array(*map(F.lit, ("Cropland", "Grass", "Shrub", "Forest", "urban", "water", "bare")))
-    c = f.join(g, "fire_id", "left").withColumn("lc", F.element_at(names, (F.col("fire_id") % 7 + 1).cast("int")))
-    return c.select("fire_id", "lc", F.expr(type_case(table(spark, sf_dir, "regions"))).alias("fire_type"))
+    return covered_fires(spark, sf_dir).select("fire_id", "lc", F.expr(type_case(table(spark, sf_dir, "regions"))).alias("fire_type"))

@@ -59,6 +59,16 @@ def _located(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return rows.select("sample_id", fire_by_right().alias("fire"), "dt", latitude().alias("lat"), longitude().alias("lon"), *more)
 
 
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Located samples, and their places (dt, fire, lat, lon, place, n)."""
+    rows = materialize(
+        _located(spark, sf_dir).filter(
+            "sample_id is not null and dt is not null and lat is not null and lon is not null and fire is not null"
+        )
+    )
+    return rows, rows.groupBy("dt", "fire", "lat", "lon").agg(F.min("sample_id").alias("place"), F.count(F.lit(1)).alias("n"))
+
+
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_id_a, sample_id_b, dt, km): nearby samples of different fires on one day, a < b.
 
@@ -66,12 +76,7 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     the places that have a partner are expanded to their samples. Rows without sample_id, dt,
     coordinates or fire take no part.
     """
-    rows = materialize(
-        _located(spark, sf_dir).filter(
-            "sample_id is not null and dt is not null and lat is not null and lon is not null and fire is not null"
-        )
-    )
-    places = rows.groupBy("dt", "fire", "lat", "lon").agg(F.min("sample_id").alias("place"))
+    rows, places = _places(spark, sf_dir)
     pairs = near_pairs(places, NEAR_KM, ["dt"], "place", "fire")
     for side in "ab":
         mine = rows.select(
@@ -107,6 +112,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).select("sample_id_a", "sample_id_b")
 
 
+@CORE.query(
+    "p5_place_pairs",
+    f"""with p as ({_PLACED_SQL}),
+c as (select dt, fire, lat, ln, min(sample_id) as place, count(*) as n from p where sample_id is not null and fire is not null and lat is not null and ln is not null and dt is not null group by 1, 2, 3, 4)
+select x.place as place_a, y.place as place_b, x.n as n_a, y.n as n_b, round({_KM_SQL}, 6) as km from c x join c y
+on x.dt = y.dt and x.place < y.place and x.fire <> y.fire and abs(x.lat - y.lat) < 0.02 where {_KM_SQL} <= 2.0""",
+)
+def p5_place_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of places (samples of one fire, day and position, named by the least sample_id) with the number of samples of each; not expanded."""
+    _, places = _places(spark, sf_dir)
+    pairs = near_pairs(places, NEAR_KM, ["dt"], "place", "fire")
+    n = lambda side: places.select(F.col("place").alias(f"place_{side}"), F.col("n").alias(f"n_{side}"))
+    named = pairs.select(F.col("a").alias("place_a"), F.col("b").alias("place_b"), F.round("km", 6).alias("km"))
+    return named.join(n("a"), "place_a").join(n("b"), "place_b").select("place_a", "place_b", "n_a", "n_b", "km")
+
+
 @CORE.query(
     "p5_neighbours",
     f"""with p as ({_PLACED_SQL}),

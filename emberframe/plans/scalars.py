@@ -105,20 +105,11 @@ round_even((max_x + 180) / {CELL_SQL}, 0)::integer as x1, round_even((max_y + 90
 
 @CORE.query(
     "f7_padded_boxes",
-    f"""with {_BOX_SQL}, p as (select *, (256 - ((x1 + 1 - x0) % 256)) % 256 as px, (256 - ((y1 + 1 - y0) % 256)) % 256 as py from b)
-select fire_id, (x0 - (px // 2 + 16))::bigint as x0, (y0 - (py // 2 + 16))::bigint as y0, (x1 + 1 + px - px // 2 + 16)::bigint as x1, (y1 + 1 + py - py // 2 + 16)::bigint as y1 from p""",
-)
-def f7_padded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _padded(table(spark, sf_dir, "fires").filter("min_x <= max_x"), F.col("max_x"))
-
-
-@CORE.query(
-    "f7_padded_boxes_date_line",
     f"""with b as (select distinct fire_id, round_even((min_x + 180) / {CELL_SQL}, 0)::integer as x0, round_even((min_y + 90) / {CELL_SQL}, 0)::integer as y0,
 round_even(({EAST_SQL} + 180) / {CELL_SQL}, 0)::integer as x1, round_even((max_y + 90) / {CELL_SQL}, 0)::integer as y1 from fires), p as (select *, (256 - ((x1 + 1 - x0) % 256)) % 256 as px, (256 - ((y1 + 1 - y0) % 256)) % 256 as py from b)
 select fire_id, (x0 - (px // 2 + 16))::bigint as x0, (y0 - (py // 2 + 16))::bigint as y0, (x1 + 1 + px - px // 2 + 16)::bigint as x1, (y1 + 1 + py - py // 2 + 16)::bigint as y1 from p""",
 )
-def f7_padded_boxes_date_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f7_padded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for all fires; the cells of a box across the date line are counted on beyond it."""
     return _padded(table(spark, sf_dir, "fires"), unwrapped_east())
 
@@ -195,17 +186,9 @@ def f23_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query(
     "f29_metres_per_pixel",
-    f"select distinct fire_id, round(sqrt(pow((max_x - min_x) * 2 * pi() * 6371000 / 360 * cos(radians((min_y + max_y) / 2)), 2) + pow((max_y - min_y) * 2 * pi() * 6371000 / 360, 2)) / 256, 6) as mpp from fires where min_x <= max_x",
-)
-def f29_metres_per_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metres(table(spark, sf_dir, "fires").filter("min_x <= max_x"), F.col("max_x"))
-
-
-@CORE.query(
-    "f29_metres_per_pixel_date_line",
     f"select distinct fire_id, round(sqrt(pow(({EAST_SQL} - min_x) * 2 * pi() * 6371000 / 360 * cos(radians((min_y + max_y) / 2)), 2) + pow((max_y - min_y) * 2 * pi() * 6371000 / 360, 2)) / 256, 6) as mpp from fires",
 )
-def f29_metres_per_pixel_date_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f29_metres_per_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for all fires, boxes across the date line being unwrapped."""
     return _metres(table(spark, sf_dir, "fires"), unwrapped_east())
 
@@ -348,28 +331,30 @@ def where3_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.sum("num_fire").alias("detections"))
 
 
-_CLASSES = ("Cropland", "Grass", "Shrub", "Forest", "urban", "water", "bare")
+#: Stand-in land cover, by fire.
+CLASSES = ("Cropland", "Grass", "Shrub", "Forest", "Urban", "water", "Bare", "Ocean")
 
 
 FIRE_TYPES_SQL = """with f as (select distinct fire_id, num_fire, t_ratio from fires where fire_id is not null), g as (select fire_id, max(region_id) as region_id from samples where fire_id is not null group by 1),
-c as (select f.fire_id, t_ratio, g.region_id, ['Cropland', 'Grass', 'Shrub', 'Forest', 'urban', 'water', 'bare'][f.fire_id % 7 + 1] as lc from f left join g using (fire_id))
-select c.fire_id, lc, case when t_ratio > 10 and not isnan(t_ratio) then 1 when list_contains(coalesce(exclude_lc, ['urban', 'water', 'bare']), lc) then 1
+c as (select f.fire_id, t_ratio, g.region_id, ['Cropland', 'Grass', 'Shrub', 'Forest', 'Urban', 'water', 'Bare', 'Ocean'][f.fire_id % 8 + 1] as lc from f left join g using (fire_id))
+select c.fire_id, lc, case when t_ratio > 10 and not isnan(t_ratio) then 1 when lower(lc) in ('urban', 'ocean', 'bare', 'water') then 1
+when list_contains(str_split(lower(array_to_string(exclude_lc, '|')), '|'), lower(lc)) then 1
 when lc = 'Cropland' and coalesce(crop_is_veg, false) then 0 when lc = 'Cropland' then 2 else 0 end as fire_type from c left join regions r on r.region_id = c.region_id"""
 
 
+def covered_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fire_id, t_ratio, region_id, lc) of every fire."""
+    f = table(spark, sf_dir, "fires").filter("fire_id is not null").select("fire_id", "num_fire", "t_ratio").distinct()
+    g = table(spark, sf_dir, "samples").filter("fire_id is not null").groupBy("fire_id").agg(F.max("region_id").alias("region_id"))
+    lc = F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("fire_id") % len(CLASSES) + 1).cast("int"))
+    return f.join(g, "fire_id", "left").withColumn("lc", lc)
+
+
 @CORE.query("where20_fire_types", FIRE_TYPES_SQL)
 def where20_fire_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fire type by land cover, the rules of its region, and persistence; unknown regions get the common rules."""
-    f = table(spark, sf_dir, "fires").filter("fire_id is not null").select("fire_id", "num_fire", "t_ratio").distinct()
-    g = table(spark, sf_dir, "samples").filter("fire_id is not null").groupBy("fire_id").agg(F.max("region_id").alias("region_id"))
-    lc = F.element_at(F.array(*map(F.lit, _CLASSES)), (F.col("fire_id") % 7 + 1).cast("int"))
-    c = f.join(g, "fire_id", "left").withColumn("lc", lc).join(table(spark, sf_dir, "regions"), "region_id", "left")
-    rules = F.coalesce("exclude_lc", F.array(F.lit("urban"), F.lit("water"), F.lit("bare")))
-    crop = F.col("lc") == "Cropland"
-    kind = (
-        F.when((F.col("t_ratio") > 10) & ~F.isnan("t_ratio"), 1).when(F.array_contains(rules, F.col("lc")), 1)
-        .when(crop & F.coalesce("crop_is_veg", F.lit(False)), 0).when(crop, 2).otherwise(0)
-    )
+    c = covered_fires(spark, sf_dir).join(table(spark, sf_dir, "regions"), "region_id", "left")
+    kind = S.fire_type(F.col("lc"), F.col("t_ratio"), F.col("exclude_lc"), F.col("crop_is_veg"))
     return c.select("fire_id", "lc", kind.alias("fire_type"))
 
 

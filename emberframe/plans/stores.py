@@ -111,10 +111,47 @@ def s7_granules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def parse(path: str, content: bytes):
         if content[-4:] != b"PAR1":
-            raise ValueError(path)
+            raise ValueError("no table")
         yield path.rsplit("/", 1)[1], len(content), int.from_bytes(content[-8:-4], "little")
 
-    return S.granule_rows(spark, f"{sf_dir}/region*.parquet", parse, "name string, n_bytes long, footer long")
+    return S.granule_rows(spark, f"{sf_dir}/region*.parquet", parse, "name string, n_bytes long, footer long")[0]
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as detection granules, one a batch of rows; of every eighth the last byte is missing."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for k, part in pdf.groupby(pdf["event_id"] % 40):
+                raw = (part["value"] * 100).round().clip(0, 65535)
+                content = S.pack_granule(part["event_id"], part["user_id"] - 75.0, part["value"] / 10, raw, 50.0, 1000.0, 40000)
+                yield pd.DataFrame({"path": [f"g{k}"], "content": [content[:-1] if k % 8 == 7 else content]})
+
+    return e.mapInPandas(run, "path string, content binary")
+
+
+_GRANULE_SQL = "event_id % 40 % 8 <> 7"
+
+
+@CORE.query(
+    "s8_detections",
+    f"""select event_id as det_id, user_id - 75.0 as lon, round(value / 10, 6) as lat,
+case when round_even(value * 100, 0) <= 40000 then round((round_even(value * 100, 0) - 1000) / 50, 6) end as intensity from events where {_GRANULE_SQL}""",
+)
+def s8_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections read from granules, with calibrated intensity."""
+    rows, _ = S.parsed_granules(_packed(spark, sf_dir), S.read_granule, S.GRANULE_SCHEMA)
+    return rows.select("det_id", "lon", F.round("lat", 6).alias("lat"), F.round("intensity", 6).alias("intensity"))
+
+
+@CORE.query("s8_rejects", f"select distinct 'g' || (event_id % 40) as path, 'ValueError' as kind from events where not ({_GRANULE_SQL})")
+def s8_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Granules that could not be read, and why."""
+    _, rejects = S.parsed_granules(_packed(spark, sf_dir), S.read_granule, S.GRANULE_SCHEMA)
+    return rejects.select("path", F.regexp_extract("reason", "^[^:]+", 0).alias("kind")).distinct()
 
 
 # ---- streams
@@ -234,25 +271,13 @@ def j26_merged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query(
     "a45_event_rollup",
-    f"""with s as (select *, row_number() over (partition by fire_id order by dt, load_order) as a from {COUNTING_SQL} q where fire_id is not null)
-select fire_id as id, min(dt) as start, max(dt) as "end", (date_diff('day', min(dt), max(dt)) + 1)::integer as duration_days, round(avg(lon), 6) as lon, round(avg(lat), 6) as lat,
-count(*) as n_samples, max(case when a = 1 then sample_id end) as first_sample from s group by 1""",
-)
-def a45_event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their span, centre and first sample; j33_event_samples has the ordered rest, as rows."""
-    s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "fire_id", "dt", "lon", "lat")).filter("fire_id is not null")
-    return _rollup(s, F.avg("lon"))
-
-
-@CORE.query(
-    "a45_event_rollup_folded",
     f"""with s as (select *, {LON_SQL} as ln, case when abs(lat) <= 90 then lat end as la, row_number() over (partition by fire_id order by dt, load_order) as a from {COUNTING_SQL} q where fire_id is not null),
 c as (select *, case when max(ln) over (partition by fire_id) - min(ln) over (partition by fire_id) > 180 and ln < 0 then ln + 360 else ln end as lu from s),
 m as (select fire_id as id, min(dt) as start, max(dt) as "end", (date_diff('day', min(dt), max(dt)) + 1)::integer as duration_days, avg(lu) as lon, round(avg(la), 6) as lat,
 count(*) as n_samples, max(case when a = 1 then sample_id end) as first_sample from c group by 1)
 select id, start, "end", duration_days, round(case when lon >= 180 then lon - 360 else lon end, 6) as lon, lat, n_samples, first_sample from m""",
 )
-def a45_event_rollup_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a45_event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with both conventions of longitude brought to one; an event that spans more than 180 degrees lies across the
     date line, and its western longitudes are averaged beyond 180."""
     s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "fire_id", "dt", "lon", "lat")).filter("fire_id is not null")

@@ -27,16 +27,5 @@ class Registry:
 
         return keep
 
-    def shared(self, name: str, text: str, longs: tuple[str, ...] = ()) -> None:
-        """Registers one SELECT that both engines run as it stands; columns in longs, where there, become BIGINT here as in the other engine."""
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            from emberframe.tables import views
-
-            df = views(spark, sf_dir).sql(text)
-            return df.withColumns({c: df[c].cast("bigint") for c in longs if c in df.columns})
-
-        self.query(name, text)(run)
-
 
 CORE = Registry()

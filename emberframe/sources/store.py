@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberframe.session import materialize
+
 #: Declared tables of the domain.
 SCHEMAS = {
     "images": "image_id int, file_name string, start_time timestamp, num_fire_pixels int",
@@ -147,12 +149,15 @@ def manifest(images: DataFrame, by: str) -> DataFrame:
     return images.groupBy(by).agg(F.count(F.lit(1)).alias("n_images"), F.to_json(F.array_sort(F.collect_list("file_name"))).alias("files"))
 
 
-def granule_rows(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
-    """Binary granules read and parsed file by file on the executors; parse(path, bytes) yields row tuples.
+def parsed_granules(granules: DataFrame, parse, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of binary granules(path, content), parsed one by one on the executors; parse(path, bytes) yields row tuples.
 
-    A file that parse cannot read gives no rows here; list it with a left anti-join on its path.
+    A granule that parse cannot read gives no rows, not even those before the fault, and one row (path, reason) in rejects. Both come
+    from one pass, whose result is kept in the shared folder. Null contents are rejected.
     """
-    fields = [f.name for f in T.StructType.fromDDL(schema).fields]
+    fields = T.StructType.fromDDL(schema)
+    names = [f.name for f in fields]
+    both = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in fields], T.StructField("__path", T.StringType()), T.StructField("__reason", T.StringType())])
 
     def run(batches):
         import pandas as pd
@@ -161,12 +166,61 @@ def granule_rows(spark: SparkSession, path: str, parse, schema: str) -> DataFram
             rows = []
             for p, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows += list(parse(p, content))
-                except (ValueError, KeyError, OSError):
-                    continue
-            yield pd.DataFrame(rows, columns=fields)
+                    rows += [(*r, p, None) for r in parse(p, content)]
+                except Exception as e:  # noqa: BLE001 - whatever is wrong with a file, its name and reason are kept
+                    rows.append((*[None] * len(names), p, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[*names, "__path", "__reason"])
+
+    out = materialize(granules.select("path", "content").mapInPandas(run, both))
+    return out.filter("__reason is null").select(*names), out.filter("__reason is not null").select(F.col("__path").alias("path"), F.col("__reason").alias("reason"))
+
+
+def granule_rows(spark: SparkSession, path: str, parse, schema: str) -> tuple[DataFrame, DataFrame]:
+    """parsed_granules of the binary files under path."""
+    return parsed_granules(spark.read.format("binaryFile").load(path), parse, schema)
+
+
+#: Detection granule: a header (magic, number of detections, scale, offset, valid_max), then arrays of ids (int64), longitudes,
+#: latitudes (float64) and raw intensities (uint16), all little-endian.
+GRANULE_HEADER = "<4sIffH2x"
+GRANULE_MAGIC = b"EDG1"
+GRANULE_SCHEMA = "det_id long, lon double, lat double, intensity double"
+
+
+def pack_granule(ids, lons, lats, raw, scale: float, offset: float, valid_max: int) -> bytes:
+    import struct
+
+    import numpy as np
+
+    head = struct.pack(GRANULE_HEADER, GRANULE_MAGIC, len(ids), scale, offset, valid_max)
+    return head + b"".join(np.asarray(a, dtype=t).tobytes() for a, t in ((ids, "<i8"), (lons, "<f8"), (lats, "<f8"), (raw, "<u2")))
+
+
+def read_granule(path: str, content: bytes):
+    """Detections of a granule with calibrated intensity, (raw - offset) / scale; values above valid_max are fill and become null."""
+    import struct
+
+    import numpy as np
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    size = struct.calcsize(GRANULE_HEADER)
+    if content is None or len(content) < size:
+        raise ValueError("no header")
+    magic, n, scale, offset, valid_max = struct.unpack_from(GRANULE_HEADER, content)
+    if magic != GRANULE_MAGIC:
+        raise ValueError("not a detection granule")
+    if len(content) != size + 26 * n:
+        raise ValueError(f"{len(content) - size} bytes for {n} detections")
+    if scale == 0:
+        raise ValueError("scale is 0")
+    at = size
+    columns = []
+    for kind, width in (("<i8", 8), ("<f8", 8), ("<f8", 8), ("<u2", 2)):
+        columns.append(np.frombuffer(content, kind, n, at))
+        at += width * n
+    ids, lons, lats, raw = columns
+    value = (raw.astype("float64") - offset) / scale
+    for i in range(n):
+        yield int(ids[i]), float(lons[i]), float(lats[i]), None if raw[i] > valid_max else float(value[i])
 
 
 class Sources:

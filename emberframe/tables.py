@@ -2,42 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings "
-    "samples fires picked regions raster eval_passages source_weights target_mix"
-).split()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class views:
-    """Runs SQL over the tables of one folder; only the tables that the text names are opened.
-
-    Each call replaces the names by views of its own, so that two folders can be
-    queried in one session without either seeing the other's tables.
-    """
-
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def sql(self, text: str) -> DataFrame:
-        named = {t: table(self.spark, self.sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", text)}
-        for name, df in named.items():
-            df.createOrReplaceTempView(name)
-        try:
-            return self.spark.sql(text)
-        finally:
-            for name in named:
-                self.spark.catalog.dropTempView(name)
-
-
 def counting(samples: DataFrame) -> DataFrame:
     """The rows of samples that count: of one sample_id the one loaded last, once.
 

@@ -32,22 +32,22 @@ def meets(a, b, pad):
 
 def test_points_in_boxes(spark, sf_dir):
     want = {b[0]: sum(meets(b, (0, x, y, x, y), 0.5) for x, y in POINTS) for b in BOXES}
-    got = {r["fire_id"]: r["n"] for r in CORE.queries["j16_points_in_boxes_date_line"](spark, sf_dir).collect()}
+    got = {r["fire_id"]: r["n"] for r in CORE.queries["j16_points_in_boxes"](spark, sf_dir).collect()}
     assert got == {k: n for k, n in want.items() if n} and want[1] == 6 and want[3] == 3
 
 
 def test_box_overlaps(spark, sf_dir):
     want = {(a[0], b[0]) for a in BOXES for b in BOXES if a[0] < b[0] and meets(a, b, 1)}
-    got = {tuple(r) for r in CORE.queries["j18_box_overlaps_date_line"](spark, sf_dir).select("a", "b").collect()}
+    got = {tuple(r) for r in CORE.queries["j18_box_overlaps"](spark, sf_dir).select("a", "b").collect()}
     assert got == want and {(1, 2), (1, 3), (2, 3)} <= want
 
 
 def test_every_fire_has_a_box(spark, sf_dir):
-    boxes = {r["fire_id"]: r for r in CORE.queries["f7_padded_boxes_date_line"](spark, sf_dir).collect()}
+    boxes = {r["fire_id"]: r for r in CORE.queries["f7_padded_boxes"](spark, sf_dir).collect()}
     assert len(boxes) == len(BOXES) and all((r["x1"] - r["x0"] - 32) % 256 == 0 and r["x1"] > r["x0"] for r in boxes.values())
-    mpp = {r["fire_id"]: r["mpp"] for r in CORE.queries["f29_metres_per_pixel_date_line"](spark, sf_dir).collect()}
+    mpp = {r["fire_id"]: r["mpp"] for r in CORE.queries["f29_metres_per_pixel"](spark, sf_dir).collect()}
     assert len(mpp) == len(BOXES) and 1_700 < mpp[1] < 1_800
-    assert CORE.queries["j30_density_lookup_date_line"](spark, sf_dir).first()["found"] == len(POINTS)
+    assert CORE.queries["j30_density_lookup"](spark, sf_dir).first()["found"] == len(POINTS)
 
 
 def test_spread_picks_walk_the_whole_table(spark, tmp_path):

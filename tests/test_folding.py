@@ -23,17 +23,17 @@ def sf_dir(spark, tmp_path_factory):
 
 
 def test_canopy_under_every_located_sample(spark, sf_dir):
-    got = {r["sample_id"]: r["height"] for r in CORE.queries["s18_canopy_dates_folded"](spark, sf_dir).collect()}
+    got = {r["sample_id"]: r["height"] for r in CORE.queries["s18_canopy_dates"](spark, sf_dir).collect()}
     assert got == dict.fromkeys(range(6), 21.0)
 
 
 def test_cells_are_counted_once(spark, sf_dir):
-    got = {(r["x"], r["y"]): r["fire_id"] for r in CORE.queries["w8_latest_fire_folded"](spark, sf_dir).collect()}
+    got = {(r["x"], r["y"]): r["fire_id"] for r in CORE.queries["w8_latest_fire"](spark, sf_dir).collect()}
     assert got == {(-101, 40): 1, (10, -6): 2, (179, 1): 3, (-180, 1): 3}
-    assert {(r["x"], r["y"], r["n"]) for r in CORE.queries["a42_sample_density_folded"](spark, sf_dir).collect()} == {(-34, 13, 2), (3, -2, 2), (59, 0, 1), (-60, 0, 1)}
-    assert {(r["x"], r["n"]) for r in CORE.queries["a44_detection_counts_folded"](spark, sf_dir).collect()} == {(-1003, 1), (102, 1), (1795, 1), (-1795, 1)}
+    assert {(r["x"], r["y"], r["n"]) for r in CORE.queries["a42_sample_density"](spark, sf_dir).collect()} == {(-34, 13, 2), (3, -2, 2), (59, 0, 1), (-60, 0, 1)}
+    assert {(r["x"], r["n"]) for r in CORE.queries["a44_detection_counts"](spark, sf_dir).collect()} == {(-1003, 1), (102, 1), (1795, 1), (-1795, 1)}
 
 
 def test_centres(spark, sf_dir):
-    got = {r["id"]: r["lon"] for r in CORE.queries["a45_event_rollup_folded"](spark, sf_dir).collect()}
+    got = {r["id"]: r["lon"] for r in CORE.queries["a45_event_rollup"](spark, sf_dir).collect()}
     assert got == {1: -100.25, 2: 10.2, 3: -180.0, 4: None}
