@@ -112,7 +112,7 @@ def p1_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 3: sample matching target category proportions
 
 
-def _cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cube(spark: SparkSession, sf_dir: str, fill: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = table(spark, sf_dir, "picked").select("fire_id", "day_t", "region_id", "fire_type", "num_fire")
     keys = p.filter("fire_id is not null and day_t is not null and region_id > 0 and fire_type >= 0").groupBy("fire_id", "day_t").agg(
         F.min(F.struct("region_id", "fire_type")).alias("c"), F.max("num_fire").alias("num_fire")
@@ -128,7 +128,7 @@ def _cube(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     mix = table(spark, sf_dir, "target_mix")
     targets = mix.select(name("region_id", "fire_type").alias("category"), F.col("target_share").alias("share"), "min_rows")
     size = units.count() / 10.0
-    sample, report = cube_sample(units, targets, size, balance=["log_size"], fill=True)
+    sample, report = cube_sample(units, targets, size, balance=["log_size"], fill=fill)
     return units, sample, report
 
 
@@ -149,8 +149,11 @@ left join h on h.region_id = t.region_id and h.fire_type = t.fire_type)"""
 
 @LLM.query("p3_found", _MIX_SQL + " select region_id, fire_type from m where available < wanted")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target categories of which the sample took every unit and that are still short of their target."""
-    _, _, report = _cube(spark, sf_dir)
+    """Target categories of which the sample took every unit and that are still short of their target.
+
+    It is the sample in which every category strives for its own target, whatever the others lack.
+    """
+    _, _, report = _cube(spark, sf_dir, fill=False)
     return _categories(report.filter("left = 0 and drawn < wanted").select("category"))
 
 
