@@ -10,11 +10,14 @@ import math
 from functools import reduce
 from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.session import discard, materialize
 
+#: Strata told apart when splits are balanced: the largest ones. All others are balanced together, as one.
+MAX_STRATA = 2000
 #: Components with at least this share of all records are placed one by one; there are at most 1 / HEAVY of them.
 HEAVY = 0.001
 
@@ -145,6 +148,7 @@ def assign_splits(components: DataFrame, shares: dict[str, float], seed: int = 0
 
     periods(component, period STRING, n) are the component's records by period, few in number: heavy components are then
     weighted also with what the splits lack in their periods, and the rest by stratum and main period.
+    Sums by stratum and period come to the driver: MAX_STRATA strata at most, all smaller ones being balanced as one.
     """
     if not shares or min(shares.values()) < 0 or sum(shares.values()) <= 0:
         raise ValueError("shares must be positive")
@@ -154,7 +158,13 @@ def assign_splits(components: DataFrame, shares: dict[str, float], seed: int = 0
         periods = materialize(periods)
         main = periods.groupBy("component").agg(F.max(F.struct("n", "period"))["period"].alias("period"))
         components = components.join(main, "component", "left")
-    rows = materialize(components)
+    rows = materialize(components.withColumn("given", F.col("stratum")))
+    largest = rows.groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), F.col("stratum").asc_nulls_first()).limit(MAX_STRATA + 1)
+    if (most := largest.collect())[MAX_STRATA:]:
+        # Every component keeps its records and its place in the result; only the balance of the smaller strata is one.
+        apart = spark.createDataFrame([(r["stratum"],) for r in most[:MAX_STRATA]], "own string")
+        both = rows.join(F.broadcast(apart), F.col("stratum").eqNullSafe(F.col("own")) & (F.col("stratum").isNotNull()), "left")
+        rows = materialize(both.withColumn("stratum", F.coalesce("own", F.lit("all others"))).drop("own"))
     strata = rows.groupBy("stratum").agg(F.sum("n").alias("n")).collect()
     total = sum(r["n"] for r in strata)
     heavy = rows.filter(F.col("n") >= max(2.0, HEAVY * total)).collect() if total else []
@@ -185,18 +195,13 @@ def assign_splits(components: DataFrame, shares: dict[str, float], seed: int = 0
         for p, n in spans.get(r["component"], []):
             lack_p[p, split] -= n
         placed.append((r["component"], split))
-    # What the heavy ones took too much in one stratum is given back by the others, in proportion to their size.
-    rest = {r["stratum"]: r["n"] for r in strata}
-    for r in heavy:
-        rest[r["stratum"]] -= r["n"]
     left = {s: max(0.0, whole[s]) for s in shares}
-    if periods is not None:
-        cells = {(r["stratum"], r["period"]): float(r["n"]) for r in rows.groupBy("stratum", "period").agg(F.sum("n").alias("n")).collect()}
-        for r in heavy:
-            cells[r["stratum"], r["period"]] -= r["n"]
-        return _placed(rows, placed, ["stratum", "period"], cells, _fit_both(cells, left, lack, lack_p), shares, seed)
-    weights = _fit({k: float(v) for k, v in rest.items()}, left, {k: max(0.0, v) for k, v in lack.items()})
-    return _placed(rows, placed, ["stratum"], {(k,): n for k, n in rest.items()}, {((k,), s): w for (k, s), w in weights.items()}, shares, seed)
+    keys = ["stratum", "period"] if periods is not None else ["stratum"]
+    cells = {tuple(r[k] for k in keys): float(r["n"]) for r in rows.groupBy(*keys).agg(F.sum("n").alias("n")).collect()}
+    for r in heavy:
+        cells[tuple(r[k] for k in keys)] -= r["n"]
+    wanted = [lack, lack_p][: len(keys)]
+    return _placed(rows, placed, keys, cells, _fit(cells, left, wanted), shares, seed)
 
 
 def _placed(rows: DataFrame, placed: list, keys: list[str], cells: dict, weights: dict, shares: dict, seed: int) -> DataFrame:
@@ -212,41 +217,28 @@ def _placed(rows: DataFrame, placed: list, keys: list[str], cells: dict, weights
     return (
         rows.join(F.broadcast(done), "component", "left")
         .join(table, reduce(and_, [rows[k].eqNullSafe(table[k]) for k in keys]), "left")
-        .select(rows["component"], rows["stratum"], "n", F.coalesce("placed", split, least).alias("split"))
+        .select(rows["component"], rows["given"].alias("stratum"), "n", F.coalesce("placed", split, least).alias("split"))
     )
 
 
-def _fit_both(cells: dict, left: dict, lack: dict, lack_p: dict, rounds: int = 200) -> dict:
-    """Weights by cell (stratum, period) and split, raked in turn to what splits lack in strata, in periods and in all."""
-    w = {(k, s): left[s] + 1e-6 for k in cells for s in left}
-    views = [(lambda k: k[0], lack), (lambda k: k[1], lack_p), (lambda k: None, {(None, s): v for s, v in left.items()})]
-    for _ in range(rounds):
-        for of, wanted in views:
-            have: dict = {}
-            for (k, s), v in w.items():
-                have[of(k), s] = have.get((of(k), s), 0.0) + v
-            for k, s in w:
-                got, want = have[of(k), s], max(0.0, wanted.get((of(k), s), 0.0))
-                w[k, s] *= want / got if got > 0 else 0.0
-            for k, n in cells.items():
-                got = sum(w[k, s] for s in left)
-                for s in left:
-                    w[k, s] = w[k, s] * n / got if got > 0 else left[s]
-    return w
-
-
-def _fit(rest: dict, left: dict, lack: dict, rounds: int = 200) -> dict:
-    """Weights by stratum and split whose sums come near to `rest` by stratum and to `left` by split (raking)."""
-    w = {(k, s): max(lack[k, s], 1e-6 * (1 + rest[k])) for k in rest for s in left}
+def _fit(cells: dict[tuple, float], left: dict, lack: list[dict], rounds: int = 200) -> dict:
+    """Weights by cell (stratum, or stratum and period) and split: raked in turn to what splits lack in each stratum, in each period and
+    in all, and to the size of every cell."""
+    if not cells:
+        return {}
+    splits = list(left)
+    size = np.array(list(cells.values()))[:, None]
+    whole = np.array([[left[s] for s in splits]])
+    views = [(np.zeros(len(cells), dtype=int), whole)]
+    for i, short in enumerate(lack):
+        names = {c: j for j, c in enumerate(dict.fromkeys(c[i] for c in cells))}
+        views.insert(i, (np.array([names[c[i]] for c in cells]), np.array([[max(0.0, short.get((name, s), 0.0)) for s in splits] for name in names])))
+    w = np.tile(whole + 1e-6, (len(cells), 1))
     for _ in range(rounds):
-        for s in left:
-            have = sum(w[k, s] for k in rest)
-            f = left[s] / have if have > 0 else 0.0
-            for k in rest:
-                w[k, s] *= f
-        for k in rest:
-            have = sum(w[k, s] for s in left)
-            f = rest[k] / have if have > 0 else 0.0
-            for s in left:
-                w[k, s] *= f
-    return w
+        for at, wanted in views:
+            have = np.zeros(wanted.shape)
+            np.add.at(have, at, w)
+            w = w * np.divide(wanted, have, out=np.zeros_like(have), where=have > 0)[at]
+            got = w.sum(axis=1, keepdims=True)
+            w = np.where(got > 0, w * np.divide(size, got, out=np.zeros_like(got), where=got > 0), whole)
+    return {(c, s): float(w[i, j]) for i, c in enumerate(cells) for j, s in enumerate(splits)}

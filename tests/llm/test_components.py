@@ -117,3 +117,16 @@ def test_found_and_splits_on_bridged_fires(spark, tmp_path):
     got = {x["sample_id"]: x for x in LLM.queries["p1_splits"](spark, str(tmp_path)).collect()}
     assert len(got) == 8 and got[1]["component"] == got[2]["component"] == got[3]["component"] == got[4]["component"]
     assert len({got[i]["split"] for i in (1, 2, 3, 4)}) == 1 and got[5]["split"] == got[6]["split"]
+
+
+def test_many_strata_are_balanced_together(spark, monkeypatch):
+    from emberframe.llm import components
+
+    monkeypatch.setattr(components, "MAX_STRATA", 3)
+    comps = spark.createDataFrame([(f"c{i}", str(i % 40) if i % 41 else None, 1 + i % 5) for i in range(4000)], "component string, stratum string, n long")
+    shares = {"train": 0.6, "val": 0.15, "test": 0.25}
+    rows = assign_splits(comps, shares).collect()
+    assert {(x["component"], x["stratum"]) for x in rows} == {(x["component"], x["stratum"]) for x in comps.collect()} and len(rows) == 4000
+    total = sum(x["n"] for x in rows)
+    for s, w in shares.items():
+        assert abs(sum(x["n"] for x in rows if x["split"] == s) / total - w) < 0.03
