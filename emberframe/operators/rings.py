@@ -76,3 +76,28 @@ def boxes_in_rings(boxes: DataFrame, rings: DataFrame, bin_deg: float = 30.0) ->
     exact = lambda k: near(k) & box_meets_ring(F.col("x0") + k, F.col("y0"), F.col("x1") + k, F.col("y1"), F.col("ring"))
     meets = F.exists(F.array(*map(F.lit, turns)), exact)
     return b.join(r, ["day", "bin"]).filter(some).filter(meets).select("fire_id", "ring_id", "day").distinct()
+
+
+def overlapping_boxes(a: DataFrame, b: DataFrame, on: list[str], pad: float, size: int = 2) -> DataFrame:
+    """Pairs of boxes (x0, y0, x1, y1; x1 unwrapped) with equal `on` that come within `pad` degrees: the columns of a with suffix _a, of b with _b.
+
+    An equi-join on `on` and bins of `size` degrees, counted around the globe, then the exact test; each pair is given
+    once, by the bin in which the overlap of their padded rows and columns begins, so nothing is made distinct afterwards. Nulls meet nothing.
+    """
+    rows = lambda p: F.explode(F.sequence(F.floor((F.col("y0") - p) / size).cast("int"), F.floor((F.col("y1") + p) / size).cast("int")))
+    left = a.withColumn("__bx", round_bins(F.col("x0") - pad, F.col("x1") + pad, size)).withColumn("__by", rows(pad))
+    right = b.withColumn("__bx", round_bins(F.col("x0"), F.col("x1"), size)).withColumn("__by", rows(0))
+    left = left.select("__bx", "__by", *[F.col(c).alias(f"{c}_a") for c in a.columns], *[F.col(c).alias(f"__on_{c}") for c in on])
+    right = right.select("__bx", "__by", *[F.col(c).alias(f"{c}_b") for c in b.columns], *[F.col(c).alias(f"__on_{c}") for c in on])
+    meet = " or ".join(f"x0_a + {k} <= x1_b + {pad} and x0_b <= x1_a + {k} + {pad}" for k in (-360, 0, 360))
+    near = left.join(right, ["__bx", "__by", *[f"__on_{c}" for c in on]]).filter(f"y0_a <= y1_b + {pad} and y0_b <= y1_a + {pad} and ({meet})")
+    # The first common row, and the first column of b (counted from its west edge) that is a column of a.
+    first_row = F.floor(F.greatest(F.col("y0_a") - pad, F.col("y0_b")) / size).cast("int")
+    n = int(360 / size)
+    first_a, last_a = F.floor((F.col("x0_a") - pad) / size).cast("int"), F.floor((F.col("x1_a") + pad) / size).cast("int")
+    first_b = F.floor(F.col("x0_b") / size).cast("int")
+    # b's own first bin if a covers it, else a's first bin.
+    covers = F.pmod(first_b - first_a, F.lit(n)) <= F.least(last_a - first_a, F.lit(n - 1))
+    first_col = F.when(covers, F.pmod(first_b, F.lit(n))).otherwise(F.pmod(first_a, F.lit(n)))
+    once = near.filter((F.col("__by") == first_row) & (F.col("__bx") == first_col))
+    return once.select(*[f"{c}_a" for c in a.columns], *[f"{c}_b" for c in b.columns])

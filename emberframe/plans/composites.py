@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from emberframe.functions import scalars as S
 from emberframe.operators import history as H
 from emberframe.operators import raster as R
+from emberframe.operators.graph import label_cells
+from emberframe.operators.rings import overlapping_boxes
 from emberframe.plans.rasters import padded_fires, points_in_boxes
 from emberframe.registry import CORE
 from emberframe.session import materialize
@@ -70,6 +72,84 @@ def qf_accumulated_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accumulated_tiles(points, padded_fires(table(spark, sf_dir, "fires"), unwrapped_east()))
 
 
+# ---- Q-G: loss masks of fires from the granules that pass over them
+
+BURNING = 7
+
+
+def fire_masks(points: DataFrame, fires: DataFrame, least_clear: float) -> DataFrame:
+    """Fires(fire_id, x0, y0, x1, y1, day) with counts of their cells: seen, new, of the fire's own components, and the share that counts.
+
+    points(id, fire_id, x, y, dt, obs) come in granules of ten degrees a side and a day. Granules whose box comes within a degree of a
+    fire on its day or the next (overlapping_boxes) are projected onto the fire's grid of a tenth of a degree (project), and what several
+    say of a cell is merged by priority. New are cells that burn the day after and not before; components of burning
+    cells (label_cells) that hold a detection of the fire itself are its own, new cells of others are ignitions. A cell counts
+    if both days are clear and it is no ignition. Fires with a smaller share of such cells than least_clear are left out.
+    """
+    cell = lambda c: F.floor(F.col(c) / 10).cast("int")
+    p = materialize(points.withColumns({"gx": cell("x"), "gy": cell("y")}))
+    granules = p.groupBy("dt", "gx", "gy").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).withColumnRenamed("dt", "on")
+    days = fires.withColumn("later", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("on", F.expr("date_add(day, later)"))
+    pairs = overlapping_boxes(days, granules, ["on"], 1).select(
+        F.col("fire_id_a").alias("fire"), F.col("later_a").alias("later"), *[F.col(f"{c}_a").alias(c) for c in ("x0", "y0", "x1", "y1")],
+        F.col("on_b").alias("dt"), F.col("gx_b").alias("gx"), F.col("gy_b").alias("gy"),
+    )
+    seen = pairs.join(p, ["dt", "gx", "gy"]).withColumn("k", F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))))
+    seen = seen.withColumn("x", F.col("x") + F.col("k")).filter("x between x0 - 1 and x1 + 1 and y between y0 - 1 and y1 + 1")
+    on_grid = seen.select(
+        "fire", "later", "gx", "gy", ((F.col("y") - F.col("y0")) * 10).alias("y"), ((F.col("x") - F.col("x0")) * 10).alias("x"), F.col("obs").alias("value"),
+        F.col("id").alias("src"), (F.col("fire_id") == F.col("fire")).alias("own"),
+    )
+    on_grid = materialize(on_grid)
+    cells = R.project(on_grid, ["fire", "later", "gx", "gy"], 1, "nearest")
+    tier = F.when(F.col("value").isin(4, 6), 1).when(F.col("value").isin(3, 5), 2).when(F.col("value").isin(7, 8, 9), 3).otherwise(0)
+    merged = cells.groupBy("fire", "row", "col").agg(*[(F.max(F.when(F.col("later") == k, tier * 256 + F.col("value"))) % 256).alias(f"obs{k}") for k in (0, 1)])
+    merged = merged.withColumn("before", F.coalesce(F.col("obs0") >= BURNING, F.lit(False))).withColumn("after", F.coalesce(F.col("obs1") >= BURNING, F.lit(False)))
+    merged = materialize(merged.withColumn("new", F.expr("after and not before")))
+    labelled = materialize(label_cells(merged.filter("before or after").select(F.col("col").alias("x"), F.col("row").alias("y"), F.col("fire").alias("t")), 1, 1, 0))
+    held = on_grid.filter("own").select(F.floor("x").cast("int").alias("x"), F.floor("y").cast("int").alias("y"), F.col("fire").alias("t")).distinct()
+    mine = labelled.join(held, ["x", "y", "t"], "left_semi").select("component").distinct()
+    target = labelled.join(mine, "component", "left_semi").select(F.col("x").alias("col"), F.col("y").alias("row"), F.col("t").alias("fire"), F.lit(True).alias("target"))
+    full = merged.join(target, ["fire", "row", "col"], "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    counts = F.coalesce(S.is_clear("obs0") & S.is_clear("obs1"), F.lit(False)) & ~(F.col("new") & ~F.col("target"))
+    share = F.avg(counts.cast("double"))
+    out = full.groupBy(F.col("fire").alias("fire_id")).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.count(F.when(F.col("new"), 1)).alias("n_new"), F.count(F.when(F.col("target"), 1)).alias("n_target"), F.round(share, 6).alias("share")
+    )
+    return out.filter(F.col("share") >= least_clear)
+
+
+@CORE.query(
+    "qg_fire_masks",
+    f"""with recursive p as (select *, floor(x / 10)::integer as gx, floor(y / 10)::integer as gy from (select sample_id as id, fire_id, {LON_SQL} as x, lat as y, dt, (sample_id % 10)::integer as obs from {COUNTING_SQL}) where x is not null and abs(y) <= 90),
+g as (select dt, gx, gy, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from p group by 1, 2, 3),
+f as (select *, unnest([0, 1]) as later from (select distinct fire_id as fire, min_x as x0, min_y as y0, {EAST_SQL} as x1, max_y as y1, start_date as day from fires)),
+a as (select distinct f.*, g.dt, gx, gy from f join g on g.dt = f.day + f.later and f.y0 <= g.y1 + 1 and g.y0 <= f.y1 + 1 join (select unnest([-360, 0, 360]) as k) on f.x0 + k <= g.x1 + 1 and g.x0 <= f.x1 + k + 1),
+s as (select fire, later, a.gx, a.gy, (y - y0) * 10 as y, (x + k - x0) * 10 as x, obs, id, fire_id = fire as own from a join p on p.dt = a.dt and p.gx = a.gx and p.gy = a.gy join (select unnest([-360, 0, 360]) as k) on x + k between x0 - 1 and x1 + 1 where y between y0 - 1 and y1 + 1),
+q as (select fire, later, gx, gy, floor(y)::integer + i as r, floor(x)::integer + j as c, obs, id, sqrt(pow(floor(y) + i + 0.5 - y, 2) + pow(floor(x) + j + 0.5 - x, 2)) as d from s, (select unnest([-1, 0, 1]) as i), (select unnest([-1, 0, 1]) as j)),
+n as (select * from (select *, row_number() over (partition by fire, later, gx, gy, r, c order by d, id) as rn from q) where rn = 1),
+m as (select fire, r, c, max(case when later = 0 then t end) % 256 as o0, max(case when later = 1 then t end) % 256 as o1 from (select *, case when obs in (4, 6) then 1 when obs in (3, 5) then 2 when obs in (7, 8, 9) then 3 else 0 end * 256 + obs as t from n) group by 1, 2, 3),
+b as (select *, coalesce(o0 >= 7, false) as before, coalesce(o1 >= 7, false) as after from m),
+e as (select u.fire, u.r as ur, u.c as uc, v.r as vr, v.c as vc from b u join b v on u.fire = v.fire and abs(u.r - v.r) <= 1 and abs(u.c - v.c) <= 1 where (u.before or u.after) and (v.before or v.after)),
+w as (select * from e union select w.fire, w.ur, w.uc, e.vr, e.vc from w join e on w.fire = e.fire and w.vr = e.ur and w.vc = e.uc),
+h as (select distinct fire, floor(y)::integer as r, floor(x)::integer as c from s where own),
+t as (select distinct w.fire, w.ur as r, w.uc as c from w join h on h.fire = w.fire and h.r = w.vr and h.c = w.vc),
+l as (select b.*, after and not before as new, t.r is not null as target from b left join t on t.fire = b.fire and t.r = b.r and t.c = b.c),
+z as (select fire as fire_id, count(*) as n_cells, count(*) filter (where new) as n_new, count(*) filter (where target) as n_target,
+round(avg(case when coalesce(o0 in (3, 5, 7, 8, 9) and o1 in (3, 5, 7, 8, 9), false) and not (new and not target) then 1.0 else 0.0 end::double), 6) as share from l group by 1)
+select * from z where share >= 0.1""",
+)
+def qg_fire_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "fire_id", "lon", "lat", "dt"))
+    points = s.select(
+        F.col("sample_id").alias("id"), "fire_id", longitude().alias("x"), latitude().alias("y"), "dt", F.expr("cast(sample_id % 10 as int)").alias("obs")
+    ).filter("x is not null and y is not null")
+    fires = table(spark, sf_dir, "fires").select(
+        "fire_id", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), unwrapped_east().alias("x1"), F.col("max_y").alias("y1"), F.col("start_date").alias("day")
+    ).distinct()
+    return fire_masks(points, fires, 0.1)
+
+
 # ---- Q-H: fields of a day in the local coordinates of tiles
 
 

@@ -63,7 +63,7 @@ s as (select sample_id, floor((90 - lat) * 2)::integer as r, floor((ln + 180) *
 select sample_id, height, coalesce(years < y, false) as predates from s left join h on h.r = s.r and h.k = s.k""",
 )
 def s18_canopy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for all located samples, in either convention of longitude."""
+    """Height under each located sample, null without data, and whether its image is older than the sample."""
     s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "lon", "lat", "dt"))
     s = s.select("sample_id", longitude().alias("lon"), latitude().alias("lat"), "dt").filter("lon is not null and lat is not null")
     return _canopy(spark, sf_dir, s)

@@ -48,7 +48,7 @@ def w7_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
 select x, y, fire_id from (select *, row_number() over (partition by x, y order by dt desc, load_order desc) as rn from c) where rn = 1""",
 )
 def w8_latest_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with both conventions of longitude brought to one cell."""
+    """The fire that burned last in each cell of a degree, both conventions of longitude being brought to one cell."""
     return _latest_fire(samples(spark, sf_dir, "fire_id", "lon", "lat", "dt").withColumns({"lon": longitude(), "lat": latitude()}))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberframe.operators import raster as R
 from emberframe.operators.coverage import modal_group
 from emberframe.operators.curve import containing_region
-from emberframe.operators.rings import round_bins
+from emberframe.operators.rings import overlapping_boxes, round_bins
 from emberframe.registry import CORE
 from emberframe.session import materialize
 from emberframe.tables import COUNTING_SQL, EAST_SQL, LON_SQL, counting, latitude, longitude, table, unwrapped_east
@@ -184,7 +184,7 @@ p as (select sample_id, ln, lat, dt from (select sample_id, lat, {LON_SQL} as ln
 select b.fire_id, count(*) as n from b join p on (ln between x0 and x1 or ln + 360 between x0 and x1 or ln - 360 between x0 and x1) and lat between y0 and y1 and dt between start_date and end_date group by 1""",
 )
 def j16_points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples in the padded box of every fire while it burned; boxes and padding run on across the date line."""
+    """Samples in the padded box of every fire while it burned, by bins of one degree; boxes and padding run on across the date line."""
     b = padded_fires(table(spark, sf_dir, "fires"), unwrapped_east())
     return points_in_boxes(_dated_points(spark, sf_dir), b, wrap=True).groupBy("fire_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -227,14 +227,10 @@ select distinct a.fire_id as a, b.fire_id as b from b a join b b on a.d = b.d an
 join (select unnest([-360, 0, 360]) as k) on a.x0 + k <= b.x1 + 1 and b.x0 <= a.x1 + k + 1""",
 )
 def j18_box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for all fires: boxes and the degree between them run on across the date line, bins are counted around the globe."""
+    """Fires that start on one day and whose boxes come within a degree; boxes and the degree between them run on across the date line."""
     f = table(spark, sf_dir, "fires").select("fire_id", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), unwrapped_east().alias("x1"), F.col("max_y").alias("y1"), F.col("start_date").alias("d")).distinct()
-    rows = lambda pad: F.explode(F.sequence(F.floor((F.col("y0") - pad) / 2).cast("int"), F.floor((F.col("y1") + pad) / 2).cast("int")))
-    a = f.withColumn("bx", round_bins(F.col("x0") - 1, F.col("x1") + 1, 2)).withColumn("by", rows(1))
-    b = f.withColumn("bx", round_bins(F.col("x0"), F.col("x1"), 2)).withColumn("by", rows(0))
-    meet = " or ".join(f"a.x0 + {k} <= b.x1 + 1 and b.x0 <= a.x1 + {k} + 1" for k in (-360, 0, 360))
-    j = a.alias("a").join(b.alias("b"), ["d", "bx", "by"]).filter(f"a.fire_id < b.fire_id and a.y0 <= b.y1 + 1 and b.y0 <= a.y1 + 1 and ({meet})")
-    return j.select(F.col("a.fire_id").alias("a"), F.col("b.fire_id").alias("b")).distinct()
+    j = overlapping_boxes(f, f, ["d"], 1).filter("fire_id_a < fire_id_b")
+    return j.select(F.col("fire_id_a").alias("a"), F.col("fire_id_b").alias("b"))
 
 
 @CORE.query(

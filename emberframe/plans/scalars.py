@@ -110,7 +110,7 @@ round_even(({EAST_SQL} + 180) / {CELL_SQL}, 0)::integer as x1, round_even((max_y
 select fire_id, (x0 - (px // 2 + 16))::bigint as x0, (y0 - (py // 2 + 16))::bigint as y0, (x1 + 1 + px - px // 2 + 16)::bigint as x1, (y1 + 1 + py - py // 2 + 16)::bigint as y1 from p""",
 )
 def f7_padded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for all fires; the cells of a box across the date line are counted on beyond it."""
+    """Padded boxes in cells, a multiple of 256 a side; the cells of a box across the date line are counted on beyond it."""
     return _padded(table(spark, sf_dir, "fires"), unwrapped_east())
 
 
@@ -189,7 +189,7 @@ def f23_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select distinct fire_id, round(sqrt(pow(({EAST_SQL} - min_x) * 2 * pi() * 6371000 / 360 * cos(radians((min_y + max_y) / 2)), 2) + pow((max_y - min_y) * 2 * pi() * 6371000 / 360, 2)) / 256, 6) as mpp from fires",
 )
 def f29_metres_per_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for all fires, boxes across the date line being unwrapped."""
+    """Metres a pixel of each fire's patch covers, boxes across the date line being unwrapped."""
     return _metres(table(spark, sf_dir, "fires"), unwrapped_east())
 
 

@@ -278,7 +278,7 @@ count(*) as n_samples, max(case when a = 1 then sample_id end) as first_sample f
 select id, start, "end", duration_days, round(case when lon >= 180 then lon - 360 else lon end, 6) as lon, lat, n_samples, first_sample from m""",
 )
 def a45_event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with both conventions of longitude brought to one; an event that spans more than 180 degrees lies across the
+    """Events with their span, centre and first sample, both conventions of longitude being brought to one; an event that spans more than 180 degrees lies across the
     date line, and its western longitudes are averaged beyond 180."""
     s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "fire_id", "dt", "lon", "lat")).filter("fire_id is not null")
     s = s.withColumns({"lon": longitude(), "lat": latitude()})
