@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.cosine import cosine_join, unit_vectors
+from emberframe.llm.cosine import cosine_join
 from emberframe.operators.curve import EARTH_KM, great_circle_km
 
 #: Strong terms, most of a train vector (tile, place) and of an evaluation vector (3 days of the tile and of up to 4 cells).
@@ -51,21 +51,22 @@ def _term(kind: str, *c: Column) -> Column:
 def _terms(scenes: DataFrame, cells: Column, days: int) -> DataFrame:
     """Vectors of scenes: on each day at most `days` away the tile and every cell, of weight 1, and their fire and wider cells, of weight WEAK.
 
-    A strong term that two scenes share stands with its weak term in both. Terms repeated in a scene count once.
+    A strong term that two scenes share stands with its weak term in both. Terms repeated in a scene count once. The vectors have length 1, as of unit_vectors.
     """
     s = scenes.filter("dt is not null").select(F.col("scene").alias("id"), "fire", "xi", "yi", F.datediff("dt", F.lit("1970-01-01")).alias("day"), cells.alias("cells"))
     # Keys without the day first, so that places are encoded once however many days there are.
     has_tile = F.expr("fire is not null and xi is not null and yi is not null")
-    strong = F.concat(F.array(F.when(has_tile, _term("t", F.col("fire"), F.col("xi"), F.col("yi")))), F.transform("cells", lambda c: _term("c", c["row"], c["col"])))
-    weak = F.concat(
-        F.array(F.when(has_tile, _term("f", F.col("fire")))),
-        F.transform("cells", lambda c: _term("w", F.floor(c["row"] / WIDE), F.floor(c["col"] / WIDE))),
-    )
-    keys = F.transform(F.array_distinct(strong), lambda k: F.struct(k.alias("key"), F.lit(1.0).alias("weight")))
-    light = F.transform(F.array_distinct(weak), lambda k: F.struct(k.alias("key"), F.lit(WEAK).alias("weight")))
-    k = s.select("id", "day", F.explode(F.concat(keys, light)).alias("k")).filter("k.key is not null")
+    tile = lambda k: F.when(has_tile, F.array(k)).otherwise(F.array().cast("array<bigint>"))
+    strong = F.concat(tile(_term("t", F.col("fire"), F.col("xi"), F.col("yi"))), F.transform("cells", lambda c: _term("c", c["row"], c["col"])))
+    weak = F.concat(tile(_term("f", F.col("fire"))), F.transform("cells", lambda c: _term("w", F.floor(c["row"] / WIDE), F.floor(c["col"] / WIDE))))
+    k = s.select("id", "day", F.array_distinct(strong).alias("strong"), F.array_distinct(weak).alias("weak"))
+    # The terms of a scene stand in one row and differ, so the vector's length is known before they are spread: no shuffle.
+    norm = F.sqrt((2 * days + 1) * (F.size("strong") + F.lit(WEAK * WEAK) * F.size("weak")))
+    keys = F.transform("strong", lambda x: F.struct(x.alias("key"), (1.0 / F.col("norm")).alias("weight")))
+    light = F.transform("weak", lambda x: F.struct(x.alias("key"), (F.lit(WEAK) / F.col("norm")).alias("weight")))
+    k = k.withColumn("norm", norm).select("id", "day", F.explode(F.concat(keys, light)).alias("k"))
     near = F.explode(F.sequence(F.col("day") - days, F.col("day") + days)) if days else F.col("day")
-    return unit_vectors(k.select("id", "k.*", near.alias("on")).select("id", _term("d", F.col("key"), F.col("on")).alias("term"), "weight"))
+    return k.select("id", "k.*", near.alias("on")).select("id", _term("d", F.col("key"), F.col("on")).alias("term"), "weight")
 
 
 def train_vectors(scenes: DataFrame, km: float) -> DataFrame:
