@@ -101,3 +101,31 @@ def overlapping_boxes(a: DataFrame, b: DataFrame, on: list[str], pad: float, siz
     first_col = F.when(covers, F.pmod(first_b, F.lit(n))).otherwise(F.pmod(first_a, F.lit(n)))
     once = near.filter((F.col("__by") == first_row) & (F.col("__bx") == first_col))
     return once.select(*[f"{c}_a" for c in a.columns], *[f"{c}_b" for c in b.columns])
+
+
+def rasterized(polygons: DataFrame, size: float) -> DataFrame:
+    """(grid_row, grid_col, id): cells of `size` degrees whose centre lies in a polygon; where several do, the largest id.
+
+    polygons(id, rings ARRAY<ARRAY<STRUCT<x, y>>>): any number of rings each, holes and parts alike, filled by the even-odd rule; rings may be
+    open or closed, longitudes run from -180 to 180. Cells are counted from the north-west corner. Each edge names the rows whose
+    centre line it crosses, and the crossings of a line, as many as the polygon has edges there at most, are paired in order: the
+    cost is that of the cells filled and not of the bounding box. Null rings and rings of fewer than three points fill nothing.
+    """
+    ring = polygons.select("id", F.explode("rings").alias("r")).filter(F.size("r") >= 3)
+    n = F.size("r")
+    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("r", i).alias("a"), F.get("r", F.pmod(i + 1, n)).alias("b")))
+    e = ring.select("id", F.explode(edges).alias("e")).select(
+        "id", F.col("e.a.x").cast("double").alias("ax"), F.col("e.a.y").cast("double").alias("ay"), F.col("e.b.x").cast("double").alias("bx"), F.col("e.b.y").cast("double").alias("by")
+    )
+    line = lambda y: F.floor((90.0 - y) / size - 0.5)
+    first, last = line(F.greatest("ay", "by")) + 1, line(F.least("ay", "by"))
+    e = e.filter(F.col("ay").isNotNull() & F.col("by").isNotNull() & (first <= last)).withColumn("row", F.explode(F.sequence(first, last)))
+    y = 90.0 - (F.col("row") + 0.5) * size
+    at = (F.col("bx") - F.col("ax")) * (y - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
+    crossings = e.groupBy("id", "row").agg(F.array_sort(F.collect_list(at)).alias("xs"))
+    spans = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.get("xs", (i * 2).cast("int")).alias("a"), F.get("xs", (i * 2 + 1).cast("int")).alias("b")))
+    s = crossings.filter(F.size("xs") >= 2).select("id", "row", F.explode(spans).alias("s"))
+    column = lambda x: F.ceil((x + 180.0) / size - 0.5)
+    a, b = column(F.col("s.a")), column(F.col("s.b")) - 1
+    cells = s.filter(a <= b).select("id", "row", F.explode(F.sequence(a, b)).alias("col"))
+    return cells.groupBy(F.col("row").cast("int").alias("grid_row"), F.col("col").cast("int").alias("grid_col")).agg(F.max("id").alias("id"))

@@ -9,7 +9,7 @@ from emberframe.functions import scalars as S
 from emberframe.operators import history as H
 from emberframe.operators import raster as R
 from emberframe.operators.graph import label_cells
-from emberframe.operators.rings import overlapping_boxes
+from emberframe.operators.rings import overlapping_boxes, rasterized
 from emberframe.plans.rasters import padded_fires, points_in_boxes
 from emberframe.registry import CORE
 from emberframe.session import materialize
@@ -231,3 +231,30 @@ def qk_collected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = counting(table(spark, sf_dir, "samples").select("sample_id", "load_order", "loaded_at", "fire_id", "dt", "lon", "lat", "num_fire")).filter("fire_id is not null and dt is not null")
     s = s.withColumns({"lon": longitude(), "lat": latitude(), "id": F.col("sample_id") % 150})
     return collected_events(s, m, ["click", "error"])
+
+
+# ---- S39: polygons as a raster, with their names
+
+#: Stand-in polygons: a slanted quadrilateral, one with a hole, and one in two parts, each on top of the ones before.
+POLYGONS = [
+    (1, "Slant", [[(-125.0, 30.0), (-100.0, 45.0), (-60.0, -30.0), (-120.0, -5.0)]]),
+    (2, "Frame", [[(-110.3, 40.2), (-70.1, 38.0), (-75.0, 5.5), (-112.0, 9.1)], [(-100.0, 30.0), (-85.0, 30.0), (-90.0, 15.0)]]),
+    (3, "Parts", [[(10.0, 50.0), (30.0, 52.0), (25.0, 20.0)], [(40.2, -10.1), (60.7, 12.3), (80.4, -20.9), (41.0, -30.0)]]),
+]
+_EDGES = ", ".join(
+    f"({i}, '{name}', {a[0]}::double, {a[1]}::double, {b[0]}::double, {b[1]}::double)" for i, name, rings in POLYGONS for r in rings for a, b in zip(r, r[1:] + r[:1])
+)
+
+
+@CORE.query(
+    "s39_region_raster",
+    f"""with e as (select * from (values {_EDGES}) v(id, name, px, py, qx, qy)),
+g as (select r::integer as grid_row, c::integer as grid_col, 90 - (r + 0.5) * 0.5 as y, -180 + (c + 0.5) * 0.5 as x from (select unnest(generate_series(0, 359)) as r), (select unnest(generate_series(0, 719)) as c)),
+i as (select grid_row, grid_col, id, name from g join e on (py > y) <> (qy > y) and x < (qx - px) * (y - py) / (qy - py) + px group by 1, 2, 3, 4 having count(*) % 2 = 1)
+select grid_row, grid_col, max(id) as region_id, max_by(name, id) as name from i group by 1, 2""",
+)
+def s39_region_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-degree cells of named polygons."""
+    rows = [(i, name, [[{"x": x, "y": y} for x, y in r] for r in rings]) for i, name, rings in POLYGONS]
+    p = spark.createDataFrame(rows, "id int, name string, rings array<array<struct<x: double, y: double>>>")
+    return rasterized(p, 0.5).join(p.select("id", "name"), "id").select("grid_row", "grid_col", F.col("id").alias("region_id"), "name")

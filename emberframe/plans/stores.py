@@ -227,6 +227,26 @@ def a34_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.project_components(e, "embedding", directions).select("vec_id", *[F.round(F.col("components")[i], 6).alias(f"c{i}") for i in range(5)])
 
 
+def _projected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, M.CalibratedProjection]:
+    e = table(spark, sf_dir, "embeddings").withColumns({"height": F.col("embedding")[0].cast("double") + F.col("embedding")[1].cast("double"), "odd": F.expr("cast(label % 2 = 1 as int)")})
+    p = M.calibrated_projection(e, "embedding", ["height"], "odd", 4)
+    return p.project(e, "embedding"), p
+
+
+@CORE.query("m6_projection")
+def m6_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors on the directions of a number and of a class, and on the components of the rest."""
+    e, p = _projected(spark, sf_dir)
+    return e.select("vec_id", *[F.round(F.col("coords")[i], 6).alias(n) for i, n in enumerate(p.names)])
+
+
+@CORE.query("m7_region_clusters")
+def m7_region_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters fitted on a bounded sample of each region (label) and given to every vector."""
+    e, _ = _projected(spark, sf_dir)
+    return M.region_clusters(e, "coords", "label", "vec_id", 8).select("vec_id", "label", "cluster")
+
+
 @CORE.query("m7_clusters")
 def m7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.clusters(table(spark, sf_dir, "embeddings"), "embedding", 10).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))

@@ -104,6 +104,45 @@ def test_m6_probes(spark):
     assert exact["r2"] > 0.8 and exact["accuracy"] > 0.9
 
 
+@needs_data
+def test_m6_projection(spark):
+    e = read("embeddings").sort_values("vec_id")
+    got = run(spark, "m6_projection").sort_values("vec_id")
+    x = np.array(e["embedding"].tolist(), dtype=float)
+    names = [c for c in got.columns if c != "vec_id"]
+    assert names == ["height", "odd", "rest0", "rest1", "rest2", "rest3"] and len(got) == len(e)
+    assert np.corrcoef(got["height"], x[:, 0] + x[:, 1])[0, 1] > 0.95
+    assert abs(np.corrcoef(got["odd"], e["label"] % 2)[0, 1]) > 0.1
+    # The rest holds no more of the number, and its components are uncorrelated and fall in variance.
+    rest = np.cov(got[names[2:]].to_numpy().T)
+    assert np.allclose(rest, np.diag(np.diag(rest)), atol=1e-4) and (np.diff(np.diag(rest)) <= 1e-6).all()
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    assert abs(got[names].to_numpy()).max() <= np.linalg.norm(z, axis=1).max() + 1e-6
+
+
+@needs_data
+def test_m7_region_clusters(spark):
+    got = run(spark, "m7_region_clusters")
+    e = read("embeddings")
+    assert got["vec_id"].is_unique and len(got) == len(e) and got["cluster"].between(0, 7).all() and got["cluster"].nunique() > 3
+    rows = [(i, [float(i % 2) * 10 + i / 1000, 0.0], i % 3) for i in range(60)] + [(99, None, 1)]
+    df = spark.createDataFrame(rows, "id int, coords array<double>, region int").withColumn("cluster", F.lit("clash"))
+    by = {r["id"]: r["cluster"] for r in M.region_clusters(df, "coords", "region", "id", 2, per_region=5).collect()}
+    assert by[99] is None and len({by[i] for i in range(0, 60, 2)}) == len({by[i] for i in range(1, 60, 2)}) == 1 and by[0] != by[1]
+
+
+def test_rasterized_polygons(spark):
+    from emberframe.operators.rings import rasterized
+
+    square = [[{"x": 10.0, "y": 10.0}, {"x": 12.0, "y": 10.0}, {"x": 12.0, "y": 12.0}, {"x": 10.0, "y": 12.0}, {"x": 10.0, "y": 10.0}]]
+    rows = [(1, square), (2, [square[0], [{"x": 11.0, "y": 11.0}, {"x": 12.0, "y": 11.0}, {"x": 12.0, "y": 12.0}, {"x": 11.0, "y": 12.0}]]), (3, None), (4, [[]])]
+    df = spark.createDataFrame(rows, "id int, rings array<array<struct<x: double, y: double>>>")
+    got = {(r["grid_row"], r["grid_col"]): r["id"] for r in rasterized(df, 1.0).collect()}
+    # The hole of 2 is the north-east quarter, where 1 shows through.
+    assert got == {(78, 190): 2, (78, 191): 1, (79, 190): 2, (79, 191): 2}
+    assert rasterized(df.limit(0), 1.0).count() == 0
+
+
 @needs_data
 def test_w16_spread_picks(spark):
     f = read("fires").dropna(subset=["fire_id", "num_fire"])
