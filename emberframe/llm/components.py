@@ -104,11 +104,10 @@ def torn(df: DataFrame, links: dict[str, Column], mark: Column) -> DataFrame:
     """
     edges, nodes = link_nodes(df, links)
     first = F.coalesce(*nodes.values())
-    marked = df.filter(first.isNotNull() & mark.isNotNull()).select(first.alias("u"), F.concat(F.lit("mark:"), mark.cast("string"), F.lit("@"), first).alias("v"))
-    found = materialize(hash_to_min(edges.union(marked.distinct())))
-    marks = found.filter(F.col("node").startswith("mark:")).select(
-        "component", F.regexp_extract("node", "(?s)^mark:[^@]*@(.*)$", 1).alias("node"), F.regexp_extract("node", "^mark:([^@]*)@", 1).alias("mark")
-    )
+    marked = df.filter(first.isNotNull() & mark.isNotNull()).select(first.alias("value"), mark.cast("string").alias("mark")).distinct()
+    marked = marked.withColumn("v", F.concat(F.lit("mark:"), F.to_json(F.struct("value", "mark"))))
+    found = hash_to_min(edges.union(marked.select("value", "v")))
+    marks = materialize(found.join(marked, F.col("node") == F.col("v")).select("component", F.col("value").alias("node"), "mark"))
     several = marks.groupBy("component").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b")
     return marks.join(several.select("component"), "component", "left_semi")
 

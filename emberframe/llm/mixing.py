@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +27,18 @@ def _encoder(path: str):
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encoders[path] = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str = TOKENIZER) -> DataFrame:
-    """docs (without text) with `tokens`, in place of any such column: the tokens of the whole text, 0 for an empty or null one."""
+    """docs (without text) with `tokens`, in place of any such column: the tokens of the whole text, 0 for an empty or null one.
+
+    path is the vocabulary's, on the driver; executors that don't have it there get it from the driver.
+    """
+    docs.sparkSession.sparkContext.addFile(path)
     docs = docs.drop("tokens")
     keep = [c for c in docs.columns if c != text]
     schema = docs.select(*keep, F.lit(0).cast("long").alias("tokens")).schema
