@@ -105,6 +105,20 @@ def s30_matrix_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", "true").schema("model string, F double, O double").csv(path)
 
 
+@CORE.query(
+    "s31_run_documents",
+    """select 'transfer_' || lower(l_returnflag) || case when l_linestatus = 'F' then '_nf' else '_nm' end as tag, case when l_linestatus = 'F' then 'nf' else 'nm' end as target,
+lower(l_returnflag) as region, round(avg(l_discount), 6) as f1 from lineitem group by l_returnflag, l_linestatus""",
+)
+def s31_run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as one folder a run, and collected again by pattern."""
+    end = F.when(F.col("l_linestatus") == "F", "_nf").otherwise("_nm")
+    r = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("transfer_"), F.lower("l_returnflag"), end).alias("tag")).agg(F.round(F.avg("l_discount"), 6).alias("f1"))
+    path = _folder(spark)
+    r.write.mode("overwrite").partitionBy("tag").json(path)
+    return S.collect_runs(spark, f"{path}/*/*.json", "f1 double").select("tag", "target", "region", "f1")
+
+
 @CORE.query("s7_granules")
 def s7_granules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table files themselves as granules: read as bytes on the executors, parsed to name and footer."""

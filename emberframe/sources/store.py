@@ -131,9 +131,12 @@ def distilled(df: DataFrame, files: int, order: list[str]) -> DataFrame:
 
 
 def collect_runs(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Result documents of run folders (…/<tag>/result.json) with tag, and target and region told from it."""
+    """Result documents of run folders (…/<tag>/result.json) with tag, and target and region told from it.
+
+    Of a folder written by partition, <column>=<tag>, the tag is what stands behind the sign.
+    """
     r = spark.read.schema(schema).option("multiLine", "true").json(pattern).withColumn("path", F.input_file_name())
-    tag = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    tag = F.regexp_replace(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), "^[^=]*=", "")
     return r.withColumn("tag", tag).withColumns(
         {"target": F.regexp_extract("tag", "_(nf|nm)$", 1), "region": F.regexp_replace(F.regexp_replace("tag", "^[^_]+_", ""), "_(nf|nm)$", "")}
     ).drop("path")
