@@ -9,7 +9,7 @@ from emberframe.functions import scalars as S
 from emberframe.operators import history as H
 from emberframe.registry import CORE
 from emberframe.session import materialize
-from emberframe.tables import COUNTING_SQL, LON_SQL, counting, fire_by_right, latitude, longitude, table, unwrapped_east
+from emberframe.tables import COUNTING_SQL, LON_SQL, counting, latitude, longitude, table, unwrapped_east
 
 _SAMPLE = ("sample_id", "load_order", "loaded_at")
 

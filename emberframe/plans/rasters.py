@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.operators import raster as R
-from emberframe.operators.coverage import modal_group
-from emberframe.operators.curve import containing_region
 from emberframe.operators.rings import overlapping_boxes, round_bins
 from emberframe.registry import CORE
 from emberframe.session import materialize

@@ -99,10 +99,6 @@ def f6_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, sf_dir).select("sample_id", F.bround(x).cast("int").alias("x"), F.bround(y).cast("int").alias("y"))
 
 
-_BOX_SQL = f"""b as (select distinct fire_id, round_even((min_x + 180) / {CELL_SQL}, 0)::integer as x0, round_even((min_y + 90) / {CELL_SQL}, 0)::integer as y0,
-round_even((max_x + 180) / {CELL_SQL}, 0)::integer as x1, round_even((max_y + 90) / {CELL_SQL}, 0)::integer as y1 from fires where min_x <= max_x)"""
-
-
 @CORE.query(
     "f7_padded_boxes",
     f"""with b as (select distinct fire_id, round_even((min_x + 180) / {CELL_SQL}, 0)::integer as x0, round_even((min_y + 90) / {CELL_SQL}, 0)::integer as y0,
