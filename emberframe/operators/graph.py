@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.session import discard, materialize
+from emberframe.session import discard, materialize, shuffled
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -23,9 +23,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
+        small = large.join(shuffled(low), "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
         after = materialize(small.filter("u <> v").distinct())
         discard(links)
         links = after
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if now == before:
             roots = links.select(F.col("v").alias("node")).union(loops).distinct()
             hung = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return hung.union(roots.join(hung, "node", "left_anti").select("node", F.col("node").alias("component")))
+            return hung.union(roots.join(shuffled(hung), "node", "left_anti").select("node", F.col("node").alias("component")))
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -68,7 +68,7 @@ def cell_links(cells: DataFrame, dx: int, dy: int, dt: int) -> DataFrame:
         F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("t").alias("t1"), key.alias("u"),
     )
     reach = (F.abs(F.col("x") - F.col("x1")) <= dx) & (F.abs(F.col("y") - F.col("y1")) <= dy) & (F.abs(F.col("t") - F.col("t1")) <= dt)
-    pairs = a.join(b, ["bx", "by", "bt"]).filter(reach).select("u", key.alias("v")).distinct()
+    pairs = a.join(shuffled(b), ["bx", "by", "bt"]).filter(reach).select("u", key.alias("v")).distinct()
     return pairs.union(b.select(key.alias("u"), key.alias("v")).distinct())
 
 
@@ -91,10 +91,10 @@ def label_cells_by(cells: DataFrame, dx: int, dy: int, windows: dict[str, int])
     out = c
     for i, (name, dt) in enumerate(windows.items()):
         own = _blocks(c, (dx + 1, dy + 1, dt + 1)).withColumn("node", node(i, cell_key(F.col("bx"), F.col("by"), F.col("bt"))))
-        by = materialize(own.join(found, "node").select("x", "y", "t", "component"))
+        by = materialize(own.join(shuffled(found), "node").select("x", "y", "t", "component"))
         least = by.groupBy(F.col("component").alias("root")).agg(F.min(cell_key(F.col("x"), F.col("y"), F.col("t"))).alias("least"))
-        named = by.join(least, by["component"] == least["root"]).select("x", "y", "t", F.col("least").alias(name))
-        out = named if i == 0 else out.join(named, ["x", "y", "t"])
+        named = by.join(shuffled(least), by["component"] == least["root"]).select("x", "y", "t", F.col("least").alias(name))
+        out = named if i == 0 else out.join(shuffled(named), ["x", "y", "t"])
     return out
 
 
@@ -112,17 +112,17 @@ def event_cells(cells: DataFrame, dx: int = 2, dy: int = 2, dt: int = 7) -> Data
         F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("t").alias("t1"),
     )
     gap = F.col("t1") - F.col("t")
-    seen = a.join(b.select("bx", "by", "bt", "x", "y", "t"), ["bx", "by", "bt"]).filter(
+    seen = a.join(shuffled(b.select("bx", "by", "bt", "x", "y", "t")), ["bx", "by", "bt"]).filter(
         (F.abs(F.col("x") - F.col("x1")) <= dx) & (F.abs(F.col("y") - F.col("y1")) <= dy) & gap.between(0, dt)
         & ~((gap == 0) & (F.col("x") == F.col("x1")) & (F.col("y") == F.col("y1")))
     )
     counts = seen.groupBy(F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("t1").alias("t")).agg(
         F.count(F.when(gap > 0, 1)).alias("predecessors"), F.count(F.when(gap == 0, 1)).alias("neighbours")
     )
-    full = c.join(counts, ["x", "y", "t"], "left").fillna(0, ["predecessors", "neighbours"])
+    full = c.join(shuffled(counts), ["x", "y", "t"], "left").fillna(0, ["predecessors", "neighbours"])
     full = materialize(full)
     fresh = full.groupBy("same_day").agg((F.max("predecessors") == 0).alias("ignition"))
-    return full.join(fresh, "same_day").select(
+    return full.join(shuffled(fresh), "same_day").select(
         "x", "y", "t", F.col("event").alias("component"), "same_day", "predecessors", "neighbours", "ignition"
     )
 

@@ -82,6 +82,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that never broadcasts either side.
+
+    Spark takes a table for as large as its compressed files, and counts no rows that an explode adds: a side that it
+    takes for a few MB may be a hundred times that in the driver, which builds what is broadcast.
+    """
+    return df.hint("merge")
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _made:
