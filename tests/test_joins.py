@@ -1,7 +1,6 @@
-"""Joins whose sides Spark takes for smaller than they are never broadcast them; keys of any size hash."""
+"""Joins whose sides Spark takes for smaller than they are never broadcast them."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from emberframe.operators import graph
 
