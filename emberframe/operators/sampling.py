@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def hash_unit(key: Column, seed: int = 42) -> Column:
-    """A number in (0, 1) from a whole number, by arithmetic that other engines can repeat."""
-    return (F.pmod(key.cast("bigint") * 2654435761 + seed, F.lit(1000003)) + 0.5) / 1000003.0
+    """A number in (0, 1) from a whole number, by arithmetic that other engines can repeat: (key * 2654435761 + seed) mod 1000003.
+
+    Key and factor are reduced before they are multiplied, so that no key overflows a BIGINT.
+    """
+    m = F.lit(1000003)
+    return (F.pmod(F.pmod(key.cast("bigint"), m) * (2654435761 % 1000003) + seed % 1000003, m) + 0.5) / 1000003.0
 
 
 def fire_day_key(fire: Column, day: Column) -> Column:
