@@ -25,7 +25,7 @@ def large(spark, tmp_path_factory):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["a7_weight_sweep", "qe_survey_budgets", "t3_balanced_pairs", "t4_cheapest_pairs"])
+@pytest.mark.parametrize("name", ["a7_weight_sweep", "qe_survey_budgets", "t3_balanced_pairs", "t4_cheapest_pairs", "w2_capped_days"])
 def test_fires_of_seven_digits(spark, large, name):
     con = duckdb.connect()
     con.execute(f"create view picked as select * from '{large}/picked.parquet/*.parquet'")
