@@ -38,3 +38,10 @@ def test_components_broadcast_nothing(spark, plans):
     seen = plans(graph)
     seen.append(plan(graph.label_cells(spark.createDataFrame(CELLS, "x int, y int, t int"))))
     assert joins_without_broadcast(seen)
+
+
+def test_patch_labels_broadcast_nothing(spark, plans):
+    """One day a patch, nothing in reach across it."""
+    seen = plans(graph)
+    seen.append(plan(graph.label_cells(spark.createDataFrame(CELLS, "x int, y int, t int"), 1, 1, 0)))
+    assert joins_without_broadcast(seen)
