@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.session import materialize
+from emberframe.session import materialize, shuffled
 
 
 def window(radius: int) -> Column:
@@ -34,19 +34,44 @@ def project(points: DataFrame, keys: list[str], radius: int, how: str) -> DataFr
     return g.agg((F.sum(F.col("value") * w) / F.sum(w)).alias("value"))
 
 
+#: Cells a side of the blocks in which cells meet those around them.
+BLOCK = 64
+
+
+def _around(cells: DataFrame, keys: list[str], radius: int, columns: list[str]) -> DataFrame:
+    """cells(keys, row, col) at every cell (row, col) within radius, with their own place (r, c), d2, `columns`, and the block (br, bc) of (row, col).
+
+    Rows are partitioned by keys and block before they are multiplied, with a margin: to group by both and the place takes no
+    other shuffle, and no raster is a single task.
+    """
+    blocks = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / BLOCK), F.floor((F.col(c) + radius) / BLOCK)))
+    b = cells.select(*keys, F.col("row").alias("r"), F.col("col").alias("c"), *columns)
+    b = b.select("*", blocks("r").alias("br")).select("*", blocks("c").alias("bc")).repartition(*keys, "br", "bc")
+    at = b.select("*", window(radius).alias("o")).select(
+        *keys, "br", "bc", "r", "c", (F.col("r") + F.col("o.i")).alias("row"), (F.col("c") + F.col("o.j")).alias("col"), F.col("o.d2").alias("d2"), *columns
+    )
+    return at.filter((F.floor(F.col("row") / BLOCK) == F.col("br")) & (F.floor(F.col("col") / BLOCK) == F.col("bc")))
+
+
+def _nearness(radius: int) -> Column:
+    """A number that orders what _around gives for one place by d2, r and c, as a struct of them would, but is summed up without sorting."""
+    side = 2 * radius + 1
+    return (F.col("d2") * side + F.col("r") - F.col("row") + radius) * side + F.col("c") - F.col("col") + radius
+
+
 def fill_holes(cells: DataFrame, grid: DataFrame, keys: list[str], radius: int, how: str = "nearest") -> DataFrame:
-    """Cells of grid(keys, row, col) that cells lacks, from those within radius; what has none near stays out."""
-    holes = grid.join(cells, [*keys, "row", "col"], "left_anti")
-    near = holes.select(*keys, "row", "col", window(radius).alias("o")).select(
-        *keys, F.col("row").alias("r0"), F.col("col").alias("c0"), (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.col("o.d2").alias("d2"),
-    )
-    g = near.join(cells.select(*keys, "row", "col", "value"), [*keys, "row", "col"]).groupBy(*keys, "r0", "c0")
+    """Cells of grid(keys, row, col) that cells, each given once, lacks, from those within radius; what has none near stays out.
+
+    Every cell is sent to the cells around it; one that is sent to itself is no hole. So the cost is that of the
+    cells and not of the holes, of which a sparse grid has many times more.
+    """
+    g = _around(cells, keys, radius, ["value"]).groupBy(*keys, "br", "bc", "row", "col")
     if how == "nearest":
-        v = g.agg(F.min(F.struct("d2", "row", "col", "value")).alias("t")).select(*keys, "r0", "c0", F.col("t.value").alias("value"))
+        v = g.agg(F.min_by("value", _nearness(radius)).alias("value"), F.min("d2").alias("d2"))
     else:
-        w = 1.0 / F.sqrt(F.col("d2").cast("double"))
-        v = g.agg((F.sum(F.col("value") * w) / F.sum(w)).alias("value"))
-    return v.withColumnsRenamed({"r0": "row", "c0": "col"})
+        w = F.when(F.col("d2") > 0, 1.0 / F.sqrt(F.col("d2").cast("double")))
+        v = g.agg((F.sum(F.col("value") * w) / F.sum(w)).alias("value"), F.min("d2").alias("d2"))
+    return v.filter("d2 > 0").select(*keys, "row", "col", "value").join(shuffled(grid), [*keys, "row", "col"], "left_semi")
 
 
 def closing(cells: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
@@ -169,7 +194,7 @@ def _predecessors(asks: DataFrame, first: DataFrame, key: str, reach: int) -> Da
     hosts = first.select(key, b("x").alias("bx"), b("y").alias("by"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("t").alias("pt"))
     a = asks.withColumn("o", window(1)).select(key, "x", "y", "t", (b("x") + F.col("o.i")).alias("bx"), (b("y") + F.col("o.j")).alias("by"))
     d2 = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)
-    hit = a.join(hosts, [key, "bx", "by"]).filter("pt < t").withColumn("d2", d2).filter(F.col("d2") <= reach * reach)
+    hit = a.join(shuffled(hosts), [key, "bx", "by"]).filter("pt < t").withColumn("d2", d2).filter(F.col("d2") <= reach * reach)
     return hit.groupBy(key, "x", "y", "t").agg(F.min("d2").alias("d2"))
 
 
@@ -181,12 +206,12 @@ def nearest_predecessor(cells: DataFrame, key: str, reach: int = 8) -> DataFrame
     """
     first = materialize(cells.filter(F.col(key).isNotNull()).groupBy(key, "x", "y").agg(F.min("t").alias("t")))
     start = first.groupBy(key).agg(F.min("t").alias("t0"))
-    asks = materialize(first.join(start, key).filter("t > t0").drop("t0"))
+    asks = materialize(first.join(shuffled(start), key).filter("t > t0").drop("t0"))
     out = None
     while not asks.isEmpty():
         got = materialize(_predecessors(asks, first, key, reach))
         out = got if out is None else out.union(got)
-        asks = materialize(asks.join(got, [key, "x", "y"], "left_anti"))
+        asks = materialize(asks.join(shuffled(got), [key, "x", "y"], "left_anti"))
         reach *= 8
     return out if out is not None else asks.withColumn("d2", F.lit(0.0))
 

@@ -1,8 +1,9 @@
 """Joins whose sides Spark takes for smaller than they are never broadcast them."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from emberframe.operators import graph
+from emberframe.operators import graph, raster
 
 
 @pytest.fixture
@@ -45,3 +46,14 @@ def test_patch_labels_broadcast_nothing(spark, plans):
     seen = plans(graph)
     seen.append(plan(graph.label_cells(spark.createDataFrame(CELLS, "x int, y int, t int"), 1, 1, 0)))
     assert joins_without_broadcast(seen)
+
+
+def test_holes_are_filled_without_naming_them(spark, plans):
+    """Two cells in a large grid: rows are made for the cells around them, and the grid is only looked up."""
+    side = F.explode(F.sequence(F.lit(0), F.lit(99)))
+    cells = spark.createDataFrame([(1, 5, 5, 1.0), (1, 5, 7, 2.0)], "p int, row int, col int, value double")
+    grid = cells.select("p").distinct().select("p", side.alias("row")).select("p", "row", side.alias("col"))
+    out = raster.fill_holes(cells, grid, ["p"], 1)
+    assert joins_without_broadcast([plan(out)])
+    want = {(r, c): 1.0 if c < 7 else 2.0 for r in (4, 5, 6) for c in (4, 5, 6, 7, 8)}
+    assert {(r.row, r.col): r.value for r in out.collect()} == {k: v for k, v in want.items() if k not in ((5, 5), (5, 7))}
