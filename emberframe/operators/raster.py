@@ -224,7 +224,7 @@ def spread(cells: DataFrame, key: str, reach: int = 3) -> DataFrame:
         F.avg(close.cast("double")).alias("spread_ratio"), F.countDistinct(F.when(~close, F.col("t"))).alias("n_new_ignitions"),
         F.avg(F.sqrt("d2")).alias("mean_spread_dist"), F.max(F.sqrt("d2")).alias("max_spread_dist"),
     )
-    every = cells.filter(F.col(key).isNotNull()).select(key).distinct().join(s, key, "left")
+    every = cells.filter(F.col(key).isNotNull()).select(key).distinct().join(shuffled(s), key, "left")
     return every.select(
         key, F.coalesce(F.round("spread_ratio", 4), F.lit(1.0)).alias("spread_ratio"), F.coalesce("n_new_ignitions", F.lit(0)).alias("n_new_ignitions"),
         F.coalesce(F.round("mean_spread_dist", 2), F.lit(0.0)).alias("mean_spread_dist"), F.coalesce(F.round("max_spread_dist", 2), F.lit(0.0)).alias("max_spread_dist"),

@@ -54,6 +54,13 @@ def test_holes_are_filled_without_naming_them(spark, plans):
     cells = spark.createDataFrame([(1, 5, 5, 1.0), (1, 5, 7, 2.0)], "p int, row int, col int, value double")
     grid = cells.select("p").distinct().select("p", side.alias("row")).select("p", "row", side.alias("col"))
     out = raster.fill_holes(cells, grid, ["p"], 1)
+    rows = out.collect()
     assert joins_without_broadcast([plan(out)])
     want = {(r, c): 1.0 if c < 7 else 2.0 for r in (4, 5, 6) for c in (4, 5, 6, 7, 8)}
-    assert {(r.row, r.col): r.value for r in out.collect()} == {k: v for k, v in want.items() if k not in ((5, 5), (5, 7))}
+    assert {(r.row, r.col): r.value for r in rows} == {k: v for k, v in want.items() if k not in ((5, 5), (5, 7))}
+
+
+def test_spread_broadcasts_nothing(spark, plans):
+    seen = plans(raster)
+    seen.append(plan(raster.spread(spark.createDataFrame([(1, *c) for c in CELLS], "p int, x int, y int, t int"), "p")))
+    assert joins_without_broadcast(seen)
