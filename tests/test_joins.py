@@ -64,3 +64,9 @@ def test_spread_broadcasts_nothing(spark, plans):
     seen = plans(raster)
     seen.append(plan(raster.spread(spark.createDataFrame([(1, *c) for c in CELLS], "p int, x int, y int, t int"), "p")))
     assert joins_without_broadcast(seen)
+
+
+def test_events_broadcast_nothing(spark, plans):
+    seen = plans(graph)
+    seen.append(plan(graph.event_stats(graph.event_cells(spark.createDataFrame(CELLS, "x int, y int, t int")))))
+    assert joins_without_broadcast(seen)
