@@ -70,3 +70,9 @@ def test_events_broadcast_nothing(spark, plans):
     seen = plans(graph)
     seen.append(plan(graph.event_stats(graph.event_cells(spark.createDataFrame(CELLS, "x int, y int, t int")))))
     assert joins_without_broadcast(seen)
+
+
+def test_ignitions_broadcast_nothing(spark, plans):
+    seen = plans(graph)
+    seen.append(plan(graph.event_cells(spark.createDataFrame(CELLS, "x int, y int, t int"), 1, 1, 3)))
+    assert joins_without_broadcast(seen)
