@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe.operators.graph import connected_components, event_cells, event_stats, label_cells
 from emberframe.registry import CORE
-from emberframe.session import materialize
+from emberframe.session import materialize, shuffled
 from emberframe.tables import COUNTING_SQL, LON_SQL, counting, latitude, longitude, table
 
 #: Tenth-degree cells of located samples and the day since 2018-01-01.
@@ -102,7 +102,7 @@ def g7_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor((F.col("lat") + 90) * 10).cast("int").alias("y"),
         F.datediff("dt", F.lit("2018-01-01")).alias("t"),
     )
-    return d.join(label_cells(d), ["x", "y", "t"]).select("sample_id", "component")
+    return d.join(shuffled(label_cells(d)), ["x", "y", "t"]).select("sample_id", "component")
 
 
 @CORE.query(

@@ -1,9 +1,12 @@
 """Joins whose sides Spark takes for smaller than they are never broadcast them."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from emberframe.operators import graph, raster
+from tests.test_queries import CORE, DATA
 
 
 @pytest.fixture
@@ -76,3 +79,8 @@ def test_ignitions_broadcast_nothing(spark, plans):
     seen = plans(graph)
     seen.append(plan(graph.event_cells(spark.createDataFrame(CELLS, "x int, y int, t int"), 1, 1, 3)))
     assert joins_without_broadcast(seen)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_detections_are_joined_without_broadcast(spark):
+    assert joins_without_broadcast([plan(CORE.queries["g7_detections"](spark, DATA))])
