@@ -38,19 +38,30 @@ def project(points: DataFrame, keys: list[str], radius: int, how: str) -> DataFr
 BLOCK = 64
 
 
-def _around(cells: DataFrame, keys: list[str], radius: int, columns: list[str]) -> DataFrame:
-    """cells(keys, row, col) at every cell (row, col) within radius, with their own place (r, c), d2, `columns`, and the block (br, bc) of (row, col).
+def _in_block(margin: int) -> Column:
+    """Whether (row, col) lies in the block (br, bc) or within margin of it."""
+    side = lambda c, b: F.col(c).between(F.col(b) * BLOCK - margin, F.col(b) * BLOCK + (BLOCK - 1 + margin))
+    return side("row", "br") & side("col", "bc")
 
-    Rows are partitioned by keys and block before they are multiplied, with a margin: to group by both and the place takes no
-    other shuffle, and no raster is a single task.
+
+def in_blocks(cells: DataFrame, keys: list[str], reach: int, row: Column, col: Column) -> DataFrame:
+    """cells partitioned by keys and block (br, bc), in every block that is within reach of their place: to group by these and more takes no other shuffle."""
+    blocks = lambda c: F.explode(F.sequence(F.floor((c - reach) / BLOCK), F.floor((c + reach) / BLOCK)))
+    return cells.select("*", blocks(row).alias("br")).select("*", blocks(col).alias("bc")).repartition(*keys, "br", "bc")
+
+
+def _around(cells: DataFrame, keys: list[str], radius: int, columns: list[str], margin: int = 0) -> DataFrame:
+    """cells(keys, row, col) at every cell (row, col) within radius, with their own place (r, c), d2, `columns`, and the block (br, bc).
+
+    Rows are partitioned by keys and block before they are multiplied, and no raster is a single task. (row, col) lies in
+    the block or within margin of it.
     """
-    blocks = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / BLOCK), F.floor((F.col(c) + radius) / BLOCK)))
     b = cells.select(*keys, F.col("row").alias("r"), F.col("col").alias("c"), *columns)
-    b = b.select("*", blocks("r").alias("br")).select("*", blocks("c").alias("bc")).repartition(*keys, "br", "bc")
+    b = in_blocks(b, keys, radius + margin, F.col("r"), F.col("c"))
     at = b.select("*", window(radius).alias("o")).select(
         *keys, "br", "bc", "r", "c", (F.col("r") + F.col("o.i")).alias("row"), (F.col("c") + F.col("o.j")).alias("col"), F.col("o.d2").alias("d2"), *columns
     )
-    return at.filter((F.floor(F.col("row") / BLOCK) == F.col("br")) & (F.floor(F.col("col") / BLOCK) == F.col("bc")))
+    return at.filter(_in_block(margin))
 
 
 def _nearness(radius: int) -> Column:
@@ -75,22 +86,20 @@ def fill_holes(cells: DataFrame, grid: DataFrame, keys: list[str], radius: int,
 
 
 def closing(cells: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """3 x 3 closing of cells (keys, row, col, id), joined to the originals; new cells get the id of the nearest original.
+    """3 x 3 closing of cells (keys, row, col, id), each given once, joined to the originals; new cells get the id of the nearest original.
 
-    Outside the grid counts as empty, so cells on its border never survive the erosion.
+    Outside the grid counts as empty, so cells on its border never survive the erosion. Both steps run in blocks with the margin that
+    they need: cells are shuffled once, before they are multiplied.
     """
-    around = cells.select(*keys, "id", F.col("row").alias("r"), F.col("col").alias("c"), window(1).alias("o")).select(
-        *keys, "id", "r", "c", (F.col("r") + F.col("o.i")).alias("row"), (F.col("c") + F.col("o.j")).alias("col"), F.col("o.d2").alias("d2"),
-    )
+    near = _around(cells, keys, 1, ["id"], 1)
     inside = (F.col("row") >= 0) & (F.col("row") < height) & (F.col("col") >= 0) & (F.col("col") < width)
-    grown = around.filter(inside).groupBy(*keys, "row", "col").agg(F.min(F.struct("d2", "r", "c", "id")).alias("t"))
-    kept = (
-        grown.select(*keys, "row", "col", window(1).alias("o")).select(*keys, (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
-        .groupBy(*keys, "row", "col").agg(F.count(F.lit(1)).alias("n")).filter("n = 9").drop("n")
-    )
-    closed = grown.join(kept, [*keys, "row", "col"], "left_semi").select(*keys, "row", "col", F.col("t.id").alias("id"))
-    old = cells.select(*keys, "row", "col", "id")
-    return old.union(closed.join(old, [*keys, "row", "col"], "left_anti"))
+    grown = near.filter(inside).groupBy(*keys, "br", "bc", "row", "col").agg(F.min_by("id", _nearness(1)).alias("id"), F.min("d2").alias("d2"))
+    own = F.col("o.d2") == 0
+    at = grown.select("*", window(1).alias("o")).select(
+        *keys, "br", "bc", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.when(own, F.col("id")).alias("id"), F.when(own, F.col("d2")).alias("d2"),
+    ).filter(_in_block(0))
+    kept = at.groupBy(*keys, "br", "bc", "row", "col").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id"), F.max("d2").alias("d2"))
+    return cells.select(*keys, "row", "col", "id").union(kept.filter("n = 9 and d2 > 0").select(*keys, "row", "col", "id"))
 
 
 def ring(cells: DataFrame, keys: list[str], radius: int, height: int, width: int) -> DataFrame:

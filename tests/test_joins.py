@@ -1,6 +1,7 @@
 """Joins whose sides Spark takes for smaller than they are never broadcast them."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,22 @@ def test_ignitions_broadcast_nothing(spark, plans):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_detections_are_joined_without_broadcast(spark):
     assert joins_without_broadcast([plan(CORE.queries["g7_detections"](spark, DATA))])
+
+
+def test_closing_shuffles_cells_once(spark):
+    """Cells on both sides of a block's edge and at the grid's border, against the definition."""
+    rng = random.Random(5)
+    cells = {(1, r, c): 1000 * r + c for r in range(56, 72) for c in range(58, 70) if rng.random() < 0.5}
+    cells |= {(2, r, c): 1000 * r + c for r in range(0, 6) for c in range(0, 6) if rng.random() < 0.7}
+    out = raster.closing(spark.createDataFrame([(*k, v) for k, v in cells.items()], "p int, row int, col int, id int"), ["p"], 80, 80)
+    got = {(r.p, r.row, r.col): r.id for r in out.collect()}
+    off = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    grown = {}
+    for (p, r, c), v in cells.items():
+        for i, j in off:
+            if 0 <= r + i < 80 and 0 <= c + j < 80:
+                k = (p, r + i, c + j)
+                grown[k] = min(grown.get(k, (9,)), (i * i + j * j, r, c, v))
+    want = {k: t[3] for k, t in grown.items() if all((k[0], k[1] + i, k[2] + j) in grown for i, j in off)} | cells
+    assert got == want and len(got) > len(cells)
+    assert plan(out).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
