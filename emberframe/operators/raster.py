@@ -38,7 +38,7 @@ def project(points: DataFrame, keys: list[str], radius: int, how: str) -> DataFr
 BLOCK = 64
 
 
-def _in_block(margin: int) -> Column:
+def in_block(margin: int = 0) -> Column:
     """Whether (row, col) lies in the block (br, bc) or within margin of it."""
     side = lambda c, b: F.col(c).between(F.col(b) * BLOCK - margin, F.col(b) * BLOCK + (BLOCK - 1 + margin))
     return side("row", "br") & side("col", "bc")
@@ -61,7 +61,7 @@ def _around(cells: DataFrame, keys: list[str], radius: int, columns: list[str],
     at = b.select("*", window(radius).alias("o")).select(
         *keys, "br", "bc", "r", "c", (F.col("r") + F.col("o.i")).alias("row"), (F.col("c") + F.col("o.j")).alias("col"), F.col("o.d2").alias("d2"), *columns
     )
-    return at.filter(_in_block(margin))
+    return at.filter(in_block(margin))
 
 
 def _nearness(radius: int) -> Column:
@@ -97,7 +97,7 @@ def closing(cells: DataFrame, keys: list[str], height: int, width: int) -> DataF
     own = F.col("o.d2") == 0
     at = grown.select("*", window(1).alias("o")).select(
         *keys, "br", "bc", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.when(own, F.col("id")).alias("id"), F.when(own, F.col("d2")).alias("d2"),
-    ).filter(_in_block(0))
+    ).filter(in_block())
     kept = at.groupBy(*keys, "br", "bc", "row", "col").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id"), F.max("d2").alias("d2"))
     return cells.select(*keys, "row", "col", "id").union(kept.filter("n = 9 and d2 > 0").select(*keys, "row", "col", "id"))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberframe.operators import graph, raster
+from emberframe.plans import composites
 from tests.test_queries import CORE, DATA
 
 
@@ -104,3 +105,12 @@ def test_closing_shuffles_cells_once(spark):
     want = {k: t[3] for k, t in grown.items() if all((k[0], k[1] + i, k[2] + j) in grown for i, j in off)} | cells
     assert got == want and len(got) > len(cells)
     assert plan(out).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_fire_masks_shuffle_points_once(spark, plans):
+    """Points are projected and merged by cell in the partitions of their block."""
+    seen = plans(composites)
+    CORE.queries["qg_fire_masks"](spark, DATA)
+    merged = [p for p in seen if "obs0" in p]
+    assert len(merged) == 1 and merged[0].split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
